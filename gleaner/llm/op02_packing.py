@@ -30,6 +30,8 @@ END_ID = 1
 CLASS_TOKENS = 8
 #: Columns the linear program may add; any number gives a valid packing.
 MAX_COLUMNS = 4000
+#: A column enters while it betters the bound by this share: the program ends within it of its optimum.
+GAP = 5e-4
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -64,7 +66,7 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_c
     for _ in range(max_columns):
         worth = inverse.sum(axis=0)
         value, pattern = knapsack(worth, sizes, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + GAP:
             break
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, np.maximum(amount, 0) / np.maximum(step, 1e-9), np.inf)
