@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import op02_packing, op07_quality, op08_token_output, op10_exact_dedup
+from gleaner.llm import op02_packing, op05_mixing, op07_quality, op08_token_output, op09_line_dedup, op10_exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op02_packing.op2_packing,
+        "op5_mixing": op05_mixing.op5_mixing,
         "op7_quality_classifier": op07_quality.op7_quality_classifier,
         "op8_token_output": op08_token_output.op8_token_output,
+        "op9_line_dedup": op09_line_dedup.op9_line_dedup,
         "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": op10_exact_dedup.ORACLE}
+    return {"op5_mixing": op05_mixing.oracle(), "op9_line_dedup": op09_line_dedup.ORACLE, "op10_exact_dedup": op10_exact_dedup.ORACLE}
