@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import op01_near_dedup, op02_packing, op04_substring_dedup, op05_mixing, op06_topk, op07_quality, op08_token_output, op09_line_dedup, op10_exact_dedup
+from gleaner.llm import op01_near_dedup, op02_packing, op03_suffix_dedup, op04_substring_dedup, op05_mixing, op06_topk, op07_quality, op08_token_output, op09_line_dedup, op10_exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op01_near_dedup.op1_near_dedup,
         "op2_packing": op02_packing.op2_packing,
+        "op3_suffix_dedup": op03_suffix_dedup.op3_suffix_dedup,
         "op4_substring_dedup": op04_substring_dedup.op4_substring_dedup,
         "op5_mixing": op05_mixing.op5_mixing,
         "op6_topk_search": op06_topk.op6_topk_search,
