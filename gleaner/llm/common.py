@@ -30,7 +30,7 @@ class Scratch:
     """Tables written by one run of one operator. They cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -38,6 +38,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and reads it back; shuffle files of the stages behind it may go."""
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        self.names.add(name)
         out = self.spark.read.schema(df.schema).parquet(self.path(name))
         del df
         self.release()
@@ -49,6 +50,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.drop(*(self.names - {*names}))
 
     def release(self) -> None:
         """Lets Spark's cleaner see that shuffles of finished stages are unreachable, so their files go now."""

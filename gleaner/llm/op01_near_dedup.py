@@ -228,7 +228,9 @@ def near_duplicates(docs: DataFrame, words_: int = WORDS, over: int = OVER, unde
         named = named.withColumn("component", F.lit(None).cast("long"))
     named = scratch.write(named.select(*sets, F.coalesce("component", "id").alias("component_id")), "named")
     rows = signed.select("doc_id", *sets).join(named, sets, "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = scratch.write(rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "result")
+    scratch.keep("result")
+    return out
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

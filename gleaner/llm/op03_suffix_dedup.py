@@ -266,7 +266,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = repeated_runs(places, scratch)
     here = places.select("doc", "version", "start", *NAME).join(found, NAME).select("doc", "version", F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last"))).alias("runs"))
     spans = scratch.write(here.groupBy("doc", "version").agg(F.flatten(F.collect_list("runs")).alias("spans")), "spans")
-    scratch.drop("places", *[f"{x}-{i}" for x in ("strings", "keys", "found", "split") for i in range(len(STEPS) + 1)])
+    scratch.keep("spans")
     return cut_out(per_doc(own, spans, "left"))
 
 

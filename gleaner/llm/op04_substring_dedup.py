@@ -121,7 +121,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = scratch.write(first, "first")
     repeated = windows.join(first, ["hash_1", "hash_2"]).filter("doc > low").groupBy("doc", "version").agg(F.collect_list("hash_1").alias("repeated"))
     repeated = scratch.write(repeated, "repeated")
-    scratch.drop("windows", "first", "shared", "anchors")
+    scratch.keep("repeated")
     return cut(per_doc(own, repeated, "left"))
 
 

@@ -187,7 +187,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x.astype(np.float64)))], names=["doc_id", "score"])
 
-    scored = features.mapInArrow(judge, "doc_id long, score double")
+    scored = scratch.write(features.mapInArrow(judge, "doc_id long, score double"), "scores")
+    scratch.keep("scores")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -85,6 +85,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     near = scratch.write(near, "near")
     stay = first.join(near, ["id_1", "id_2"], "left_anti").groupBy("doc", "version").agg(F.collect_list("line_no").alias("stay"))
+    stay = scratch.write(stay, "stay")
+    scratch.keep("stay")
     beside = docs.select(doc.alias("__doc"), version.alias("__version"), F.struct("*").alias("__row"))
     joined = beside.join(stay.toDF("__doc", "__version", "__stay"), ["__doc", "__version"], "left")
     joined = joined.withColumn("__lines", F.split(F.coalesce(F.col(f"__row.`{text_col}`"), F.lit("")), "\n"))
