@@ -58,7 +58,7 @@ def anchors(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def candidate_windows(docs: DataFrame) -> DataFrame:
-    """(doc, version, hash_1, hash_2) of every window that holds an anchor, for documents with a column anchors."""
+    """(doc, hash_1, hash_2) of every window that holds an anchor, for documents with a column anchors."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,13 +78,13 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
                 one, two, rows = one[order], two[order], rows[order]
                 new = np.r_[True, (one[1:] != one[:-1]) | (rows[1:] != rows[:-1])][: len(one)]
                 at = pa.array(rows[new])
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(at), piece.column(1).take(at), pa.array(one[new].view(np.int64)), pa.array(two[new].view(np.int64))], names=["doc", "version", "hash_1", "hash_2"])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(at), pa.array(one[new].view(np.int64)), pa.array(two[new].view(np.int64))], names=["doc", "hash_1", "hash_2"])
 
-    return docs.select("doc", "version", "text", "anchors").mapInArrow(extend, "doc long, version long, hash_1 long, hash_2 long")
+    return docs.select("doc", "version", "text", "anchors").mapInArrow(extend, "doc long, hash_1 long, hash_2 long")
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_words, n_removed) of documents with a column repeated, the hashes of the windows that go."""
+    """(doc_id, text, n_words, n_removed) of documents with columns repeated, the hashes of the windows that go, and whole, whether all go."""
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +92,8 @@ def cut(docs: DataFrame) -> DataFrame:
                 hashes, row, _, first, (data, start, end) = texts(piece, 1)
                 window = runs(row, WINDOW)
                 one = window_hash(prefix_sums(hashes), window, window + WINDOW)
-                window = window[among(one, row[window], piece.column(2))]
+                whole = np.asarray(piece.column(3).fill_null(False).to_pylist(), bool)
+                window = window[among(one, row[window], piece.column(2)) | whole[row[window]]]
                 steps = np.zeros(len(row) + 1, np.int64)
                 steps[window] += 1
                 np.add.at(steps, window + WINDOW, -1)
@@ -107,7 +108,7 @@ def cut(docs: DataFrame) -> DataFrame:
                         out.append(b" ".join(data[start[first[i]] : end[first[i + 1] - 1]].split()) if len(mine) else b"")
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out, pa.binary()).cast(pa.string()), pa.array(n), pa.array(removed[first[1:]] - removed[first[:-1]])], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return docs.select("doc", "text", "repeated").mapInArrow(drop, "doc_id long, text string, n_words long, n_removed long")
+    return docs.select("doc", "text", "repeated", "whole").mapInArrow(drop, "doc_id long, text string, n_words long, n_removed long")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,14 +116,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "substring")
     own = keyed(docs, id_col, text_col)
     named = own.filter(F.col("doc").isNotNull())
-    marked = per_doc(named, shared_anchors(named, anchors, "low <> high", scratch), "inner")
-    windows = scratch.write(candidate_windows(marked), "windows")
+    # Every window of a text also starts in its equal text with the smallest doc_id: the others lose all their windows as they are.
+    ids = scratch.write(named.select("doc", "version", F.xxhash64(F.lit("second"), "text").alias("second")), "ids")
+    equal = ids.groupBy("version", "second").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high")
+    copies = scratch.write(ids.join(equal, ["version", "second"]).filter("doc > low").select("doc", "version").distinct(), "copies")
+    found = shared_anchors(named, anchors, "low <> high", scratch).join(copies, ["doc", "version"], "left_anti")
+    windows = scratch.write(candidate_windows(per_doc(named, found, "inner")), "windows")
+    scratch.drop("shared", "anchors")
     first = windows.groupBy("hash_1", "hash_2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").drop("high")
     first = scratch.write(first, "first")
-    repeated = windows.join(first, ["hash_1", "hash_2"]).filter("doc > low").groupBy("doc", "version").agg(F.collect_list("hash_1").alias("repeated"))
+    # A window that a smaller doc_id has goes from every row with this doc_id, so rows need not be told apart.
+    repeated = windows.join(first, ["hash_1", "hash_2"]).filter("doc > low").groupBy("doc").agg(F.collect_list("hash_1").alias("repeated"))
     repeated = scratch.write(repeated, "repeated")
-    scratch.keep("repeated")
-    return cut(per_doc(own, repeated, "left"))
+    scratch.drop("windows", "first")
+    whole = copies.withColumn("whole", F.lit(True))
+    marks = ids.select("doc", "version").distinct().join(repeated, "doc", "left").join(whole, ["doc", "version"], "left").filter("repeated IS NOT NULL OR whole")
+    marks = scratch.write(marks, "marks")
+    scratch.keep("marks")
+    return cut(per_doc(own, marks, "left"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
