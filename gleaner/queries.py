@@ -364,7 +364,7 @@ def q_mrr(t: Tables) -> DataFrame:
 
 
 def q_category_stats(t: Tables) -> DataFrame:
-    category = F.coalesce(F.get(questions(t)["intents"], F.lit(0)), F.lit("other"))
+    category = F.coalesce(F.get(F.col("intents"), F.lit(0)), F.lit("other"))
     return evaluation.by_category(stats(t).join(questions(t).select("query_id", category.alias("category")), "query_id"))
 
 
