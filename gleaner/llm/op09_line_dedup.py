@@ -10,7 +10,7 @@ other, so a key needs only its earliest line: no group is ever turned into pairs
 
 Two lossless filters come before, since a key for each character of a corpus would be too much: with a line cut into m
 blocks, one edit touches one block, so near lines agree on all the others. Only lines that share such a remainder (first m = 2, then m = 16)
-with a different line emit their neighbourhood.
+with a different line emit their neighbourhood, and only for characters of the block that was left out.
 
 Nulls and odd input: a null text counts as one empty line; rows equal in doc_id and text count as one document and share its fate; rows with one
 doc_id and different texts are ordered by a hash of the text; a null doc_id comes first; an empty table gives an empty result;
@@ -34,31 +34,31 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def remainders(line: Column, blocks: int) -> Column:
-    """Hashes of the line without each of its blocks, as cut for its own length and for one less."""
-    keys = []
+def cuts(line: Column, blocks: int) -> list[Column]:
+    """struct<key, begin, tail> for each block, as cut for the line's own length and for one less: the hash of the line without the
+    block, and the characters before and after it."""
+    out = []
     for length in (F.length(line), F.length(line) - 1):
         for i in range(blocks):
-            begin, end = F.floor(length * i / blocks).cast("int"), F.floor(length * (i + 1) / blocks).cast("int")
-            keys.append(F.xxhash64(F.lit(blocks * 100 + i), F.substring(line, F.lit(1), begin), F.lit("|"), F.right(line, length - end)))
-    return F.array_distinct(F.array(*keys))
+            begin, tail = F.floor(length * i / blocks).cast("int"), (length - F.floor(length * (i + 1) / blocks)).cast("int")
+            key = F.xxhash64(F.lit(blocks * 100 + i), F.substring(line, F.lit(1), begin), F.lit("|"), F.right(line, tail))
+            out.append(F.struct(key.alias("key"), begin.alias("begin"), tail.alias("tail")))
+    return out
 
 
-def in_company(lines: DataFrame, scratch: Scratch, name: str, blocks: int) -> DataFrame:
-    """The lines (id_1, id_2, keys and more) that share a remainder with a different line."""
-    keyed = lines.select("id_1", "id_2", F.explode("keys").alias("key"))
+def shared_cuts(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows (id_1, key and more) whose key a different line has too."""
     shared = keyed.groupBy("key").agg(F.min("id_1").alias("low"), F.max("id_1").alias("high")).filter("low <> high").select("key")
-    shared = scratch.write(shared, f"{name}-shared")
-    found = scratch.write(keyed.join(shared, "key", "left_semi").select("id_1", "id_2").distinct(), name)
-    return lines.drop("keys").join(found, ["id_1", "id_2"], "left_semi")
+    return keyed.join(scratch.write(shared, f"{name}-shared"), "key", "left_semi")
 
 
-def neighbourhood(line: Column) -> Column:
-    """Every variant within one deletion, hashed with its place."""
+def neighbourhood(line: Column, begin: Column, tail: Column) -> Column:
+    """Hashed with its place: every variant with a character of the open block left out, and the line with each gap in the block."""
     length = F.length(line)
-    without = F.transform(F.sequence(F.lit(1), length), lambda i: F.xxhash64(F.substring(line, F.lit(1), i - 1), F.lit("|"), F.right(line, length - i)))
-    with_gap = F.transform(F.sequence(F.lit(1), length + 1), lambda i: F.xxhash64(F.substring(line, F.lit(1), i - 1), F.lit("|"), F.right(line, length - i + 1)))
-    return F.concat(without, with_gap)
+    without = lambda i, rest: F.xxhash64(F.substring(line, F.lit(1), i - 1), F.lit("|"), F.right(line, rest))
+    end = length - tail
+    taken = F.when(end > begin, F.transform(F.sequence(begin + 1, F.greatest(end, begin + 1)), lambda i: without(i, length - i))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(taken, F.transform(F.sequence(begin + 1, end + 1), lambda i: without(i, length - i + 1)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,19 +68,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     doc, version = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)
     lines = docs.select(doc.alias("doc"), version.alias("version"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", normal(F.col("line"))).filter(F.length("line") >= MIN_CHARS)
     # A line goes by two hashes of its whole text. All keys of the first filter follow from the text, so they are grouped with it and no text is moved.
-    named = lines.select(*PLACE, F.xxhash64("line").alias("id_1"), F.xxhash64(F.lit("second"), "line").alias("id_2"), remainders(F.col("line"), FIRST_BLOCKS).alias("keys"))
-    keys = [F.get("keys", F.lit(i)).alias(f"key_{i}") for i in range(2 * FIRST_BLOCKS)]
-    first = named.select(*PLACE, "id_1", "id_2", *keys).groupBy("id_1", "id_2", *[f"key_{i}" for i in range(2 * FIRST_BLOCKS)]).agg(F.min(F.struct(*PLACE)).alias("at"))
-    first = scratch.write(first.select("id_1", "id_2", F.array_compact(F.array(*[f"key_{i}" for i in range(2 * FIRST_BLOCKS)])).alias("keys"), "at.*"), "first")
-    some = scratch.write(in_company(first, scratch, "some", FIRST_BLOCKS), "some-places")
-    spelled = scratch.write(lines.join(some, PLACE).select(*PLACE, "id_1", "id_2", "line", remainders(F.col("line"), NEXT_BLOCKS).alias("keys")), "spelled")
-    few = in_company(spelled, scratch, "few", NEXT_BLOCKS)
-    variants = few.select(F.struct(*PLACE, "line").alias("own"), "id_1", "id_2", F.explode(neighbourhood(F.col("line"))).alias("key"))
-    earliest = variants.groupBy("key").agg(F.min("own").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    place = lambda x: F.struct(*[F.col(f"{x}.{p}") for p in PLACE])
+    named = lines.select(*PLACE, F.xxhash64("line").alias("id_1"), F.xxhash64(F.lit("second"), "line").alias("id_2"), F.array_distinct(F.array(*[c["key"] for c in cuts(F.col("line"), FIRST_BLOCKS)])).alias("keys"))
+    keys = [f"key_{i}" for i in range(2 * FIRST_BLOCKS)]
+    first = named.select(*PLACE, "id_1", "id_2", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(keys)]).groupBy("id_1", "id_2", *keys).agg(F.min(F.struct(*PLACE)).alias("at"))
+    first = scratch.write(first.select("id_1", "id_2", F.array_compact(F.array(*keys)).alias("keys"), "at.*"), "first")
+    some = shared_cuts(first.select("id_1", "id_2", F.explode("keys").alias("key")), scratch, "some").select("id_1", "id_2").distinct()
+    some = scratch.write(first.drop("keys").join(some, ["id_1", "id_2"], "left_semi"), "some")
+    # Lines meet their places by a shuffle at every size; all of them are read, and few go on.
+    spelled = scratch.write(lines.join(some.hint("merge"), PLACE).select(*PLACE, "id_1", "id_2", "line"), "spelled")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = spelled.repartition(parts, "id_1").select("id_1", "id_2", F.explode(F.array(*cuts(F.col("line"), NEXT_BLOCKS))).alias("c")).select("id_1", "id_2", "c.*")
+    # The edit lies in the block that is left out, so only its characters are varied.
+    blocks = scratch.write(shared_cuts(keyed, scratch, "blocks").select("id_1", "id_2", "begin", "tail").distinct(), "blocks")
+    few = scratch.write(spelled.join(blocks.select("id_1", "id_2").distinct(), ["id_1", "id_2"], "left_semi"), "few")
+    # Variants carry the line's place only; texts come back for the pairs to verify, at most one for each line and key.
+    spread = few.join(blocks, ["id_1", "id_2"]).repartition(parts, "id_1", "begin", "tail")
+    variants = spread.select(F.struct(*PLACE).alias("own"), F.explode(neighbourhood(F.col("line"), F.col("begin"), F.col("tail"))).alias("key"))
+    variants = scratch.write(variants, "variants")
+    earliest = variants.groupBy("key").agg(F.min("own").alias("earliest"), F.max("own").alias("latest")).filter("earliest <> latest").drop("latest")
+    met = variants.join(earliest, "key").filter("earliest < own").select("own", "earliest").distinct()
+    spelled_as = lambda x, y: few.select(F.struct(*PLACE).alias(x), F.col("line").alias(y))
     near = (
-        variants.join(earliest, "key")
-        .filter((place("earliest") < place("own")) & (F.levenshtein("own.line", "earliest.line", 1) >= 0))
+        met.join(few.select(F.struct(*PLACE).alias("own"), "id_1", "id_2", F.col("line").alias("own_line")), "own").join(spelled_as("earliest", "earliest_line"), "earliest")
+        .filter(F.levenshtein("own_line", "earliest_line", 1) >= 0)
         .select("id_1", "id_2").distinct()
     )
     near = scratch.write(near, "near")
