@@ -7,8 +7,8 @@ similarity s, so they meet in a tree with probability f = 1 - (1 - s f)**2 or mo
 
 Nodes of up to LEAF classes compare all their pairs. Larger ones first compare each class with a few pivots. What that links is one component
 already, and links inside a component change nothing any more: a node whose classes are all in one component is done, which ends the
-recursion in large groups of copies of one text. If all but LEAF of a node are in one component, the rest is compared with all. Other large nodes branch. After
-MAX_DEPTH branchings a node compares all that is in different components.
+recursion in large groups of copies of one text. What is left of nodes of up to NODE classes is compared within a task, tokens with tokens, wherever components differ. If all but LEAF of
+a larger node are in one component, the rest is compared with all. Other large nodes branch. After MAX_DEPTH branchings a node compares all that is in different components.
 
 Comparisons go from cheap to exact: set sizes, agreeing tokens (a pair at the threshold falls below the cut once in 300,000), then the full sets
 of 64-bit shingle hashes. Of each class its best candidate is verified first; other candidates only if both ends still are in different components.
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from gleaner.llm.components import components
 from gleaner.llm.kernels import distinct_by_row, mix, prefix_sums, window_hash, words
 
 WORDS, OVER, UNDER = 3, 85, 100
-SKETCH, TREES, BRANCH, LEAF, PIVOTS, MAX_DEPTH = 64, 4, 2, 24, 4, 8
+SKETCH, TREES, BRANCH, LEAF, NODE, PIVOTS, MAX_DEPTH = 128, 4, 2, 24, 1000, 4, 8
 #: Standard deviations below the threshold at which agreeing tokens rule a pair out.
 DEVIATIONS = 4.5
 
@@ -110,6 +111,26 @@ class Join:
         self.links: list[DataFrame] = []
         self.parts: DataFrame | None = None
 
+    def exhausted(self, members: DataFrame, name: str) -> DataFrame:
+        """Candidates (a, b, agreeing) of different components within each node of ``members`` (node, id, part_id), NODE rows at most each."""
+        cut, over, under = self.cut, self.over, self.under
+
+        def compare(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("id")
+            ids, part, n = (rows[c].to_numpy() for c in ("id", "part_id", "n_shingles"))
+            tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32).reshape(-1, SKETCH)
+            out = []
+            for i in range(len(ids) - 1):
+                same = (tokens[i + 1 :] == tokens[i]).mean(axis=1)
+                rest = slice(i + 1, None)
+                keep = (same >= cut) & (part[rest] != part[i]) & (np.minimum(n[rest], n[i]) * under >= np.maximum(n[rest], n[i]) * over)
+                if keep.any():
+                    out.append(pd.DataFrame({"a": ids[i], "b": ids[rest][keep], "agreeing": same[keep]}))
+            return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "agreeing": np.empty(0)})
+
+        known = members.select("node", "id", "part_id").join(self.classes.select("id", "n_shingles", "tokens"), "id")
+        return self.scratch.write(known.groupBy("node").applyInPandas(compare, "a long, b long, agreeing double").distinct(), name)
+
     def candidates(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b, agreeing) that sizes and tokens don't rule out."""
         side = lambda x: self.classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
@@ -164,9 +185,8 @@ class Join:
                 rows = rows.join(self.parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}")), c, "left").withColumn(f"part_{c}", F.coalesce(f"part_{c}", c))
         return rows
 
-    def compare(self, pairs: DataFrame, name: str) -> None:
-        """Adds the links among ``pairs`` that join components."""
-        found = self.candidates(pairs, f"{name}-candidates")
+    def compare(self, found: DataFrame, name: str) -> None:
+        """Adds the links among candidates (a, b, agreeing) that join components."""
         if found.isEmpty():
             return
         sets = self.sets(found, f"{name}-sets")
@@ -194,17 +214,20 @@ class Join:
         members, depth = children(self.classes.select(F.lit(0).alias("node"), "id", "tokens"), 0), 0
         while True:
             members = self.scratch.write(crowded(members), f"nodes-{depth}")
-            self.compare(pairs_of(members), f"level-{depth}")
+            self.compare(self.candidates(pairs_of(members), f"level-{depth}-candidates"), f"level-{depth}")
             large = self.with_parts(members.filter(F.col("size") > LEAF), "id")
             mixed = large.groupBy("node", "part_id").agg(F.count("*").alias("n"))
             whole = mixed.groupBy("node").agg(F.max(F.struct("n", "part_id")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
-            opened = whole.filter("parts > 1").select("node", F.col("main.part_id").alias("main"), (F.col("size") - F.col("main.n")).alias("others"))
+            opened = whole.filter("parts > 1").select("node", "size", F.col("main.part_id").alias("main"), (F.col("size") - F.col("main.n")).alias("others"))
             opened = self.scratch.write(large.drop("size").join(opened, "node"), f"open-{depth}")
+            self.compare(self.exhausted(opened.filter(F.col("size") <= NODE), f"node-{depth}-candidates"), f"node-{depth}")
+            opened = opened.filter(F.col("size") > NODE)
             last = depth >= MAX_DEPTH
             ends = opened if last else opened.filter(F.col("others") <= LEAF)
             other = ends.filter("part_id <> main").select("node", F.col("id").alias("x"), F.col("part_id").alias("part_x"))
             across = ends.join(other, "node").filter("part_id <> part_x").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-            self.compare(across, f"across-{depth}")
+            if not across.isEmpty():
+                self.compare(self.candidates(across, f"across-{depth}-candidates"), f"across-{depth}")
             again = opened.filter(F.col("others") > LEAF)
             if last or again.isEmpty():
                 return self.parts
