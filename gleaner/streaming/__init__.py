@@ -1,0 +1 @@
+"""No streams: every operation of this library is a batch over tables. Snapshots are compared by gleaner.operators.sync."""

@@ -239,3 +239,18 @@ def test_registered_names_have_sql_where_sql_can_say_it():
 
     assert set(oracles.oracle_sql()) <= set(queries.queries())
     assert set(queries.queries()) - set(oracles.oracle_sql()) == {"headings", "chunk_build", "mmr", "cross_source_dedup", "hybrid_search", "report_record"}
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    from gleaner.jobs import answer, build_index
+
+    raw, out = tmp_path / "raw", str(tmp_path / "index")
+    raw.mkdir()
+    (raw / "02_cats.md").write_text("# Cats\nCats sleep all day. " * 20)
+    (raw / "dogs.txt").write_text("Dogs bark at night. " * 30)
+    report = {r["status"]: r["files"] for r in build_index.run(spark, str(raw), out).collect()}
+    assert report == {"added": 2}
+    assert {r["status"] for r in build_index.run(spark, str(raw), out, "status").collect()} == {"unchanged"}
+    asked = spark.createDataFrame([(1, "Why do dogs bark?"), (2, "   ")], "query_id long, text string")
+    rows = answer.run(asked, out, "role", "rules").collect()
+    assert len(rows) == 1 and rows[0]["used_files"][0] == "dogs.txt" and "Dogs bark" in rows[0]["prompt"]
