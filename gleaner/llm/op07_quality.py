@@ -80,7 +80,11 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             total += np.frombuffer(x, np.float32)
         return pd.DataFrame({"dim": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
 
-    partial = without_clashes(docs, text_col).mapInArrow(add, "dim int, sums binary")
+    own = without_clashes(docs, text_col)
+    partial = own.mapInArrow(add, "dim int, sums binary").withColumn("part", F.spark_partition_id())
+    # A tree of two levels: no group adds up more partial sums than the square root of the number of tasks.
+    branches = max(1, int(np.ceil(np.sqrt(own.rdd.getNumPartitions()))))
+    partial = partial.withColumn("branch", F.col("part") % branches).groupBy("dim", "branch").applyInPandas(merge, "dim int, sums binary")
     out = np.zeros((WIDTH, VOCABULARY), np.float32)
     for x in partial.groupBy("dim").applyInPandas(merge, "dim int, sums binary").collect():  # WIDTH rows of VOCABULARY sums
         out[x["dim"]] = np.frombuffer(x["sums"], np.float32)
