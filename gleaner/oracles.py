@@ -9,6 +9,7 @@ from gleaner.functions import rules
 from gleaner.operators import context, judge, lexical
 from gleaner.params import PRESETS
 
+RULE = "\n\n---\n"
 SPACE = r"[\s\x{00A0}\x{3000}]"
 
 
@@ -172,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
         "index_repair": "SELECT doc_id AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT vec_id FROM embeddings)",
         "validate_question": f"SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) = 0 THEN 'empty' WHEN length(text) > 2000 THEN 'too long' WHEN {strip('text')} = '' THEN 'blank' ELSE 'ok' END AS outcome FROM conversations WHERE role = 'user'",
         "context": f"WITH {CONTEXT} SELECT query_id, context FROM ctx",
-        "prompt": f"WITH {CONTEXT} SELECT query_id, md5('role' || {lit(chr(10) * 2)} || 'rules {{context}}' || {lit(context.SEPARATOR)} || context || {lit(context.SEPARATOR)} || text) AS prompt_md5 FROM ctx JOIN qs USING (query_id)",
+        "prompt": f"WITH {CONTEXT} SELECT query_id, md5('role' || {lit(chr(10) * 2)} || 'rules {{context}}' || {lit(RULE)} || context || {lit(RULE)} || text) AS prompt_md5 FROM ctx JOIN qs USING (query_id)",
         "sources": f"WITH {CONTEXT} SELECT query_id, (pos - 1)::INT AS pos, h.source, h.file_type, md5(h.content) AS content_md5, h.score FROM (SELECT query_id, unnest(range(1, len(hits) + 1)) AS pos, unnest(hits) AS h FROM ctx)",
         "used_files": f"WITH {CONTEXT}, l AS (SELECT query_id, list_transform(hits, lambda h: h.source) AS s FROM ctx) SELECT query_id, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS used_files FROM l",
         "no_hit_fallback": f"WITH qs AS (SELECT conv_id || '-' || turn AS query_id, {toks('text')} AS w FROM conversations WHERE role = 'user'), {INDEX}, {sparse(2)}, h AS (SELECT query_id, list(source ORDER BY rank) AS s FROM sparse JOIN ch USING (key) GROUP BY 1) "
