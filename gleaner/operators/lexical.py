@@ -41,8 +41,7 @@ def tokens(text: Column, stopwords: list[str] | None = STOPWORDS, protected: lis
     found = segmenter(text) if segmenter else F.regexp_extract_all(text, F.lit(token_pattern(protected)), F.lit(0))
     found = F.filter(F.transform(found, lambda t: F.trim(t)), lambda t: (t != "") & ((F.length(t) > 1) | F.rlike(t, F.lit(r"[\p{L}\p{N}]"))))
     if stopwords:
-        words = F.array(*[F.lit(w) for w in stopwords])
-        found = F.filter(found, lambda t: ~F.array_contains(words, F.lower(t)))
+        found = F.filter(found, lambda t: ~F.lower(t).isin(stopwords))  # a set lookup, not a scan of the list
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
