@@ -34,8 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that had words and have none left."""
-    out = dedup_lines(docs)
+    """Repeated lines of any length go, and documents that had words and have none left."""
+    out = dedup_lines(docs, short_repeats=True)
     blank = F.length(F.btrim("text", F.lit(" \t\r\n\f\v"))) == 0
     out = out.filter(~(F.coalesce(blank, F.lit(False)) & (F.col("n_removed") > 0)))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

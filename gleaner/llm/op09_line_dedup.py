@@ -1,7 +1,7 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join. DataFrame functions only.
 
 A text is cut at line feeds. Lines are compared trimmed and in lower case; those under MIN_CHARS characters are never
-removed. A line goes if an equal line, or one within one inserted, deleted or replaced character, stands anywhere earlier: in a smaller
+removed, or with ``short_repeats`` only if an equal line stands earlier; blank ones always stay. A line goes if an equal line, or one within one inserted, deleted or replaced character, stands anywhere earlier: in a smaller
 doc_id, or higher up in the same text. This is judged on the input, so what a removed line resembles goes too.
 
 Neighbourhood. A line emits, as hashed keys, itself without its i-th character, with i, and itself whole with each place at which a
@@ -61,14 +61,17 @@ def neighbourhood(line: Column, begin: Column, tail: Column) -> Column:
     return F.concat(taken, F.transform(F.sequence(begin + 1, end + 1), lambda i: without(i, length - i + 1)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
     """``docs`` with all its columns, text_col without the lines that go, and n_lines and n_removed beside them."""
+    floor = 1 if short_repeats else MIN_CHARS
     scratch = Scratch(docs.sparkSession, "lines")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     doc, version = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)
-    lines = docs.select(doc.alias("doc"), version.alias("version"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", normal(F.col("line"))).filter(F.length("line") >= MIN_CHARS)
+    lines = docs.select(doc.alias("doc"), version.alias("version"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", normal(F.col("line"))).filter(F.length("line") >= floor)
     # A line goes by two hashes of its whole text. All keys of the first filter follow from the text, so they are grouped with it and no text is moved.
-    named = lines.select(*PLACE, F.xxhash64("line").alias("id_1"), F.xxhash64(F.lit("second"), "line").alias("id_2"), F.array_distinct(F.array(*[c["key"] for c in cuts(F.col("line"), FIRST_BLOCKS)])).alias("keys"))
+    # Shorter lines have no keys: they meet equal ones only.
+    cut_keys = F.when(F.length("line") >= MIN_CHARS, F.array_distinct(F.array(*[c["key"] for c in cuts(F.col("line"), FIRST_BLOCKS)]))).otherwise(F.array().cast("array<bigint>"))
+    named = lines.select(*PLACE, F.xxhash64("line").alias("id_1"), F.xxhash64(F.lit("second"), "line").alias("id_2"), cut_keys.alias("keys"))
     keys = [f"key_{i}" for i in range(2 * FIRST_BLOCKS)]
     first = named.select(*PLACE, "id_1", "id_2", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(keys)]).groupBy("id_1", "id_2", *keys).agg(F.min(F.struct(*PLACE)).alias("at"))
     first = scratch.write(first.select("id_1", "id_2", F.array_compact(F.array(*keys)).alias("keys"), "at.*"), "first")
@@ -100,7 +103,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     beside = docs.select(doc.alias("__doc"), version.alias("__version"), F.struct("*").alias("__row"))
     joined = beside.join(stay.toDF("__doc", "__version", "__stay"), ["__doc", "__version"], "left")
     joined = joined.withColumn("__lines", F.split(F.coalesce(F.col(f"__row.`{text_col}`"), F.lit("")), "\n"))
-    tested = F.filter(F.transform("__lines", lambda x, i: F.when(F.length(F.btrim(x, F.lit(BLANKS))) >= MIN_CHARS, i)), lambda i: i.isNotNull())
+    tested = F.filter(F.transform("__lines", lambda x, i: F.when(F.length(F.btrim(x, F.lit(BLANKS))) >= floor, i)), lambda i: i.isNotNull())
     joined = joined.withColumn("__gone", F.array_except(tested, F.coalesce("__stay", F.array().cast("array<int>"))))
     left = F.when(F.size("__gone") == 0, F.col(f"__row.`{text_col}`")).otherwise(F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
     extra = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

@@ -220,6 +220,24 @@ def test_lines(spark, empty):
     assert rows_of(dedup_lines(empty)) == []
 
 
+def test_short_lines_of_pipeline(spark):
+    """Equal lines under the floor go too, the earliest stays; blank ones stay, and so do short ones that are only near."""
+    texts = [None, "les.\n\nand ornd.\nabc\nLES. \nelevenchars", "abd\n \n\n les.\nelevenchars!\nÉ", "é\nsomething else here", "elevenchars!\nsomething else hare\n\u00a0\n\u00a0", "les."]
+    seen, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for x in (t or "").split("\n"):
+            k = x.strip(" \t\r\f\v").lower()
+            if not k or not any(k == s or (min(len(k), len(s)) >= 12 and within_one(k, s)) for s in seen):
+                kept.append(x)
+            seen.append(k)
+        want[i] = None if t is None else "\n".join(kept)
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = rows_of(corpus_pipeline.lines(spark, table, ""))
+    assert {r["doc_id"]: r["text"] for r in got} == {i: t for i, t in want.items() if i != 5} and want[5] == ""
+    assert want[1] == "les.\n\nand ornd.\nabc\nelevenchars" and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+
+
 def test_mixing(spark, docs, empty):
     made = [(i, " ".join(["w"] * (1 + i % 7)), ["en", "de"][i % 5 == 0], ["big", "mid", "small"][min(2, i % 10 // 4)], 0) for i in range(600)]
     goal = {"lang": {"en": 0.5, "de": 0.5}, "source": {"big": 0.2, "mid": 0.4, "small": 0.4}}
