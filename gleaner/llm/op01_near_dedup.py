@@ -1,6 +1,6 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is its set of distinct word shingles. Documents with the same set are one class, and the class's smallest id stands for it. Each
+A document is its set of distinct word shingles. Documents with the same set are one class with a number of its own, since different texts may share a doc_id. Each
 class has SKETCH minwise tokens. A tree of the join starts with one node of all classes; a node sends each of its classes to BRANCH children, a child for
 each of the BRANCH token positions that the node chooses and each token found there. Two sets share the token of a position with the probability of their
 similarity s, so they meet in a tree with probability f = 1 - (1 - s f)**2 or more at any depth; TREES trees miss a pair at s = 0.85 once in a million, at s = 0.8 once in 60,000.
@@ -36,6 +36,9 @@ WORDS, OVER, UNDER = 3, 85, 100
 SKETCH, TREES, BRANCH, LEAF, NODE, PIVOTS, MAX_DEPTH = 128, 4, 2, 24, 1000, 4, 8
 #: Standard deviations below the threshold at which agreeing tokens rule a pair out.
 DEVIATIONS = 4.5
+MULTIPLIERS = np.random.default_rng(1).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: What tells a class: two hashes of its set, and the set's size.
+SET = ["set_1", "set_2", "n_shingles"]
 
 
 def shingles(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +54,19 @@ def shingles(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray,
     return values, np.searchsorted(rows, np.arange(len(n) + 1))
 
 
+def set_columns(values: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """The columns SET of each row of ``shingles``: two hashes of its set, and the set's size."""
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    hashes = np.zeros((2, len(n)), np.uint64)
+    if len(full):
+        hashes[0, full] = np.add.reduceat(mix(values), first[full])
+        hashes[1, full] = np.add.reduceat(mix(values ^ MULTIPLIERS[0]), first[full])
+    return [pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(n.astype(np.int64))]
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """n_shingles, two hashes of the set and its minwise tokens (SKETCH unsigned 32-bit) for each row of (doc_id, text)."""
-    multipliers = np.random.default_rng(1).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,16 +74,14 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 values, first = shingles(piece, 1, size)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
-                tokens, set_1, set_2 = np.zeros((len(n), SKETCH), np.uint32), np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                tokens = np.zeros((len(n), SKETCH), np.uint32)
                 if len(full):
                     for k in range(SKETCH):
-                        tokens[full, k] = np.minimum.reduceat(values * multipliers[k], first[full]) >> np.uint64(32)
-                    set_1[full] = np.add.reduceat(mix(values), first[full])
-                    set_2[full] = np.add.reduceat(mix(values ^ multipliers[0]), first[full])
-                columns = [piece.column(0), pa.array(n.astype(np.int64)), pa.array(set_1.view(np.int64)), pa.array(set_2.view(np.int64)), binary_rows(tokens.ravel(), np.arange(len(n) + 1) * SKETCH)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_1", "set_2", "tokens"])
+                        tokens[full, k] = np.minimum.reduceat(values * MULTIPLIERS[k], first[full]) >> np.uint64(32)
+                columns = [piece.column(0), *set_columns(values, first), binary_rows(tokens.ravel(), np.arange(len(n) + 1) * SKETCH)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *SET, "tokens"])
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, set_1 long, set_2 long, tokens binary")
+    return docs.mapInArrow(sketch, "doc_id long, set_1 long, set_2 long, n_shingles long, tokens binary")
 
 
 def children(rows: DataFrame, depth: int) -> DataFrame:
@@ -147,17 +158,19 @@ class Join:
         return self.scratch.write(met.select("a", "b", "t_a", "t_b").mapInArrow(agree, "a long, b long, agreeing double"), name)
 
     def sets(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The full shingle sets of all ends of ``pairs``."""
-        ends = self.scratch.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ends")
+        """The full shingle sets (id, set) of all ends of ``pairs``, each from the texts under its class's smallest doc_id."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        ends = self.scratch.write(self.classes.select("id", "doc_id", *SET).join(ids, "id", "left_semi"), f"{name}-ends")
         size = self.size
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in pieces(batch, 1):
                     values, first = shingles(piece, 1, size)
-                    yield pa.RecordBatch.from_arrays([piece.column(0), binary_rows(values, first)], names=["id", "set"])
+                    yield pa.RecordBatch.from_arrays([*set_columns(values, first), binary_rows(values, first)], names=[*SET, "set"])
 
-        return self.scratch.write(self.docs.join(ends, "doc_id", "left_semi").mapInArrow(make, "id long, set binary").distinct(), name)
+        made = self.docs.join(ends.select("doc_id"), "doc_id", "left_semi").mapInArrow(make, "set_1 long, set_2 long, n_shingles long, set binary")
+        return self.scratch.write(made.join(ends, SET).select("id", "set").distinct(), name)
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
@@ -240,17 +253,18 @@ def near_duplicates(docs: DataFrame, words_: int = WORDS, over: int = OVER, unde
     scratch = Scratch(docs.sparkSession, "near")
     own = without_clashes(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = scratch.write(sketches(own, words_), "sketches")
-    sets = ["set_1", "set_2", "n_shingles"]
-    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets, "tokens").agg(F.min("doc_id").alias("id"))
-    classes = scratch.write(classes, "classes")
+    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*SET, "tokens").agg(F.min("doc_id").alias("doc_id"))
+    classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     parts = Join(own, classes, scratch, words_, over, under).run()
-    named = classes.select(*sets, "id")
+    named = classes.select(*SET, "id", F.col("doc_id").alias("least"))
     if parts is not None:
-        named = named.join(parts, "id", "left")
+        linked = scratch.write(parts.join(named, "id"), "linked")
+        smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = named.join(linked.join(smallest, "component").select("id", "component_id"), "id", "left")
     else:
-        named = named.withColumn("component", F.lit(None).cast("long"))
-    named = scratch.write(named.select(*sets, F.coalesce("component", "id").alias("component_id")), "named")
-    rows = signed.select("doc_id", *sets).join(named, sets, "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")))
+        named = named.withColumn("component_id", F.lit(None).cast("long"))
+    named = scratch.write(named.select(*SET, F.coalesce("component_id", "least").alias("component_id")), "named")
+    rows = signed.select("doc_id", *SET).join(named, SET, "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")))
     out = scratch.write(rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "result")
     scratch.keep("result")
     return out

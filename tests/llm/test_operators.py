@@ -100,6 +100,18 @@ def test_large_group_of_near_copies(spark):
     assert all(r["kept"] for r in got if r["doc_id"] is not None and r["doc_id"] >= 100)
 
 
+def test_near_with_two_texts_under_one_id(spark):
+    """Links of one text don't move the other, and the pipeline's stage loses neither."""
+    base, other = prose(200), prose(120)
+    words = base.split(" ")
+    close = " ".join([*words[:-1], "otherword"])
+    made = [(1, base, "en", "s", 0), (5, close, "en", "s", 0), (5, other, "en", "s", 0), (7, " ".join([*other.split(" "), "more"]), "en", "s", 0), (8, prose(30), "en", "s", 0), (8, prose(40), "en", "s", 0)]
+    table = spark.createDataFrame(made, SCHEMA)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(near_duplicates(table)))
+    assert [(i, c, k) for i, _, c, k in got] == [(1, 1, True), (5, 5, True), (5, 1, False), (7, 5, False), (8, 8, True), (8, 8, True)]
+    assert other in {r["text"] for r in corpus_pipeline.near(spark, table, "").collect()}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 3), (20, 21)] + [(100, x) for x in range(101, 150)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test"), "c").collect()}
