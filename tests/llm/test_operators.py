@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from gleaner.llm import op01_near_dedup as near
 from gleaner.llm import op03_suffix_dedup as suffix
 from gleaner.llm import queries, tokens
 from gleaner.llm.common import Scratch
@@ -100,6 +101,28 @@ def test_large_group_of_near_copies(spark):
     assert all(r["kept"] for r in got if r["doc_id"] is not None and r["doc_id"] >= 100)
 
 
+def test_near_branches(spark, monkeypatch):
+    """Small limits, so that nodes of texts from one template branch and the last level compares."""
+    for limit, value in (("LEAF", 4), ("NODE", 4), ("MAX_DEPTH", 1)):
+        monkeypatch.setattr(near, limit, value)
+    depths, children = [], near.children
+    monkeypatch.setattr(near, "children", lambda rows, depth: (depths.append(depth), children(rows, depth))[1])
+    shared = prose(150)
+    texts = [shared + " " + prose(60) for _ in range(30)]
+    texts += [" ".join([*t.split(" ")[:-3], "a", "b", "c"]) for t in texts[::3]]
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (t.split(" ") for t in texts)]
+    parent = list(range(len(texts)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = rows_of(near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(len(texts))} and len({find(i) for i in range(len(texts))}) == 30
+    assert depths == [0, 1]
+
+
 def test_near_with_two_texts_under_one_id(spark):
     """Links of one text don't move the other, and the pipeline's stage loses neither."""
     base, other = prose(200), prose(120)
