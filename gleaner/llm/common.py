@@ -96,3 +96,24 @@ def binary_rows(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     width = values.dtype.itemsize
     data = np.ascontiguousarray(values)
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.asarray(offsets, np.int64) * width), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows that never part rows of one key (the first ``keys`` columns), by which the input stands in order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            if sum(x.num_rows for x in held) < rows:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            differs = np.zeros(table.num_rows - 1, bool)
+            for i in range(keys):
+                key = table.column(i).to_numpy()
+                differs |= key[1:] != key[:-1]
+            last = np.flatnonzero(differs)[-1:] + 1
+            if len(last):
+                yield from table.slice(0, int(last[0])).to_batches()
+            held = table.slice(int(last[0]) if len(last) else 0).to_batches()
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

@@ -1,17 +1,19 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is its set of distinct word shingles. Documents with the same set are one class with a number of its own, since different texts may share a doc_id. Each
-class has SKETCH minwise tokens. A tree of the join starts with one node of all classes; a node sends each of its classes to BRANCH children, a child for
-each of the BRANCH token positions that the node chooses and each token found there. Two sets share the token of a position with the probability of their
-similarity s, so they meet in a tree with probability f = 1 - (1 - s f)**2 or more at any depth; TREES trees miss a pair at s = 0.85 once in a million, at s = 0.8 once in 60,000.
+class has SKETCH minwise tokens, SKETCH / TREES for each of TREES independent trees. A tree starts with one node of all classes; a node sends each of its classes to BRANCH
+children, a child for each of the BRANCH tokens that the node chooses and each value found there. Two sets share a token with the probability of their
+similarity s, so they meet in a tree with probability f = 1 - (1 - s f)**2 or more at any depth; the trees miss a pair at s = 0.85 once in a million, at s = 0.8 once in 60,000.
 
-Nodes of up to LEAF classes compare all their pairs. Larger ones first compare each class with a few pivots. What that links is one component
-already, and links inside a component change nothing any more: a node whose classes are all in one component is done, which ends the
-recursion in large groups of copies of one text. What is left of nodes of up to NODE classes is compared within a task, tokens with tokens, wherever components differ. If all but LEAF of
-a larger node are in one component, the rest is compared with all. Other large nodes branch. After MAX_DEPTH branchings a node compares all that is in different components.
+Nodes of up to NODE classes (and NODE_BYTES of sets) are small: their pairs are compared exhaustively within a task. A larger node is first cut into blocks of
+that size, each with the node's pivots, and every block is compared like a small node; this links what is near to the pivots. Links inside a component change nothing
+any more, so a large node is done once its classes are in one component, as those of near copies of one text are. If few of its classes are outside
+its largest component - by LEAF blocks a side at most - pairs of blocks are compared; else it branches. After MAX_DEPTH branchings pairs of blocks are compared
+at any size, a bounded group at a time. The first tree goes first: nodes of the others whose classes it has brought together are done before anything is sent to them.
 
-Comparisons go from cheap to exact: set sizes, agreeing tokens (a pair at the threshold falls below the cut once in 300,000), then the full sets
-of 64-bit shingle hashes. Of each class its best candidate is verified first; other candidates only if both ends still are in different components.
+A comparison has two steps. Within a node, set sizes and agreeing tokens find candidates (a pair at the threshold falls below the cut once in 300,000); what candidates
+connect is a group, and a group that several nodes have found is kept once. Then the full sets of 64-bit shingle hashes of each group come to one task, which confirms links and
+passes over pairs that confirmed links have connected already.
 
 Nulls and odd input: null, empty and blank texts have no shingles and are linked with nothing; rows are judged by their own
 texts, also where they share a doc_id; a null doc_id is left out of the join (component_id null, kept true); very long texts are whole; an
@@ -23,22 +25,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, binary_rows, documents, pieces, text_bytes, without_clashes
+from gleaner.llm.common import Scratch, binary_rows, documents, pieces, text_bytes, whole_groups, without_clashes
 from gleaner.llm.components import components
 from gleaner.llm.kernels import distinct_by_row, mix, prefix_sums, window_hash, words
 
 WORDS, OVER, UNDER = 3, 85, 100
-SKETCH, TREES, BRANCH, LEAF, NODE, PIVOTS, MAX_DEPTH = 128, 4, 2, 24, 1000, 4, 8
+SKETCH, TREES, BRANCH, NODE, LEAF, PIVOTS, MAX_DEPTH = 128, 4, 2, 512, 16, 4, 12
+#: Bytes of sets that a node or block may hold on average.
+NODE_BYTES = 16 << 20
 #: Standard deviations below the threshold at which agreeing tokens rule a pair out.
 DEVIATIONS = 4.5
 MULTIPLIERS = np.random.default_rng(1).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: What tells a class: two hashes of its set, and the set's size.
 SET = ["set_1", "set_2", "n_shingles"]
+#: Rows of nodes, and of groups, that a task looks at together.
+NODE_ROWS, GROUP_ROWS = 4096, 256
+#: Pairs whose tokens are compared at once.
+PAIRS = 16384
 
 
 def shingles(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +73,8 @@ def set_columns(values: np.ndarray, first: np.ndarray) -> list[pa.Array]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """n_shingles, two hashes of the set and its minwise tokens (SKETCH unsigned 32-bit) for each row of (doc_id, text)."""
+    """Set size, two hashes of the set, the tokens that the trees choose first (keys, 64 bits each) and all tokens (16 bits each) for each row of (doc_id, text)."""
+    first_tokens = [t * (SKETCH // TREES) + j for t in range(TREES) for j in range(BRANCH)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,92 +82,99 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 values, first = shingles(piece, 1, size)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
-                tokens = np.zeros((len(n), SKETCH), np.uint32)
+                least = np.zeros((len(n), SKETCH), np.uint64)
                 if len(full):
                     for k in range(SKETCH):
-                        tokens[full, k] = np.minimum.reduceat(values * MULTIPLIERS[k], first[full]) >> np.uint64(32)
-                columns = [piece.column(0), *set_columns(values, first), binary_rows(tokens.ravel(), np.arange(len(n) + 1) * SKETCH)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *SET, "tokens"])
+                        least[full, k] = np.minimum.reduceat(values * MULTIPLIERS[k], first[full])
+                least = mix(least)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(least[:, first_tokens].ravel().view(np.int64)), len(first_tokens)).cast(pa.list_(pa.int64()))
+                tokens = binary_rows((least >> np.uint64(48)).astype(np.uint16).ravel(), np.arange(len(n) + 1) * SKETCH)
+                yield pa.RecordBatch.from_arrays([piece.column(0), *set_columns(values, first), keys, tokens], names=["doc_id", *SET, "keys", "tokens"])
 
-    return docs.mapInArrow(sketch, "doc_id long, set_1 long, set_2 long, n_shingles long, tokens binary")
+    return docs.mapInArrow(sketch, "doc_id long, set_1 long, set_2 long, n_shingles long, keys array<long>, tokens binary")
 
 
-def children(rows: DataFrame, depth: int) -> DataFrame:
-    """(node, id) for each child that each row (node, id, tokens) goes to."""
-    def token(position: F.Column) -> F.Column:
-        return F.substring("tokens", position * 4 + 1, F.lit(4))
+def tree_of(node: F.Column) -> F.Column:
+    """The low bits of a node's number tell its tree."""
+    return node.bitwiseAND(F.lit(TREES - 1))
+
 
+def children(rows: DataFrame, depth: int) -> DataFrame:
+    """(node, id, n_shingles) for each child that each row (node, id, n_shingles, keys, tokens) goes to."""
+    own = SKETCH // TREES
     if depth == 0:
-        made = [F.xxhash64(F.lit(i), token(F.lit(i))) for i in range(TREES * BRANCH)]
+        made = [F.xxhash64(F.lit(i), F.col("keys")[i]).bitwiseAND(F.lit(-TREES)).bitwiseOR(F.lit(i // BRANCH)) for i in range(TREES * BRANCH)]
     else:
-        made = [F.xxhash64("node", F.lit(j), token(F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SKETCH)).cast("int"))) for j in range(BRANCH)]
-    return rows.select(F.explode(F.array_distinct(F.array(*made))).alias("node"), "id")
-
+        at = lambda j: (tree_of(F.col("node")) * own + F.pmod(F.xxhash64("node", F.lit(j)), F.lit(own))).cast("int")
+        made = [F.xxhash64("node", F.lit(j), F.substring("tokens", at(j) * 2 + 1, F.lit(2))).bitwiseAND(F.lit(-TREES)).bitwiseOR(tree_of(F.col("node"))) for j in range(BRANCH)]
+    return rows.select(F.explode(F.array_distinct(F.array(*made))).alias("node"), "id", "n_shingles")
 
-def crowded(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold more than one, with the node's size."""
-    sizes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    return members.join(sizes, "node")
 
-
-def pairs_of(members: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of small nodes, and each member of a large one with the node's pivots."""
-    small = members.filter(F.col("size") <= LEAF).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    within = small.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*")
-    large = members.filter(F.col("size") > LEAF)
-    pivots = large.groupBy("node").agg(F.array_distinct(F.array(F.min("id"), *[F.min_by("id", F.xxhash64(F.lit(i), "id")) for i in range(PIVOTS - 1)])).alias("pivots"))
-    star = large.join(pivots, "node").select("id", F.explode("pivots").alias("p"))
-    return within.union(star.filter("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))).distinct()
+def labels(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``count`` things the least one that links (a, b) connect it with."""
+    label = np.arange(count)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
 
 
 class Join:
-    """State of one run: classes, links found so far, and their components."""
+    """State of one run: classes, sets made so far, and the components of all links found so far."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch, size: int, over: int, under: int):
         self.docs, self.classes, self.scratch, self.size, self.over, self.under = docs, classes, scratch, size, over, under
         s = over / under
         self.cut = s - DEVIATIONS * (s * (1 - s) / SKETCH) ** 0.5
-        self.links: list[DataFrame] = []
+        self.sets: DataFrame | None = None
         self.parts: DataFrame | None = None
+        self.n = 0
 
-    def exhausted(self, members: DataFrame, name: str) -> DataFrame:
-        """Candidates (a, b, agreeing) of different components within each node of ``members`` (node, id, part_id), NODE rows at most each."""
-        cut, over, under = self.cut, self.over, self.under
-
-        def compare(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("id")
-            ids, part, n = (rows[c].to_numpy() for c in ("id", "part_id", "n_shingles"))
-            tokens = np.frombuffer(b"".join(rows["tokens"]), np.uint32).reshape(-1, SKETCH)
-            out = []
-            for i in range(len(ids) - 1):
-                same = (tokens[i + 1 :] == tokens[i]).mean(axis=1)
-                rest = slice(i + 1, None)
-                keep = (same >= cut) & (part[rest] != part[i]) & (np.minimum(n[rest], n[i]) * under >= np.maximum(n[rest], n[i]) * over)
-                if keep.any():
-                    out.append(pd.DataFrame({"a": ids[i], "b": ids[rest][keep], "agreeing": same[keep]}))
-            return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "agreeing": np.empty(0)})
-
-        known = members.select("node", "id", "part_id").join(self.classes.select("id", "n_shingles", "tokens"), "id")
-        return self.scratch.write(known.groupBy("node").applyInPandas(compare, "a long, b long, agreeing double").distinct(), name)
-
-    def candidates(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b, agreeing) that sizes and tokens don't rule out."""
-        side = lambda x: self.classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * self.under >= F.greatest("n_a", "n_b") * self.over)
-        cut = self.cut
-
-        def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SKETCH) for i in (2, 3))
-                same = (left == right).mean(axis=1)
-                keep = same >= cut
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(same[keep])], names=["a", "b", "agreeing"])
+    def with_part(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component of each id, as part."""
+        if self.parts is None:
+            return rows.withColumn("part", F.col("id"))
+        return rows.join(self.parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
-        return self.scratch.write(met.select("a", "b", "t_a", "t_b").mapInArrow(agree, "a long, b long, agreeing double"), name)
+    def groups(self, rows: DataFrame) -> DataFrame:
+        """(group, id) of what candidates connect within the blocks of ``rows`` (node, block, id)."""
+        least, over, under = int(np.ceil(self.cut * SKETCH)), self.over, self.under
 
-    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The full shingle sets (id, set) of all ends of ``pairs``, each from the texts under its class's smallest doc_id."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in whole_groups(batches, 2, NODE_ROWS):
+                node, block, ids, part, n = (batch.column(i).to_numpy() for i in range(5))
+                tokens = text_bytes(batch.column(5))[0].view(np.uint16).reshape(-1, SKETCH)
+                own = np.cumsum(np.r_[False, (node[1:] != node[:-1]) | (block[1:] != block[:-1])])
+                left, right, at, step = [], [], np.arange(len(ids)), 0
+                while len(at):  # rows of a block stand by set size, so a row that is too large for another is too large for all before it
+                    step += 1
+                    at = at[at + step < len(ids)]
+                    at = at[(own[at] == own[at + step]) & (n[at] * under >= n[at + step] * over)]
+                    ask = at[part[at] != part[at + step]]
+                    for i in range(0, len(ask), PAIRS):
+                        x = ask[i : i + PAIRS]
+                        x = x[np.count_nonzero(tokens[x] == tokens[x + step], axis=1) >= least]
+                        left.append(x)
+                        right.append(x + step)
+                a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+                label = labels(len(ids), a, b)
+                some = np.unique(np.concatenate([a, b]))
+                name = np.zeros(len(ids), np.uint64)
+                np.add.at(name, label[some], mix(ids[some].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(name[label[some]].view(np.int64)), pa.array(ids[some])], names=["group", "id"])
+
+        known = self.with_part(rows.join(self.classes.select("id", "n_shingles", "tokens"), "id"))
+        dealt = known.select("node", "block", "id", "part", "n_shingles", "tokens").repartition("node", "block").sortWithinPartitions("node", "block", "n_shingles", "id")
+        return dealt.mapInArrow(compare, "group long, id long").distinct()
+
+    def full_sets(self, groups: DataFrame, name: str) -> DataFrame:
+        """The full shingle sets (id, set) of all members of ``groups``, each made once from the texts under its class's smallest doc_id."""
+        ids = groups.select("id").distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("id"), "id", "left_anti")
         ends = self.scratch.write(self.classes.select("id", "doc_id", *SET).join(ids, "id", "left_semi"), f"{name}-ends")
         size = self.size
 
@@ -170,82 +185,109 @@ class Join:
                     yield pa.RecordBatch.from_arrays([*set_columns(values, first), binary_rows(values, first)], names=[*SET, "set"])
 
         made = self.docs.join(ends.select("doc_id"), "doc_id", "left_semi").mapInArrow(make, "set_1 long, set_2 long, n_shingles long, set binary")
-        return self.scratch.write(made.join(ends, SET).select("id", "set").distinct(), name)
+        new = self.scratch.write(made.join(ends, SET).groupBy("id").agg(F.first("set").alias("set")), f"{name}-sets")
+        self.scratch.drop(f"{name}-ends")
+        self.sets = new if self.sets is None else self.sets.union(new)
+        return self.sets
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
+    def links(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b): components that confirmed links within ``groups`` connect, as a star around the least of each group's."""
         over, under = self.over, self.under
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = np.sort(np.concatenate([x, y]), kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    keep.append(under * shared >= over * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-        met = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        return met.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
-
-    def with_parts(self, rows: DataFrame, *columns: str) -> DataFrame:
-        """``rows`` with the component of the id in each of ``columns``, as part_<column>."""
-        for c in columns:
-            if self.parts is None:
-                rows = rows.withColumn(f"part_{c}", F.col(c))
-            else:
-                rows = rows.join(self.parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}")), c, "left").withColumn(f"part_{c}", F.coalesce(f"part_{c}", c))
-        return rows
-
-    def compare(self, found: DataFrame, name: str) -> None:
-        """Adds the links among candidates (a, b, agreeing) that join components."""
-        if found.isEmpty():
-            return
-        sets = self.sets(found, f"{name}-sets")
-        ends = found.select(F.col("a").alias("x"), F.struct("agreeing", "a", "b").alias("p")).union(found.select("b", F.struct("agreeing", "a", "b")))
-        best = ends.groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-        self.join(self.verified(self.apart(best), sets), f"{name}-best")
-        rest = found.select("a", "b").join(best, ["a", "b"], "left_anti")
-        self.join(self.verified(self.apart(rest), sets), f"{name}-rest")
-        self.scratch.drop(f"{name}-sets")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        return self.with_parts(pairs, "a", "b").filter("part_a <> part_b").select("a", "b")
-
-    def join(self, links: DataFrame, name: str) -> None:
-        links = self.scratch.write(links, f"{name}-links")
+            for batch in whole_groups(batches, 1, GROUP_ROWS):
+                group, part, n = (batch.column(i).to_numpy() for i in range(3))
+                data, where = text_bytes(batch.column(3))
+                values, where = data.view(np.uint64), where // 8
+                edges = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
+                a, b = [], []
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    label = part[s:e].copy()
+                    for i in range(e - s - 1):
+                        end = int(np.searchsorted(n[s:e], n[s + i] * under // over, side="right"))
+                        others = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
+                        if not len(others):
+                            continue
+                        own = values[where[s + i] : where[s + i + 1]]
+                        theirs = np.concatenate([values[where[s + j] : where[s + j + 1]] for j in others])
+                        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                        sizes = n[s + others]
+                        shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+                        near = others[under * shared >= over * (n[s + i] + sizes - shared)]
+                        if len(near):
+                            label[np.isin(label, label[near])] = label[i]
+                            if (label == label[0]).all():
+                                break
+                    pairs = np.unique(np.stack([label, part[s:e]]), axis=1)
+                    root = np.minimum.reduceat(pairs[1], first := np.flatnonzero(np.r_[True, pairs[0, 1:] != pairs[0, :-1]]))
+                    root = np.repeat(root, np.diff(np.r_[first, pairs.shape[1]]))
+                    keep = root != pairs[1]
+                    a.append(root[keep])
+                    b.append(pairs[1, keep])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+        rows = self.with_part(groups).join(self.classes.select("id", "n_shingles"), "id").join(sets, "id")
+        dealt = rows.select("group", "part", "n_shingles", "set").repartition("group").sortWithinPartitions("group", "n_shingles", "part")
+        return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+    def compare(self, rows: DataFrame) -> None:
+        """Finds and confirms the links within the blocks of ``rows`` (node, block, id), and joins the components that they connect."""
+        self.n += 1
+        name = f"compare-{self.n}"
+        groups = self.scratch.write(self.groups(rows), f"{name}-groups")
+        links = self.scratch.write(self.links(groups, self.full_sets(groups, name)), f"{name}-links")
         if not links.isEmpty():
-            self.links.append(links)
-            every = self.links[0]
-            for x in self.links[1:]:
-                every = every.union(x)
-            self.parts = self.scratch.write(components(every, self.scratch, f"{name}-stars"), f"{name}-parts")
+            joined = components(links, self.scratch, f"{name}-stars")
+            if self.parts is not None:
+                moved = joined.select(F.col("id").alias("component"), F.col("component").alias("to"))
+                old = self.parts.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+                joined = old.union(joined.join(self.parts.select("id"), "id", "left_anti"))
+            self.parts = self.scratch.write(joined, f"{name}-parts")
+        self.scratch.drop(f"{name}-groups", f"{name}-links")
+
+    def level(self, members: DataFrame, last: bool) -> DataFrame | None:
+        """Compares the nodes of ``members`` (node, id, n_shingles). Returns (node) of those that must branch."""
+        name = f"nodes-{self.n}"
+        pivots = F.array_distinct(F.array(F.min("id"), *[F.min_by("id", F.xxhash64(F.lit(i), "id")) for i in range(PIVOTS - 1)]))
+        blocks = F.greatest(F.ceil(F.count("*") / NODE), F.ceil(F.sum("n_shingles") * 8 / NODE_BYTES)).cast("int")
+        nodes = self.with_part(members).groupBy("node").agg(F.count("*").alias("size"), blocks.alias("blocks"), pivots.alias("pivots"), F.min("part").alias("low"), F.max("part").alias("high"))
+        nodes = self.scratch.write(nodes.filter("low <> high").drop("low", "high"), name)
+        block = lambda count, salt=0: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)).cast("int")
+        dealt = members.join(nodes.select("node", "blocks"), "node").select("node", block("blocks").alias("block"), "id")
+        large = nodes.filter("blocks > 1")
+        pivots = large.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "pivots").select("node", "block", F.explode("pivots").alias("id"))
+        self.compare(dealt.union(pivots))
+        if large.isEmpty():
+            return None
+        held = self.with_part(members.join(large.select("node"), "node").select("node", "id"))
+        main = held.groupBy("node", "part").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
+        opened = main.filter("parts > 1").select("node", F.col("main.part").alias("main"), "size", (F.col("size") - F.col("main.n")).alias("others"))
+        opened = self.scratch.write(opened.withColumn("ends", F.lit(last) | (F.col("others") * F.col("size") <= (LEAF * NODE) ** 2)), f"{name}-open")
+        ends = opened.filter("ends").select("node", "main", F.ceil(F.col("size") * 2 / NODE).alias("across"), F.ceil(F.col("others") * 2 / NODE).alias("down"))
+        if not ends.isEmpty():
+            rows = held.join(ends, "node")
+            every = rows.select("node", "id", block("across").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"), "down")
+            other = rows.filter("part <> main").select("node", "id", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), block("down", 1).alias("y"), "down")
+            self.compare(every.union(other).select("node", (F.col("x") * F.col("down") + F.col("y")).alias("block"), "id"))
+        again = opened.filter("NOT ends").select("node")
+        return None if again.isEmpty() else again
 
     def run(self) -> DataFrame | None:
         """(id, component) of all classes that are linked with others."""
-        members, depth = children(self.classes.select(F.lit(0).alias("node"), "id", "tokens"), 0), 0
+        depth, rows = 0, children(self.classes, 0)
+        opened = []
+        for trees in (tree_of(F.col("node")) == 0, tree_of(F.col("node")) > 0):
+            members = rows.filter(trees)
+            opened.append((members, self.level(members, depth >= MAX_DEPTH)))
         while True:
-            members = self.scratch.write(crowded(members), f"nodes-{depth}")
-            self.compare(self.candidates(pairs_of(members), f"level-{depth}-candidates"), f"level-{depth}")
-            large = self.with_parts(members.filter(F.col("size") > LEAF), "id")
-            mixed = large.groupBy("node", "part_id").agg(F.count("*").alias("n"))
-            whole = mixed.groupBy("node").agg(F.max(F.struct("n", "part_id")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
-            opened = whole.filter("parts > 1").select("node", "size", F.col("main.part_id").alias("main"), (F.col("size") - F.col("main.n")).alias("others"))
-            opened = self.scratch.write(large.drop("size").join(opened, "node"), f"open-{depth}")
-            self.compare(self.exhausted(opened.filter(F.col("size") <= NODE), f"node-{depth}-candidates"), f"node-{depth}")
-            opened = opened.filter(F.col("size") > NODE)
-            last = depth >= MAX_DEPTH
-            ends = opened if last else opened.filter(F.col("others") <= LEAF)
-            other = ends.filter("part_id <> main").select("node", F.col("id").alias("x"), F.col("part_id").alias("part_x"))
-            across = ends.join(other, "node").filter("part_id <> part_x").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-            if not across.isEmpty():
-                self.compare(self.candidates(across, f"across-{depth}-candidates"), f"across-{depth}")
-            again = opened.filter(F.col("others") > LEAF)
-            if last or again.isEmpty():
+            left = [members.join(nodes, "node").select("node", "id") for members, nodes in opened if nodes is not None]
+            if not left:
                 return self.parts
             depth += 1
-            members = children(again.select("node", "id").join(self.classes.select("id", "tokens"), "id"), depth)
+            above = left[0] if len(left) == 1 else left[0].union(left[1])
+            members = children(above.join(self.classes.select("id", "n_shingles", "keys", "tokens"), "id"), depth)
+            members = self.scratch.write(members, f"members-{depth}")
+            opened = [(members, self.level(members, depth >= MAX_DEPTH))]
 
 
 def near_duplicates(docs: DataFrame, words_: int = WORDS, over: int = OVER, under: int = UNDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,12 +295,12 @@ def near_duplicates(docs: DataFrame, words_: int = WORDS, over: int = OVER, unde
     scratch = Scratch(docs.sparkSession, "near")
     own = without_clashes(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = scratch.write(sketches(own, words_), "sketches")
-    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*SET, "tokens").agg(F.min("doc_id").alias("doc_id"))
+    classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"))
     classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     parts = Join(own, classes, scratch, words_, over, under).run()
     named = classes.select(*SET, "id", F.col("doc_id").alias("least"))
     if parts is not None:
-        linked = scratch.write(parts.join(named, "id"), "linked")
+        linked = scratch.write(parts.join(named.select("id", "least"), "id"), "linked")
         smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
         named = named.join(linked.join(smallest, "component").select("id", "component_id"), "id", "left")
     else:
