@@ -1,13 +1,17 @@
 """Mixing sources to target weights by iterative proportional fitting. DataFrame functions only.
 
-Tokens are counted by cell (source, language, kind of text). Raking scales the cells to the target share of each source, then of
-each language, then of each kind, again and again. A document's probability is what its cell should have over what it has, under a token budget and
-at most 1; it stays if a uniform number from its id lies below. Cells are few, one for each combination that occurs; documents
+Tokens are counted by cell (source, language, topic). Raking scales the cells to the target share of each source, then of
+each language, then of each topic, again and again. A document's probability is its cell's factor, at most 1; it stays if a uniform number from its id lies below.
+The bound is part of the raking: a margin is measured with factors cut at 1, so what full cells can't give the others of the margin do. Cells are few, one for each combination that occurs; documents
 meet them by a join that Spark can split where one source holds a third of all rows.
 
-Default targets flatten what is there: shares in proportion to tokens to the power FLATTEN.
+Topics. A group of word endings or marks stands for a topic; a document belongs to the group that it uses most, each group's uses being counted as a share of its uses in all documents.
+``topic_col`` names a column with better topics, if there is one.
 
-Nulls and odd input: null and empty source or language are one category; a null text has no tokens and kind "empty"; documents
+Targets. By default they flatten what is there: shares in proportion to tokens to the power FLATTEN. No category is asked for more than MOST of its tokens; the others of its dimension share the rest.
+``marginals`` reports what was asked and what is expected, so that combinations that can't be met show by name.
+
+Nulls and odd input: null and empty source or language are one category; a null or empty text has no tokens and topic "empty", a text that uses no group "other"; documents
 without tokens get probability 1; rows with one doc_id share one number; null ids share one too; an
 empty table gives an empty result; a target for a category that doesn't occur is left out and the others share its part.
 """
@@ -20,20 +24,36 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Scratch, documents, without_clashes
 
-FLATTEN, FRACTION, ROUNDS = 0.7, 0.6, 20
-#: Rounds of raking in one plan; then the cells are written and read again.
-ROUNDS_A_PLAN = 5
+FLATTEN, FRACTION, ROUNDS, MOST = 0.7, 0.6, 15, 0.75
+#: Each step of the raking goes further than to its goal by this power (over-relaxation), which halves the rounds.
+STRIDE = 1.7
+#: Rounds of raking in one plan; then the cells are written and read again. CAPS: times that a dimension's targets are cut and shared anew.
+ROUNDS_A_PLAN, CAPS = 3, 8
 SALT = "mix"
-DIMENSIONS = ("source", "lang", "kind")
-#: Kinds of text by a mark that they hold, first match first.
-KINDS = (("table", " | "), ("markup", "</"), ("shout", "!!"), ("link", "://"))
+DIMENSIONS = ("source", "lang", "topic")
+#: Groups of marks and of endings in the languages of the corpus, by what they mostly form.
+TOPICS = (
+    ("tabular", (" | ",)), ("markup", ("</",)), ("emphasis", ("!!",)), ("event", ("tion", "ung")), ("state", ("heit", "keit", "ness")),
+    ("activity", ("ing", "ant")), ("manner", ("ly", "ment")), ("agent", ("er", "eur")),
+)
+Targets = dict[str, dict[str, float]]
+
+
+def uses(text: Column) -> list[Column]:
+    """How often ``text`` uses each group of TOPICS."""
+    times = lambda mark: F.expr(f"div(length(__t) - length(replace(__t, '{mark}', '')), {len(mark)})")
+    return [sum((times(m) for m in marks[1:]), times(marks[0])).alias(topic) for topic, marks in TOPICS]
 
 
-def kind_of(text: Column) -> Column:
-    out = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty")
-    for kind, mark in KINDS:
-        out = out.when(F.contains(text, F.lit(mark)), kind)
-    return out.otherwise("prose")
+def topic_of(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with __topic. One pass counts the uses of each group in all documents; their sums, a few numbers, become part of the expression."""
+    own = docs.withColumn("__t", F.coalesce(text, F.lit("")))
+    totals = own.select(*uses(text)).agg(*[F.sum(t).alias(t) for t, _ in TOPICS]).first()
+    shares = [F.when(F.lit(totals[t] or 0) > 0, x.cast("double") / F.lit(float(totals[t] or 1))).otherwise(F.lit(0.0)) for (t, _), x in zip(TOPICS, uses(text), strict=True)]
+    own = own.withColumn("__shares", F.array(*shares)).withColumn("__best", F.array_max("__shares"))
+    names = F.array(*[F.lit(t) for t, _ in TOPICS])
+    topic = F.when(F.length("__t") == 0, "empty").when(F.col("__best") <= 0, "other").otherwise(F.element_at(names, F.array_position("__shares", F.col("__best")).cast("int")))
+    return own.withColumn("__topic", topic).drop("__t", "__shares", "__best")
 
 
 def uniform(key: Column) -> Column:
@@ -41,45 +61,74 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SALT), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]] | None, flatten: float, rounds: int) -> DataFrame:
-    """``cells`` (DIMENSIONS, tokens) with weight: shares of all tokens that meet the targets. Sums stay in Spark."""
-    spark = cells.sparkSession
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+def goals(cells: DataFrame, d: str, targets: Targets | None, flatten: float, fraction: float) -> DataFrame:
+    """(d, goal_d): tokens that each category of dimension ``d`` should have."""
+    every = W.partitionBy(F.lit(1))
+    sizes = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("has"))
+    if targets and d in targets:
+        asked = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, share double")
+        sizes = sizes.join(asked, d, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    else:
+        sizes = sizes.withColumn("share", F.pow("has", F.lit(flatten)))
+    total = F.sum("has").over(every) * fraction
+    sizes = sizes.withColumn("most", F.col("has") * MOST).withColumn("budget", total)
+    for _ in range(CAPS):
+        sizes = sizes.withColumn("share", F.least("most", F.col("share") * F.col("budget") / F.sum("share").over(every)))
+    return sizes.select(d, F.col("share").alias(f"goal_{d}"))
+
+
+def rake(cells: DataFrame, scratch: Scratch, targets: Targets | None, flatten: float, fraction: float, rounds: int) -> DataFrame:
+    """``cells`` (DIMENSIONS, tokens) with the factor of each, not cut at 1, and the goal_ of each dimension. Sums stay in Spark."""
+    out = cells.withColumn("factor", F.lit(float(fraction)))
     for d in DIMENSIONS:
-        if targets and d in targets:
-            goal = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, goal double").join(cells.select(d).distinct(), d)
-        else:
-            goal = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("goal"))
-        goal = goal.select(d, (F.col("goal") / F.sum("goal").over(W.partitionBy(F.lit(1)))).alias(f"goal_{d}"))
-        out = out.join(goal, d, "left").withColumn(f"goal_{d}", F.coalesce(f"goal_{d}", F.lit(0.0)))
+        out = out.join(goals(cells, d, targets, flatten, fraction), d)
     out = scratch.write(out, "goals")
     for done in range(0, rounds, ROUNDS_A_PLAN):
         for _ in range(min(ROUNDS_A_PLAN, rounds - done)):
             for d in DIMENSIONS:
-                here = F.sum("weight").over(W.partitionBy(d))
-                out = out.withColumn("weight", F.when(here > 0, F.col("weight") * F.col(f"goal_{d}") / here).otherwise(0.0))
+                here = F.sum(F.col("tokens") * F.least(F.lit(1.0), "factor")).over(W.partitionBy(d))
+                out = out.withColumn("factor", F.when(here > 0, F.col("factor") * F.pow(F.col(f"goal_{d}") / here, F.lit(STRIDE))).otherwise(0.0))
         out = scratch.write(out, f"round-{done}")
+        scratch.drop("goals" if done == 0 else f"round-{done - ROUNDS_A_PLAN}")
     return out
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, fraction: float = FRACTION, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def marked(docs: DataFrame, text: Column, source: Column, lang: Column, topic_col: str | None) -> DataFrame:
+    """``docs`` with __source, __lang, __topic and __tokens."""
+    named = docs.withColumn("__topic", F.coalesce(F.col(topic_col).cast("string"), F.lit(""))) if topic_col else topic_of(docs, text)
+    tokens = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return named.withColumns({"__source": F.coalesce(source, F.lit("")), "__lang": F.coalesce(lang, F.lit("")), "__tokens": tokens})
+
+
+def raked(rows: DataFrame, scratch: Scratch, targets: Targets | None, flatten: float, fraction: float, rounds: int) -> DataFrame:
+    cells = rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens")).filter("tokens > 0")
+    return rake(scratch.write(cells, "cells"), scratch, targets, flatten, fraction, rounds)
+
+
+def mix(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTEN, fraction: float = FRACTION, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
     """``docs`` with all its columns and, beside them, mix_tokens, mix_probability and mix_kept."""
     scratch = Scratch(docs.sparkSession, "mix")
-    text = F.col(f"`{text_col}`")
-    marks = {
-        "source": F.coalesce(F.col(f"`{source_col}`"), F.lit("")), "lang": F.coalesce(F.col(f"`{lang_col}`"), F.lit("")), "kind": kind_of(text),
-        "tokens": F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-    }
-    cells = docs.select(*[v.alias(k) for k, v in marks.items()]).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-    cells = rake(scratch.write(cells, "cells"), scratch, targets, flatten, rounds)
-    total, share = F.sum("tokens").over(W.partitionBy(F.lit(1))), F.col("weight") / F.sum("weight").over(W.partitionBy(F.lit(1)))
-    cells = cells.select(*DIMENSIONS, F.least(F.lit(1.0), F.lit(fraction) * total * share / F.col("tokens")).alias("p"))
-    cells = scratch.write(cells.toDF(*[f"__{d}" for d in DIMENSIONS], "__p"), "probabilities")
-    rows = docs.select(F.struct("*").alias("__row"), *[v.alias(f"__{k}") for k, v in marks.items()])
+    own = lambda c: F.col(f"__row.`{c}`")
+    rows = marked(docs.select(F.struct("*").alias("__row")), own(text_col), own(source_col), own(lang_col), f"__row.`{topic_col}`" if topic_col else None)
+    cells = raked(rows, scratch, targets, flatten, fraction, rounds).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.least(F.lit(1.0), "factor").alias("__p"))
+    cells = scratch.write(cells, "probabilities")
+    scratch.keep("probabilities")
     joined = rows.join(cells, [f"__{d}" for d in DIMENSIONS], "left").withColumn("__p", F.when(F.col("__tokens") == 0, 1.0).otherwise(F.coalesce("__p", F.lit(0.0))))
-    kept = uniform(F.col(f"__row.`{id_col}`")) < F.col("__p")
-    own = [c for c in docs.columns if c not in ("mix_tokens", "mix_probability", "mix_kept")]
-    return joined.select(*[F.col(f"__row.`{c}`").alias(c) for c in own], F.col("__tokens").alias("mix_tokens"), F.col("__p").alias("mix_probability"), kept.alias("mix_kept"))
+    kept = uniform(own(id_col)) < F.col("__p")
+    beside = [c for c in docs.columns if c not in ("mix_tokens", "mix_probability", "mix_kept")]
+    return joined.select(*[own(c).alias(c) for c in beside], F.col("__tokens").alias("mix_tokens"), F.col("__p").alias("mix_probability"), kept.alias("mix_kept"))
+
+
+def marginals(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTEN, fraction: float = FRACTION, rounds: int = ROUNDS, topic_col: str | None = None) -> DataFrame:
+    """(dimension, category, has, goal, expected, met): tokens of each category, those asked for and those expected, and whether they agree within 1 %."""
+    rows = marked(docs.select(F.struct("*").alias("__row")), F.col("__row.text"), F.col("__row.source"), F.col("__row.lang"), f"__row.`{topic_col}`" if topic_col else None)
+    cells = raked(rows, Scratch(docs.sparkSession, "marginals"), targets, flatten, fraction, rounds)
+    expected = F.sum(F.col("tokens") * F.least(F.lit(1.0), "factor"))
+    out = None
+    for d in DIMENSIONS:
+        one = cells.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("category")).agg(F.sum("tokens").alias("has"), F.first(f"goal_{d}").alias("goal"), expected.alias("expected"))
+        out = one if out is None else out.union(one)
+    return out.withColumn("met", F.abs(F.col("expected") - F.col("goal")) <= F.col("goal") * 0.01)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,24 +137,31 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    kinds = " ".join(f"WHEN contains(text, '{mark}') THEN '{kind}'" for kind, mark in KINDS)
+    times = {t: " + ".join(f"(length(x) - length(replace(x, '{m}', ''))) // {len(m)}" for m in marks) for t, marks in TOPICS}
+    share = {t: f"CASE WHEN {t}_all > 0 THEN {t}::DOUBLE / {t}_all::DOUBLE ELSE 0 END" for t in times}
     sql = rf"""
-WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' {kinds} ELSE 'prose' END AS kind,
-    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens
-  FROM documents
-), w0 AS (SELECT source, lang, kind, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0)
+WITH x AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents
+), u AS (SELECT *, {", ".join(f"{n} AS {t}" for t, n in times.items())} FROM x),
+a AS (SELECT {", ".join(f"sum({t}) AS {t}_all" for t in times)} FROM u),
+s AS (SELECT u.*, [{", ".join(share.values())}] AS shares FROM u CROSS JOIN a),
+d AS (
+  SELECT doc_id, source, lang, tokens, CASE WHEN length(x) = 0 THEN 'empty' WHEN list_max(shares) <= 0 THEN 'other' ELSE ([{", ".join(f"'{t}'" for t in times)}])[list_position(shares, list_max(shares))] END AS topic FROM s
+), w0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, {FRACTION}::DOUBLE AS factor FROM d GROUP BY ALL HAVING sum(tokens) > 0)
 """
-    goals = ", ".join(f"(SELECT g FROM (SELECT {x}, pow(sum(tokens)::DOUBLE, {FLATTEN}) / sum(pow(sum(tokens)::DOUBLE, {FLATTEN})) OVER () AS g FROM w0 GROUP BY {x}) q WHERE q.{x} = w0.{x}) AS goal_{x}" for x in DIMENSIONS)
-    sql += f", r0 AS MATERIALIZED (SELECT *, tokens::DOUBLE AS weight, {goals} FROM w0)"
+    for x in DIMENSIONS:
+        sql += f", g_{x}0 AS (SELECT {x}, has * {MOST}::DOUBLE AS most, pow(has, {FLATTEN}) AS share, sum(has) OVER () * {FRACTION}::DOUBLE AS budget FROM (SELECT {x}, sum(tokens)::DOUBLE AS has FROM w0 GROUP BY {x}))\n"
+        for i in range(CAPS):
+            sql += f", g_{x}{i + 1} AS MATERIALIZED (SELECT * REPLACE (least(most, share * budget / sum(share) OVER ()) AS share) FROM g_{x}{i})\n"
+    shares = ", ".join(f"g_{x}{CAPS}.share AS goal_{x}" for x in DIMENSIONS)
+    sql += f", r0 AS MATERIALIZED (SELECT w0.*, {shares} FROM w0 " + " ".join(f"JOIN g_{x}{CAPS} USING ({x})" for x in DIMENSIONS) + ")"
     n = 0
     for _ in range(ROUNDS):
         for x in DIMENSIONS:
-            sql += f"\n, r{n + 1} AS MATERIALIZED (SELECT * REPLACE (weight * goal_{x} / sum(weight) OVER (PARTITION BY {x}) AS weight) FROM r{n})"
+            sql += f"\n, r{n + 1} AS MATERIALIZED (SELECT * REPLACE (factor * pow(goal_{x} / sum(tokens * least(1.0::DOUBLE, factor)) OVER (PARTITION BY {x}), {STRIDE}) AS factor) FROM r{n})"
             n += 1
     return sql + f"""
-, p AS (SELECT source, lang, kind, least(1.0, {FRACTION}::DOUBLE * sum(tokens) OVER ()::DOUBLE * (weight / sum(weight) OVER ()) / tokens) AS p FROM r{n})
-SELECT doc_id, d.tokens, round(CASE WHEN d.tokens = 0 THEN 1.0 ELSE p.p END, 6)::DOUBLE AS probability,
-  ('0x' || substr(md5('{SALT}' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {16**13}.0::DOUBLE < CASE WHEN d.tokens = 0 THEN 1.0 ELSE p.p END AS kept
-FROM d LEFT JOIN p USING (source, lang, kind)
+SELECT doc_id, d.tokens, round(CASE WHEN d.tokens = 0 THEN 1.0 ELSE least(1.0, r{n}.factor) END, 6)::DOUBLE AS probability,
+  ('0x' || substr(md5('{SALT}' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {16**13}.0::DOUBLE < CASE WHEN d.tokens = 0 THEN 1.0 ELSE least(1.0, r{n}.factor) END AS kept
+FROM d LEFT JOIN r{n} USING (source, lang, topic)
 """

@@ -5,8 +5,8 @@ texts adds to each word's context vector the index vectors of its neighbours; no
 has the same size for any corpus. A document is the mean of its words' context vectors, beside its length, the
 length of the mean (near 1 where a text repeats few words) and mean shape vectors of its words (case, digits, marks).
 
-Network. A tanh layer and a sigmoid, fit by numpy on a bounded sample of labelled rows (TRAIN_ROWS, those with the smallest hashes), part
-of which is left out to choose the temperature. Scores of all documents come from one more pass. Language, source, ids and
+Network. A tanh layer and a sigmoid, fit by numpy on a bounded sample of labelled rows (about TRAIN_ROWS: all up to that number, else those whose hashed id lies below the
+bound that this share of all gives), part of which is left out to choose the temperature. Scores of all documents come from one more pass. Language, source, ids and
 labels are never inputs.
 
 Nulls and odd input: a null text counts as empty; empty texts get the score the network gives to no words; a null doc_id is held out of
@@ -28,8 +28,9 @@ from gleaner.llm.common import Scratch, binary_rows, documents, pieces, text_byt
 from gleaner.llm.kernels import IS_SPACE, words
 
 VOCABULARY, WIDTH, SHAPES, REACH = 1 << 16, 32, 64, 2
-#: Labelled rows the network is fit on.
+#: Labelled rows the network is fit on, and the range of the hashes that choose them.
 TRAIN_ROWS = 20_000
+HASHES = 1 << 30
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 32, 60, 0.01, 1e-4, 7
 THRESHOLD = 0.3
 FEATURES = WIDTH + SHAPES + 4
@@ -178,11 +179,14 @@ def held_out() -> F.Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted. ``labels`` has doc_id and quality; at most ``train_rows`` of them are used."""
+    """One row per document: doc_id, held_out, score, predicted. ``labels`` has doc_id and quality; about ``train_rows`` of them at most are used."""
     scratch = Scratch(docs.sparkSession, "quality")
     features = scratch.write(pooled(docs, context_vectors(docs, text_col), id_col, text_col), "features")
     taught = without_clashes(labels, "doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = taught.join(features, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(train_rows).toPandas()
+    # The bound is chosen first, so that tasks send the driver no more than the sample.
+    bound = min(HASHES, HASHES * train_rows // max(taught.count(), 1))
+    sample = scratch.write(taught.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < bound).join(features, "doc_id"), "sample").toPandas()
+    sample = sample.sort_values(["doc_id", "features"])
     x = np.frombuffer(b"".join(sample["features"]), np.float32).reshape(len(sample), FEATURES).astype(np.float64)
     model = Network(x, sample["quality"].to_numpy(float))
 

@@ -1,11 +1,11 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join. DataFrame functions only.
 
 A text is cut at line feeds. Lines are compared trimmed and in lower case; those under MIN_CHARS characters are never
-removed, or with ``short_repeats`` only if an equal line stands earlier; blank ones always stay. A line goes if an equal line, or one within one inserted, deleted or replaced character, stands anywhere earlier: in a smaller
+removed, or with ``short_repeats`` (as in the query and the pipeline) only if an equal line stands earlier; blank ones always stay. A line goes if an equal line, or one within one inserted, deleted or replaced character, stands anywhere earlier: in a smaller
 doc_id, or higher up in the same text. This is judged on the input, so what a removed line resembles goes too.
 
 Neighbourhood. A line emits, as hashed keys, itself without its i-th character, with i, and itself whole with each place at which a
-character could be put in. Two lines within one edit share such a key, and lines that share one are all within one edit of each
+character could be put in; of these only the open block (below) is hashed anew, with a hash of the rest. Two lines within one edit share such a key, and lines that share one are all within one edit of each
 other, so a key needs only its earliest line: no group is ever turned into pairs. The distance to that earliest line is verified.
 
 Two lossless filters come before, since a key for each character of a corpus would be too much: with a line cut into m
@@ -26,7 +26,7 @@ from gleaner.llm.common import Scratch, documents, without_clashes
 
 MIN_CHARS = 12
 BLANKS = " \t\r\f\v"
-FIRST_BLOCKS, NEXT_BLOCKS = 2, 16
+NEXT_BLOCKS = 16
 PLACE = ["doc", "version", "line_no"]
 
 
@@ -34,31 +34,46 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def cuts(line: Column, blocks: int) -> list[Column]:
-    """struct<key, begin, tail> for each block, as cut for the line's own length and for one less: the hash of the line without the
-    block, and the characters before and after it."""
+def halves(line: Column) -> list[Column]:
+    """The line's hash without its first or second half, as cut for its own length and for one less."""
     out = []
     for length in (F.length(line), F.length(line) - 1):
-        for i in range(blocks):
-            begin, tail = F.floor(length * i / blocks).cast("int"), (length - F.floor(length * (i + 1) / blocks)).cast("int")
-            key = F.xxhash64(F.lit(blocks * 100 + i), F.substring(line, F.lit(1), begin), F.lit("|"), F.right(line, tail))
-            out.append(F.struct(key.alias("key"), begin.alias("begin"), tail.alias("tail")))
+        half = F.floor(length / 2).cast("int")
+        out += [F.xxhash64(F.lit(1), F.right(line, length - half)), F.xxhash64(F.lit(2), F.substring(line, F.lit(1), half))]
     return out
 
 
+def cuts(line: Column, blocks: int) -> Column:
+    """Array of struct<key, begin, tail>, one for each block, as cut for the line's own length and for one less: a hash of the line without the
+    block, and the characters before and after it. Each block is hashed once with its number, and a key combines the hashes of the others, so a long line is not read again for each of its blocks."""
+
+    def of(length: Column) -> Column:
+        edge = lambda i: F.floor(length * i / blocks).cast("int")
+        numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
+        # Blocks before the open one are counted from the start, those behind it from the end.
+        heads = F.transform(numbers, lambda i: F.xxhash64(i, F.substring(line, edge(i) + 1, edge(i + 1) - edge(i))))
+        tails = F.transform(numbers, lambda i: F.xxhash64(i, F.substring(line, F.length(line) - length + edge(i) + 1, edge(i + 1) - edge(i))))
+        fold = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+        key = lambda x, i: F.xxhash64(F.lit(blocks), i, fold(F.slice(x["heads"], F.lit(1), i)), fold(F.slice(x["tails"], i + 2, F.lit(blocks))))
+        made = lambda x: F.transform(numbers, lambda i: F.struct(key(x, i).alias("key"), edge(i).alias("begin"), (length - edge(i + 1)).cast("int").alias("tail")))
+        # One struct in an array, so that blocks are hashed once and not once for each key.
+        return F.transform(F.array(F.struct(heads.alias("heads"), tails.alias("tails"))), made)[0]
+
+    return F.concat(of(F.length(line)), of(F.length(line) - 1))
+
+
 def shared_cuts(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The rows (id_1, key and more) whose key a different line has too."""
     shared = keyed.groupBy("key").agg(F.min("id_1").alias("low"), F.max("id_1").alias("high")).filter("low <> high").select("key")
     return keyed.join(scratch.write(shared, f"{name}-shared"), "key", "left_semi")
 
 
-def neighbourhood(line: Column, begin: Column, tail: Column) -> Column:
-    """Hashed with its place: every variant with a character of the open block left out, and the line with each gap in the block."""
-    length = F.length(line)
-    without = lambda i, rest: F.xxhash64(F.substring(line, F.lit(1), i - 1), F.lit("|"), F.right(line, rest))
-    end = length - tail
-    taken = F.when(end > begin, F.transform(F.sequence(begin + 1, F.greatest(end, begin + 1)), lambda i: without(i, length - i))).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(taken, F.transform(F.sequence(begin + 1, end + 1), lambda i: without(i, length - i + 1)))
+def neighbourhood(key: Column, block: Column) -> Column:
+    """Hashed with the key of the rest of the line: every variant of the open block with a character left out, and the block with each gap."""
+    length = F.length(block)
+    without = lambda i, rest: F.xxhash64(key, F.substring(block, F.lit(1), i - 1), F.lit("|"), F.right(block, rest))
+    taken = F.when(length > 0, F.transform(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), lambda i: without(i, length - i))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(taken, F.transform(F.sequence(F.lit(1), length + 1), lambda i: without(i, length - i + 1)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
@@ -70,9 +85,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = docs.select(doc.alias("doc"), version.alias("version"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", normal(F.col("line"))).filter(F.length("line") >= floor)
     # A line goes by two hashes of its whole text. All keys of the first filter follow from the text, so they are grouped with it and no text is moved.
     # Shorter lines have no keys: they meet equal ones only.
-    cut_keys = F.when(F.length("line") >= MIN_CHARS, F.array_distinct(F.array(*[c["key"] for c in cuts(F.col("line"), FIRST_BLOCKS)]))).otherwise(F.array().cast("array<bigint>"))
+    cut_keys = F.when(F.length("line") >= MIN_CHARS, F.array_distinct(F.array(*halves(F.col("line"))))).otherwise(F.array().cast("array<bigint>"))
     named = lines.select(*PLACE, F.xxhash64("line").alias("id_1"), F.xxhash64(F.lit("second"), "line").alias("id_2"), cut_keys.alias("keys"))
-    keys = [f"key_{i}" for i in range(2 * FIRST_BLOCKS)]
+    keys = [f"key_{i}" for i in range(4)]
     first = named.select(*PLACE, "id_1", "id_2", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(keys)]).groupBy("id_1", "id_2", *keys).agg(F.min(F.struct(*PLACE)).alias("at"))
     first = scratch.write(first.select("id_1", "id_2", F.array_compact(F.array(*keys)).alias("keys"), "at.*"), "first")
     some = shared_cuts(first.select("id_1", "id_2", F.explode("keys").alias("key")), scratch, "some").select("id_1", "id_2").distinct()
@@ -80,13 +95,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Lines meet their places by a shuffle at every size; all of them are read, and few go on.
     spelled = scratch.write(lines.join(some.hint("merge"), PLACE).select(*PLACE, "id_1", "id_2", "line"), "spelled")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = spelled.repartition(parts, "id_1").select("id_1", "id_2", F.explode(F.array(*cuts(F.col("line"), NEXT_BLOCKS))).alias("c")).select("id_1", "id_2", "c.*")
+    keyed = spelled.repartition(parts, "id_1").select("id_1", "id_2", F.explode(cuts(F.col("line"), NEXT_BLOCKS)).alias("c")).select("id_1", "id_2", "c.*")
     # The edit lies in the block that is left out, so only its characters are varied.
-    blocks = scratch.write(shared_cuts(keyed, scratch, "blocks").select("id_1", "id_2", "begin", "tail").distinct(), "blocks")
+    blocks = scratch.write(shared_cuts(keyed, scratch, "blocks").distinct(), "blocks")
     few = scratch.write(spelled.join(blocks.select("id_1", "id_2").distinct(), ["id_1", "id_2"], "left_semi"), "few")
     # Variants carry the line's place only; texts come back for the pairs to verify, at most one for each line and key.
-    spread = few.join(blocks, ["id_1", "id_2"]).repartition(parts, "id_1", "begin", "tail")
-    variants = spread.select(F.struct(*PLACE).alias("own"), F.explode(neighbourhood(F.col("line"), F.col("begin"), F.col("tail"))).alias("key"))
+    block = F.substring("line", F.col("begin") + 1, F.length("line") - F.col("begin") - F.col("tail"))
+    spread = few.join(blocks, ["id_1", "id_2"]).select(*PLACE, "key", block.alias("block")).repartition(parts, "key", *PLACE)
+    variants = spread.select(F.struct(*PLACE).alias("own"), F.explode(neighbourhood(F.col("key"), F.col("block"))).alias("key"))
     variants = scratch.write(variants, "variants")
     earliest = variants.groupBy("key").agg(F.min("own").alias("earliest"), F.max("own").alias("latest")).filter("earliest <> latest").drop("latest")
     met = variants.join(earliest, "key").filter("earliest < own").select("own", "earliest").distinct()
@@ -105,7 +121,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("__lines", F.split(F.coalesce(F.col(f"__row.`{text_col}`"), F.lit("")), "\n"))
     tested = F.filter(F.transform("__lines", lambda x, i: F.when(F.length(F.btrim(x, F.lit(BLANKS))) >= floor, i)), lambda i: i.isNotNull())
     joined = joined.withColumn("__gone", F.array_except(tested, F.coalesce("__stay", F.array().cast("array<int>"))))
-    left = F.when(F.size("__gone") == 0, F.col(f"__row.`{text_col}`")).otherwise(F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
+    left = F.when(F.size("__gone") == 0, F.col(f"__row.`{text_col}`")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"), lambda i: F.get("__lines", i)), "\n"))
     extra = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
         *[left.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in extra],
@@ -114,7 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(without_clashes(documents(spark, sf_dir), "doc_id", "text"))
+    out = dedup_lines(without_clashes(documents(spark, sf_dir), "doc_id", "text"), short_repeats=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -123,16 +139,16 @@ WITH l AS (
   SELECT doc_id, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS n, unnest(str_split(coalesce(text, ''), chr(10))) AS x
   FROM documents
 ), e AS (SELECT doc_id, n, lower(trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))) AS s FROM l),
-t AS (SELECT * FROM e WHERE length(s) >= 12),
+t AS (SELECT * FROM e WHERE length(s) >= 1),
 f AS (SELECT s, doc_id, n, row_number() OVER (ORDER BY doc_id, n) AS place FROM t QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, n) = 1),
 v AS (
-  SELECT s, place, hash(substr(s, 1, i - 1) || chr(1) || substr(s, i + 1)) AS k FROM (SELECT s, place, unnest(range(1, length(s) + 1)) AS i FROM f)
+  SELECT s, place, hash(substr(s, 1, i - 1) || chr(1) || substr(s, i + 1)) AS k FROM (SELECT s, place, unnest(range(1, length(s) + 1)) AS i FROM f WHERE length(s) >= 12)
   UNION ALL
-  SELECT s, place, hash(substr(s, 1, i - 1) || chr(1) || substr(s, i)) FROM (SELECT s, place, unnest(range(1, length(s) + 2)) AS i FROM f)
+  SELECT s, place, hash(substr(s, 1, i - 1) || chr(1) || substr(s, i)) FROM (SELECT s, place, unnest(range(1, length(s) + 2)) AS i FROM f WHERE length(s) >= 12)
 ), b AS (SELECT k, min(place) AS p FROM v GROUP BY k HAVING count(*) > 1),
 near AS (SELECT DISTINCT v.s FROM v JOIN b USING (k) WHERE b.p < v.place),
 kept AS (
-  SELECT l.doc_id, l.n, l.x, length(e.s) < 12 OR (f.s IS NOT NULL AND near.s IS NULL) AS stays
+  SELECT l.doc_id, l.n, l.x, length(e.s) < 1 OR (f.s IS NOT NULL AND near.s IS NULL) AS stays
   FROM l JOIN e ON l.doc_id = e.doc_id AND l.n = e.n
   LEFT JOIN f ON f.doc_id = l.doc_id AND f.n = l.n
   LEFT JOIN near ON near.s = e.s

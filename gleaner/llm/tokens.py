@@ -14,8 +14,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words a worker remembers; then it forgets all and goes on.
-MEMO_WORDS = 300_000
+#: Words of a generation that a worker remembers. When it is full, the one before is forgotten; words met again move to the new one.
+MEMO_WORDS = 400_000
 #: Lower-case letters that are one code point in NFC whatever stands beside them.
 LETTERS = re.compile("[a-zß-öø-ÿœ]+")
 
@@ -43,6 +43,7 @@ class Encoder:
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 else "<u4"
         self.width = int(self.dtype[2])
         self.memo: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.spelling = str.maketrans(byte_letters())
         self.packed = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
@@ -56,7 +57,7 @@ class Encoder:
                 rest.append(word)
                 continue
             key = low.encode()
-            ids = memo.get(key)
+            ids = memo.get(key) or self.before.get(key)
             if ids is None:
                 ids = memo[key] = b"".join([packed[x.id] for x in model.tokenize(low.translate(spelling))])
             if len(core) < len(word):
@@ -78,8 +79,11 @@ class Encoder:
             return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
             if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            self.learn({w for w in words if w not in self.memo})
+                self.memo, self.before = {}, self.memo
+            new = {w for w in words if w not in self.memo}
+            known = new & self.before.keys()
+            self.memo.update((w, self.before[w]) for w in known)
+            self.learn(new - known)
             return b"".join(map(self.memo.__getitem__, words))
 
 

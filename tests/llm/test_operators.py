@@ -329,3 +329,55 @@ def test_pipeline(spark):
 
 def test_names():
     assert sorted(re.match(r"op\d+", n)[0] for n in queries.queries()) == sorted(f"op{n}" for n in range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_mixing_meets_marginals(spark):
+    """At the defaults every marginal is within 1 %, on given documents."""
+    from gleaner.llm.op05_mixing import marginals
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = rows_of(marginals(docs))
+    assert {r["dimension"] for r in got} == {"source", "lang", "topic"} and all(r["met"] for r in got), [r for r in got if not r["met"]]
+    assert sum(r["expected"] for r in got if r["dimension"] == "lang") == pytest.approx(0.6 * sum(r["has"] for r in got if r["dimension"] == "lang"), rel=0.01)
+    # A single language can't have more than MOST of what it has, and a given column can stand for the topic.
+    asked = rows_of(marginals(docs, targets={"lang": {"es": 1.0, "en": 0.0, "xx": 1.0}}, topic_col="lang", rounds=3))
+    assert {r["category"] for r in asked if r["dimension"] == "topic"} == {"en", "de", "fr", "es"} and all(r["goal"] <= 0.751 * r["has"] for r in asked)
+
+
+def test_very_long_lines(spark):
+    long_ = "".join(rng.choice("abcdefghij ") for _ in range(200_000))
+    made = [(1, long_), (2, long_[:70_000] + "X" + long_[70_000:]), (3, long_[:150_000] + long_[150_001:]), (4, long_[:100] + "YZ" + long_[100:]), (5, None), (None, "null id goes first\nand stays"), (6, "null id goes first\nand stayz")]
+    got = {r["doc_id"]: r["n_removed"] for r in rows_of(dedup_lines(spark.createDataFrame(made, "doc_id long, text string")))}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, None: 0, 6: 1}
+
+
+def test_near_recall(spark):
+    """Pairs just above the threshold, 0.85 to 0.87, in a crowd that shares a passage, with nodes so small that they branch."""
+    crowd, made, want = prose(60), [], set()
+    for i in range(150):
+        own = crowd.split(" ") + prose(140).split(" ")
+        other = [*own]
+        for at in rng.sample(range(70, 190), 5):
+            other[at] = "changed"
+        a, b = ({tuple(x[j : j + 3]) for j in range(len(x) - 2)} for x in (own, other))
+        made += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+        if 100 * len(a & b) >= 85 * len(a | b):
+            want.add(2 * i + 1)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near, "NODE", 16)
+        got = rows_of(near_duplicates(spark.createDataFrame(made, "doc_id long, text string")))
+    found = {r["doc_id"] for r in got if not r["kept"]}
+    assert found == want and len(want) > 30
+
+
+def test_sample_of_labels_is_bounded(spark):
+    table = spark.createDataFrame([(i, prose(5) if i % 2 else "| | x | !!") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    sizes = []
+    from gleaner.llm import op07_quality as quality
+
+    with pytest.MonkeyPatch.context() as patch:
+        network = quality.Network
+        patch.setattr(quality, "Network", lambda x, y: (sizes.append(len(y)), network(x, y))[1])
+        got = rows_of(score_documents(table, labels, train_rows=400))
+    assert 300 < sizes[0] < 500 and len(got) == 2000 and sum((r["predicted"] == 1) == (r["doc_id"] % 2 == 1) for r in got) > 1900
