@@ -76,6 +76,14 @@ def neighbourhood(key: Column, block: Column) -> Column:
     return F.concat(taken, F.transform(F.sequence(F.lit(1), length + 1), lambda i: without(i, length - i + 1)))
 
 
+def within_one(a: Column, b: Column, begin: Column, tail: Column) -> Column:
+    """Whether lines agree on the first ``begin`` and the last ``tail`` characters and differ by one edit at most between them. The edit distance takes time
+    with the square of what it compares, so it sees the open blocks only."""
+    head, end = (lambda x: F.substring(x, F.lit(1), begin)), (lambda x: F.right(x, tail))
+    open_ = lambda x: F.substring(x, begin + 1, F.length(x) - begin - tail)
+    return (head(a) == head(b)) & (end(a) == end(b)) & (F.levenshtein(open_(a), open_(b), 1) >= 0)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
     """``docs`` with all its columns, text_col without the lines that go, and n_lines and n_removed beside them."""
     floor = 1 if short_repeats else MIN_CHARS
@@ -101,15 +109,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = scratch.write(spelled.join(blocks.select("id_1", "id_2").distinct(), ["id_1", "id_2"], "left_semi"), "few")
     # Variants carry the line's place only; texts come back for the pairs to verify, at most one for each line and key.
     block = F.substring("line", F.col("begin") + 1, F.length("line") - F.col("begin") - F.col("tail"))
-    spread = few.join(blocks, ["id_1", "id_2"]).select(*PLACE, "key", block.alias("block")).repartition(parts, "key", *PLACE)
-    variants = spread.select(F.struct(*PLACE).alias("own"), F.explode(neighbourhood(F.col("key"), F.col("block"))).alias("key"))
+    spread = few.join(blocks, ["id_1", "id_2"]).select(*PLACE, "key", "begin", "tail", block.alias("block")).repartition(parts, "key", *PLACE)
+    variants = spread.select(F.struct(*PLACE).alias("own"), "begin", "tail", F.explode(neighbourhood(F.col("key"), F.col("block"))).alias("key"))
     variants = scratch.write(variants, "variants")
     earliest = variants.groupBy("key").agg(F.min("own").alias("earliest"), F.max("own").alias("latest")).filter("earliest <> latest").drop("latest")
-    met = variants.join(earliest, "key").filter("earliest < own").select("own", "earliest").distinct()
+    met = variants.join(earliest, "key").filter("earliest < own").select("own", "earliest", "begin", "tail").distinct()
     spelled_as = lambda x, y: few.select(F.struct(*PLACE).alias(x), F.col("line").alias(y))
     near = (
         met.join(few.select(F.struct(*PLACE).alias("own"), "id_1", "id_2", F.col("line").alias("own_line")), "own").join(spelled_as("earliest", "earliest_line"), "earliest")
-        .filter(F.levenshtein("own_line", "earliest_line", 1) >= 0)
+        .filter(within_one(F.col("own_line"), F.col("earliest_line"), F.col("begin"), F.col("tail")))
         .select("id_1", "id_2").distinct()
     )
     near = scratch.write(near, "near")
