@@ -8,7 +8,7 @@ similarity s, so they meet in a tree with probability f = 1 - (1 - s f)**2 or mo
 Nodes of up to NODE classes (and NODE_BYTES of sets) are small: their pairs are compared exhaustively within a task. A larger node is first cut into blocks of
 that size, each with the node's pivots, and every block is compared like a small node; this links what is near to the pivots. Links inside a component change nothing
 any more, so a large node is done once its classes are in one component, as those of near copies of one text are. If few of its classes are outside
-its largest component - LEAF blocks at most, so that rows are sent on in proportion to the node - they are compared with all blocks; else it branches. After MAX_DEPTH branchings pairs of blocks are compared
+its largest component - LEAF / 2 blocks at most - they are compared with all, that many blocks at a time, so that rows are sent on in proportion to the node; else it branches. After MAX_DEPTH branchings pairs of blocks are compared
 at any size, a bounded group at a time. The first tree goes first: nodes of the others whose classes it has brought together are done before anything is sent to them.
 
 A comparison has two steps. Within a node, set sizes and agreeing tokens find candidates (a pair at the threshold falls below the cut once in 300,000); what candidates
@@ -34,9 +34,9 @@ from gleaner.llm.components import components
 from gleaner.llm.kernels import distinct_by_row, mix, prefix_sums, window_hash, words
 
 WORDS, OVER, UNDER = 3, 85, 100
-SKETCH, TREES, BRANCH, NODE, LEAF, PIVOTS, MAX_DEPTH = 128, 4, 2, 512, 1, 4, 12
+SKETCH, TREES, BRANCH, NODE, LEAF, PIVOTS, MAX_DEPTH = 128, 4, 2, 512, 16, 4, 12
 #: Bytes of sets that a node or block may hold on average.
-NODE_BYTES = 16 << 20
+NODE_BYTES = 8 << 20
 #: Standard deviations below the threshold at which agreeing tokens rule a pair out.
 DEVIATIONS = 4.5
 MULTIPLIERS = np.random.default_rng(1).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -254,18 +254,19 @@ class Join:
         nodes = self.scratch.write(nodes.filter("low <> high").drop("low", "high"), name)
         block = lambda count, salt=0: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count)).cast("int")
         dealt = members.join(nodes.select("node", "blocks"), "node").select("node", block("blocks").alias("block"), "id")
-        large = nodes.filter("blocks > 1")
+        large = nodes.filter("blocks > 1").select("node", "blocks", "pivots")
         pivots = large.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "pivots").select("node", "block", F.explode("pivots").alias("id"))
         self.compare(dealt.union(pivots))
         if large.isEmpty():
             return None
-        held = self.with_part(members.join(large.select("node"), "node").select("node", "id"))
-        main = held.groupBy("node", "part").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
-        opened = main.filter("parts > 1").select("node", F.col("main.part").alias("main"), "size", (F.col("size") - F.col("main.n")).alias("others"))
+        held = self.with_part(members.join(large.select("node", "blocks"), "node").select("node", "id", "blocks"))
+        main = held.groupBy("node", "blocks", "part").agg(F.count("*").alias("n")).groupBy("node", "blocks").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
+        opened = main.filter("parts > 1").select("node", "blocks", F.col("main.part").alias("main"), "size", (F.col("size") - F.col("main.n")).alias("others"))
         opened = self.scratch.write(opened.withColumn("ends", F.lit(last) | (F.col("others") * 2 <= LEAF * NODE)), f"{name}-open")
-        ends = opened.filter("ends").select("node", "main", F.ceil(F.col("size") * 2 / NODE).alias("across"), F.ceil(F.col("others") * 2 / NODE).alias("down"))
+        across = F.col("blocks") * 2 / LEAF
+        ends = opened.filter("ends").select("node", "main", F.ceil(across).alias("across"), F.ceil(across * F.col("others") / F.col("size")).alias("down"))
         if not ends.isEmpty():
-            rows = held.join(ends, "node")
+            rows = held.drop("blocks").join(ends, "node")
             every = rows.select("node", "id", block("across").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"), "down")
             other = rows.filter("part <> main").select("node", "id", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), block("down", 1).alias("y"), "down")
             self.compare(every.union(other).select("node", (F.col("x") * F.col("down") + F.col("y")).alias("block"), "id"))
