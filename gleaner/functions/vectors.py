@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def with_hashed(df: DataFrame, tokens: Column, dims: int = 64, name: str = "vector") -> DataFrame:
-    """Default embedder: how many tokens hash to each of ``dims`` buckets. Whole numbers, so products are exact.
+    """Default embedder: how many tokens hash to each of ``dims`` buckets. Whole numbers, so products are exact. Null tokens: null.
 
-    Buckets are a column of their own, used twice, so that the optimizer doesn't hash all tokens anew for each bucket.
+    Spark hashes the tokens; numpy counts the buckets of a batch of rows at once.
     """
     buckets = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % dims))
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter("__buckets", lambda b: b == i)).cast("double"))
-    out = df.withColumn("__buckets", buckets)
-    return out.withColumn(name, F.when(F.size("__buckets") >= 0, counted)).drop("__buckets")
+
+    @F.pandas_udf("array<double>")
+    def counted(rows: pd.Series) -> pd.Series:
+        sizes = np.array([-1 if x is None else len(x) for x in rows])
+        flat = np.concatenate([x for x in rows if x is not None] or [np.empty(0)]).astype(np.int64)
+        row = np.repeat(np.arange(len(rows)), np.maximum(sizes, 0))
+        counts = np.bincount(row * dims + flat, minlength=len(rows) * dims).reshape(-1, dims).astype(float)
+        return pd.Series([None if n < 0 else x for n, x in zip(sizes, counts, strict=True)], dtype=object)
+
+    return df.withColumn(name, counted(buckets))

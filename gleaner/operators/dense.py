@@ -13,8 +13,8 @@ from gleaner.functions.vectors import TINY, cosine
 from gleaner.operators.lexical import ranked
 from gleaner.params import Params
 
-#: Chunks and queries in a block. A task holds one of each, and their product.
-CHUNK_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Chunks and queries in a block. A task holds one of each, and their product. Chunk blocks of a group, about: there are as many groups as that gives, whatever the cluster.
+CHUNK_BLOCK, QUERY_BLOCK, GROUP_BLOCKS = 4096, 1024, 16
 
 
 def _packed(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
@@ -38,7 +38,8 @@ def search(questions: DataFrame, chunks: DataFrame, query: str, key: str, query_
     """(query, key, score, rank): cosine with TINY on each length; scores not above ``above`` are left out after the cut to n."""
     n = n or params.candidates
     kinds = f"{query} {questions.schema[query].dataType.simpleString()}, {key} {chunks.schema[key].dataType.simpleString()}, score double"
-    groups = max(1, min(64, questions.sparkSession._jsc.sc().defaultParallelism()))
+    blocks = chunks.count() // CHUNK_BLOCK
+    groups = max(1, questions.sparkSession._jsc.sc().defaultParallelism(), blocks // GROUP_BLOCKS)
     # Chunk blocks are dealt to groups; each query block goes to every group. No row is made for a query and a chunk.
     left = _packed(chunks, key, vector, CHUNK_BLOCK, "c").withColumn("group", F.pmod(F.xxhash64("c_block"), F.lit(groups)).cast("int"))
     right = _packed(questions, query, query_vector, QUERY_BLOCK, "q").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))

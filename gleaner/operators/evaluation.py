@@ -23,7 +23,7 @@ def relevance(hits: DataFrame, questions: DataFrame, query: str = "query_id") ->
 def hit_rate(relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """(k, questions, hits, rate). ``relevant`` is one search at the largest k, or has a column k for a search of its own at each."""
     n = F.greatest(F.count("*"), F.lit(1))
-    rows = relevant.select("first", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    rows = relevant.select("first", "k") if "k" in relevant.columns else relevant.select("first", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     hits = F.coalesce(F.sum(F.when(F.col("first") <= F.col("k"), 1).otherwise(0)), F.lit(0))
     return rows.groupBy("k").agg(F.count("*").alias("questions"), hits.alias("hits"), F.bround(hits / n, 4).alias("rate"))
 
@@ -36,11 +36,13 @@ def retrieval_stats(questions: DataFrame, final: DataFrame, dense: DataFrame, sp
     """(query, total_results, dense_hits, sparse_hits, both_hits, top_score, mean_score, scores in order)."""
     count = lambda d, name: d.groupBy(query).agg(F.count("*").alias(name))
     own = final.groupBy(query).agg(
-        F.count("*").alias("total_results"), F.count_if(F.col("score_type") == "both").alias("both_hits"), F.sort_array(F.collect_list(F.struct("position", "score"))).alias("s"), F.avg("score").alias("mean_score"),
+        F.count("*").alias("total_results"), F.count_if(F.col("score_type") == "both").alias("both_hits"), F.sort_array(F.collect_list(F.struct("position", "score"))).alias("s"), F.sum(F.round(F.col("score") * 10_000).cast("long")).alias("sum"),
     )
     out = questions.select(query).join(own, query, "left").join(count(dense, "dense_hits"), query, "left").join(count(sparse, "sparse_hits"), query, "left")
+    # Scores have four decimals; whole numbers are added and rounded, so ties at the sixth place don't depend on the order.
+    mean = F.expr("div(200 * sum + total_results, 2 * total_results)") / 1_000_000
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select(query, zero("total_results"), zero("dense_hits"), zero("sparse_hits"), zero("both_hits"), F.get("s", F.lit(0))["score"].alias("top_score"), F.round("mean_score", 6).alias("mean_score"), F.coalesce(F.transform("s", lambda x: x["score"]), F.array().cast("array<double>")).alias("scores"))
+    return out.select(query, zero("total_results"), zero("dense_hits"), zero("sparse_hits"), zero("both_hits"), F.get("s", F.lit(0))["score"].alias("top_score"), mean.alias("mean_score"), F.coalesce(F.transform("s", lambda x: x["score"]), F.array().cast("array<double>")).alias("scores"))
 
 
 def summary(stats: DataFrame) -> DataFrame:
@@ -84,13 +86,15 @@ def compare_presets(hits: DataFrame, query: str = "query_id", presets: dict[str,
     return per.groupBy("preset").agg(F.count("*").alias("questions"), F.bround(F.avg("top"), 4).alias("mean_top"), F.bround(F.avg("mean"), 4).alias("mean_score"))
 
 
-def index_quality(chunks: DataFrame, source: str = "source", content: str = "content") -> DataFrame:
+def index_quality(chunks: DataFrame, vectors: DataFrame | None = None, source: str = "source", content: str = "content", vector: str = "vector") -> DataFrame:
+    """One row: counts and sizes of chunks, and the dimension of ``vectors``, where given."""
     n = F.length(content)
     between = lambda low, high: F.count_if((n >= low) & (n < high)) if high else F.count_if(n >= low)
-    return chunks.agg(
+    out = chunks.agg(
         F.count("*").alias("chunks"), F.count_distinct(source).alias("files"), F.floor(F.avg(n)).cast("long").alias("mean_chars"), F.max(n).cast("long").alias("most_chars"), F.min(n).cast("long").alias("least_chars"),
         between(0, 200).alias("under_200"), between(200, 350).alias("from_200"), between(350, 500).alias("from_350"), between(500, None).alias("from_500"),
     )
+    return out if vectors is None else out.join(F.broadcast(vectors.agg(F.max(F.size(vector)).alias("dimension"))))
 
 
 def per_file(chunks: DataFrame, source: str = "source", content: str = "content") -> DataFrame:
@@ -103,5 +107,6 @@ def document_list(chunks: DataFrame, source: str = "source") -> DataFrame:
 
 
 def report(stats: DataFrame, query: str = "query_id") -> DataFrame:
-    """(query, record): one JSON record for each question."""
-    return stats.select(query, F.to_json(F.struct(F.col("total_results").alias("total"), F.col("both_hits").alias("both"), F.bround("top_score", 4).alias("top"), F.bround("mean_score", 4).alias("mean"))).alias("record"))
+    """(query, record): one JSON record for each question, with its text, category and scores where ``stats`` has them."""
+    own = [F.col(c) for c in ("question", "category", "scores", "latency_ms") if c in stats.columns]
+    return stats.select(query, F.to_json(F.struct(*own, F.col("total_results").alias("total"), F.col("both_hits").alias("both"), F.bround("top_score", 4).alias("top"), F.bround("mean_score", 4).alias("mean"))).alias("record"))

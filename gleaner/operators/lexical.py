@@ -54,6 +54,12 @@ def chunk_lengths(chunks: DataFrame, keys: list[str], text_col: str = "content",
     return chunks.select(*keys, F.size(tokens(F.col(text_col), **how)).cast("long").alias("dl"))
 
 
+def postings_and_lengths(chunks: DataFrame, keys: list[str], text_col: str = "content", **how) -> DataFrame:
+    """(keys, term, tf, dl) from one pass over the texts: a chunk's length comes from the tokens that are counted."""
+    own = chunks.select(*keys, tokens(F.col(text_col), **how).alias("t")).select(*keys, F.explode("t").alias("term"), F.size("t").cast("long").alias("dl"))
+    return own.groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf")).select(*keys, "term", "tf", "dl")
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row: n chunks and their mean length."""
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -77,11 +83,12 @@ def ranked(scores: DataFrame, query: str, keys: list[str], n: int, score: str =
 def search(questions: DataFrame, posts: DataFrame, lengths: DataFrame, terms: DataFrame, stats: DataFrame, keys: list[str], params: Params = Params(), n: int | None = None, query: str = "query_id", text_col: str = "text", **how) -> DataFrame:
     """(query, keys, score, rank): BM25 over posting tables. A repeated query term counts as often as it is there.
 
-    The side of the query terms is small or large as the table of questions is; Spark picks the join by its size.
+    The side of the query terms is small or large as the table of questions is; Spark picks the join by its size. Postings that carry ``dl`` need no join with ``lengths``.
     """
     asked = questions.select(query, F.explode(tokens(F.col(text_col), **how)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
     wanted = asked.join(terms, "term")
-    hits = posts.join(wanted, "term").join(lengths, keys).join(F.broadcast(stats))
+    met = posts.join(wanted, "term")
+    hits = (met if "dl" in posts.columns else met.join(lengths, keys)).join(F.broadcast(stats))
     rise = F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(query, *keys).agg(F.sum(F.col("qf") * F.col("idf") * rise).alias("score"))
     return ranked(scored.filter(F.round("score", 6) > params.sparse_threshold), query, keys, n or params.candidates)

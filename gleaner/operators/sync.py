@@ -20,6 +20,11 @@ def change_report(changes: DataFrame, name: str = "name") -> DataFrame:
     return changes.groupBy("status").agg(F.count("*").alias("files"), F.min(name).alias("first_name"), F.max(name).alias("last_name")).withColumn("changed", F.col("status") != "unchanged")
 
 
+def changed_names(changes: DataFrame, name: str = "name") -> DataFrame:
+    """(status, name) of all that was added, deleted or modified: the lists of the report, as rows, since a list may be as long as the corpus."""
+    return changes.filter("status <> 'unchanged'").select("status", name)
+
+
 def has_changes(changes: DataFrame) -> bool:
     return not changes.filter("status <> 'unchanged'").isEmpty()
 

@@ -49,10 +49,11 @@ kw AS (SELECT query_id, (list_filter(list_filter(w, lambda x, i: list_position(w
 tags AS (SELECT item_id AS query_id, list_filter([{', '.join(f"CASE WHEN {words('text', k)} THEN {lit(s)} END" for s, k in q.INTENTS)}], lambda x: x IS NOT NULL) AS intents,
   {cases([(words('text', k), p) for p, k in q.TARGETS], None)} AS target FROM benchmark)"""
 INDEX = f"""ch AS (SELECT doc_id AS key, coalesce(text, '') AS content, source, lang, {toks('text')} AS w FROM documents),
-posts AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(w) AS term FROM ch) GROUP BY ALL),
+posts AS MATERIALIZED (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(w) AS term FROM ch) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM ch),
-rw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts, st GROUP BY term),
-ts AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw)"""
+rw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM posts GROUP BY term) p, st),
+rm AS MATERIALIZED (SELECT avg(raw) AS mean FROM rw),
+ts AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rw, rm)"""
 
 
 def sparse(n: int = 10, name: str = "sparse") -> str:
@@ -89,8 +90,8 @@ SHOWN = f"""{FUSED}, shown AS (SELECT f.query_id, f.key, f.rank AS position, sco
 LABELS = "CASE lang " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in rules.SECTION_LABELS.items()) + f" ELSE {lit(context.OTHER_LABEL)} END"
 CONTEXT = f"""{SHOWN}, ctx AS (SELECT query_id, string_agg('[项目: ' || source || ' | 来源: ' || source || ' | 章节: ' || {LABELS} || ']' || chr(10) || content, {lit(context.SEPARATOR)} ORDER BY position) AS context,
   list(struct_pack(position := position, source := source, file_type := lang, content := content, score := score) ORDER BY position) AS hits FROM shown GROUP BY query_id)"""
-STATS = f"""{SHOWN}, stats AS (SELECT qs.query_id, coalesce(f.total_results, 0) AS total_results, coalesce(d.n, 0) AS dense_hits, coalesce(s.n, 0) AS sparse_hits, coalesce(f.both_hits, 0) AS both_hits, f.top_score, round(f.mean_score, 6) AS mean_score
-  FROM qs LEFT JOIN (SELECT query_id, count(*) AS total_results, count(*) FILTER (score_type = 'both') AS both_hits, arg_min(score, position) AS top_score, avg(score) AS mean_score FROM shown GROUP BY 1) f USING (query_id)
+STATS = f"""{SHOWN}, stats AS (SELECT qs.query_id, coalesce(f.total_results, 0) AS total_results, coalesce(d.n, 0) AS dense_hits, coalesce(s.n, 0) AS sparse_hits, coalesce(f.both_hits, 0) AS both_hits, f.top_score, f.mean_score
+  FROM qs LEFT JOIN (SELECT query_id, count(*) AS total_results, count(*) FILTER (score_type = 'both') AS both_hits, arg_min(score, position) AS top_score, ((200 * sum(round(score * 10000)::BIGINT) + count(*)) // (2 * count(*)))::BIGINT / 1000000.0::DOUBLE AS mean_score FROM shown GROUP BY 1) f USING (query_id)
   LEFT JOIN (SELECT query_id, count(*) AS n FROM dense GROUP BY 1) d USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM sparse GROUP BY 1) s USING (query_id))"""
 SNAPSHOTS = """now AS (SELECT 'doc-' || doc_id AS name, md5(text) AS m FROM documents),
 was AS (SELECT 'doc-' || doc_id AS name, md5(CASE WHEN quality = 1 THEN text ELSE text || ' ' END) AS m FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'page-' || page_id, md5(html) FROM pages),
@@ -165,6 +166,7 @@ def oracle_sql() -> dict[str, str]:
         "presets": f"WITH {SHOWN} SELECT query_id, key, preset, w_dense::DOUBLE AS w_dense, w_sparse::DOUBLE AS w_sparse FROM shown, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, w_dense, w_sparse)",
         "file_hashes": f"WITH {SNAPSHOTS} SELECT name, m AS md5 FROM now",
         "detect_changes": f"WITH {SNAPSHOTS} SELECT * FROM changes",
+        "changed_names": f"WITH {SNAPSHOTS} SELECT status, name FROM changes WHERE status <> 'unchanged'",
         "change_report": f"WITH {SNAPSHOTS} SELECT status, count(*) AS files, min(name) AS first_name, max(name) AS last_name, status <> 'unchanged' AS changed FROM changes GROUP BY status",
         "incremental_append": "SELECT doc_id AS key, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
         "upsert": f"WITH {SNAPSHOTS} SELECT name AS source, m AS md5 FROM was WHERE name NOT IN (SELECT name FROM changes WHERE status IN ('deleted', 'modified')) UNION ALL SELECT name, m FROM now WHERE name IN (SELECT name FROM changes WHERE status IN ('added', 'modified'))",
@@ -188,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
         "overall_stats": f"WITH {STATS} SELECT count(*) AS questions, round_even(avg(top_score), 4) AS mean_top, round_even(avg(total_results), 1) AS mean_results, round_even(avg(both_hits), 1) AS mean_both FROM stats",
         "preset_compare": f"WITH {FUSED}, n AS (SELECT query_id, rank, {minmax('dense_score')} AS nd, {minmax('sparse_score')} AS ns FROM fused WHERE rank <= 8), s AS (SELECT preset, query_id, rank, round_even(wd::DOUBLE * nd + ws::DOUBLE * ns, 4) AS score FROM n, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, wd, ws)), "
         "g AS (SELECT preset, query_id, max(score) FILTER (rank = 1) AS top, avg(score) AS mean FROM s GROUP BY ALL) SELECT preset, count(*) AS questions, round_even(avg(top), 4) AS mean_top, round_even(avg(mean), 4) AS mean_score FROM g GROUP BY 1",
-        "index_quality": f"SELECT count(*) AS chunks, count(DISTINCT source) AS files, floor(avg({lengths}))::BIGINT AS mean_chars, max({lengths}) AS most_chars, min({lengths}) AS least_chars, count(*) FILTER ({lengths} < 200) AS under_200, count(*) FILTER ({lengths} >= 200 AND {lengths} < 350) AS from_200, count(*) FILTER ({lengths} >= 350 AND {lengths} < 500) AS from_350, count(*) FILTER ({lengths} >= 500) AS from_500 FROM documents",
+        "index_quality": f"SELECT count(*) AS chunks, count(DISTINCT source) AS files, floor(avg({lengths}))::BIGINT AS mean_chars, max({lengths}) AS most_chars, min({lengths}) AS least_chars, count(*) FILTER ({lengths} < 200) AS under_200, count(*) FILTER ({lengths} >= 200 AND {lengths} < 350) AS from_200, count(*) FILTER ({lengths} >= 350 AND {lengths} < 500) AS from_350, count(*) FILTER ({lengths} >= 500) AS from_500, (SELECT max(len(embedding)) FROM embeddings)::INT AS dimension FROM documents",
         "per_file": f"SELECT source, count(*) AS chunks, sum({lengths})::BIGINT AS chars FROM documents GROUP BY source",
         "document_list": "SELECT source, count(*) AS chunks, arg_min(lang, doc_id) AS file_type FROM documents GROUP BY source",
         "chunk_count": "SELECT count(*) AS chunks FROM documents",

@@ -42,7 +42,7 @@ def questions(t: Tables) -> DataFrame:
 
 def index(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     c = chunks(t)
-    posts, lengths = lexical.postings(c, ["key"]), lexical.chunk_lengths(c, ["key"])
+    posts, lengths = lexical.postings_and_lengths(c, ["key"]), lexical.chunk_lengths(c, ["key"])
     stats = lexical.corpus_stats(lengths)
     return posts, lengths, lexical.term_stats(posts, stats), stats
 
@@ -264,6 +264,10 @@ def q_change_report(t: Tables) -> DataFrame:
     return sync.change_report(q_detect_changes(t))
 
 
+def q_changed_names(t: Tables) -> DataFrame:
+    return sync.changed_names(q_detect_changes(t))
+
+
 def q_incremental_append(t: Tables) -> DataFrame:
     return sync.incremental(t("embeddings").select(F.col("vec_id").alias("key")), chunks(t).select("key", "source"), ["key"])
 
@@ -352,11 +356,18 @@ def searched(t: Tables, k: int) -> DataFrame:
 
 
 def q_hit_rate(t: Tables) -> DataFrame:
-    out = None
-    for k in (1, 3, 5):
-        one = evaluation.hit_rate(evaluation.relevance(searched(t, k), questions(t)), (k,))
-        out = one if out is None else out.union(one)
-    return out
+    """A search of its own at each k. What a channel gives for k are the first ranks of what it gives for more, so each channel is searched once."""
+    ks = (1, 3, 5)
+    limits = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(P.per_channel(k)).alias("n")) for k in ks])
+    most = max(P.per_channel(k) for k in ks)
+
+    def for_each(df: DataFrame) -> DataFrame:
+        return df.withColumn("of", F.explode(limits)).withColumn("query_id", F.struct("query_id", "of.k"))
+
+    cut = lambda hits: for_each(hits).filter(F.col("rank") <= F.col("of.n")).drop("of")
+    top = fusion.reciprocal_rank(cut(dense_hits(t, most)), cut(sparse_hits(t, most))).filter(F.col("rank") <= F.col("query_id.k"))
+    found = top.select("query_id", "key", F.col("rank").alias("position")).join(chunks(t).select("key", "content"), "key")
+    return evaluation.hit_rate(evaluation.relevance(found, for_each(questions(t)).drop("of")).select("first", "query_id.k"))
 
 
 def q_mrr(t: Tables) -> DataFrame:
@@ -377,7 +388,7 @@ def q_preset_compare(t: Tables) -> DataFrame:
 
 
 def q_index_quality(t: Tables) -> DataFrame:
-    return evaluation.index_quality(chunks(t))
+    return evaluation.index_quality(chunks(t), t("embeddings"), vector="embedding")
 
 
 def q_per_file(t: Tables) -> DataFrame:
@@ -393,7 +404,7 @@ def q_chunk_count(t: Tables) -> DataFrame:
 
 
 def q_report_record(t: Tables) -> DataFrame:
-    return evaluation.report(stats(t))
+    return evaluation.report(stats(t).join(questions(t).select("query_id", F.col("text").alias("question"), F.coalesce(F.get("intents", F.lit(0)), F.lit("other")).alias("category")), "query_id"))
 
 
 # --- judge
