@@ -26,7 +26,7 @@ def hits(questions: DataFrame, index: str, params: Params = Params()) -> DataFra
     asked = questions.withColumns({"intents": rules.intents(F.col("text")), "target": rules.target_project(F.col("text"))})
     embedded = vectors.with_hashed(asked, lexical.tokens(F.col("text")), params.dims)
     near = dense.search(embedded, known, "query_id", "key", params=params, n=n)
-    found = lexical.search(asked, read("postings").select(key, "term", "tf"), read("chunk_lengths").select(key, "dl"), read("term_stats"), read("corpus_stats"), ["key"], params, n)
+    found = lexical.search(asked, read("postings").select(key, "term", "tf", "dl"), read("chunk_lengths").select(key, "dl"), read("term_stats"), read("corpus_stats"), ["key"], params, n)
     # Content is joined last, to the few hits that are left.
     return search.finish(near, found, known, asked, params=params).join(chunks.select("key", "source", "project", "section_type", "file_type", "content"), "key")
 

@@ -1,8 +1,9 @@
 """Job: documents in, index tables out (chunks, vectors, postings, chunk lengths, term and corpus statistics).
 
-    python -m gleaner.jobs.build_index DOCUMENTS OUT [--mode full|sync|status]
+    python -m gleaner.jobs.build_index DOCUMENTS OUT [--mode full|sync|incremental|status]
 
-``sync`` compares hashes with those of the last build and builds only if something changed; ``status`` only reports.
+``sync`` compares hashes with those of the last build and builds only if something changed; ``incremental`` makes only the chunks of changed files anew
+and keeps the others'; ``status`` is the dry run: it only reports.
 """
 
 from __future__ import annotations
@@ -27,18 +28,48 @@ def build(documents: DataFrame, out: str, params: Params = Params()) -> None:
     chunks = spark.read.parquet(f"{out}/chunks")
     tables.write(vectors.with_hashed(chunks.select(*KEYS, "content"), lexical.tokens(F.col("content")), params.dims).drop("content"), f"{out}/vectors")
     files_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tables.write_postings(lexical.postings(chunks, KEYS), f"{out}/postings", files_)
+    tables.write_postings(lexical.postings_and_lengths(chunks, KEYS), f"{out}/postings", files_)
     tables.write(lexical.chunk_lengths(chunks, KEYS), f"{out}/chunk_lengths")
+    statistics(spark, out, params)
+
+
+def statistics(spark: SparkSession, out: str, params: Params) -> None:
     tables.write(lexical.corpus_stats(spark.read.parquet(f"{out}/chunk_lengths")), f"{out}/corpus_stats")
     tables.write(lexical.term_stats(spark.read.parquet(f"{out}/postings"), spark.read.parquet(f"{out}/corpus_stats"), params), f"{out}/term_stats")
 
 
+def update(documents: DataFrame, changes: DataFrame, out: str, params: Params = Params()) -> None:
+    """Brings the index of ``out`` up to ``changes``: rows of deleted and modified sources go, rows of added and modified ones are made. ``documents`` has source and text.
+
+    New tables are written beside the old ones and take their place when all are there; statistics follow from the new tables.
+    """
+    spark = documents.sparkSession
+    changed = changes.filter(F.col("status").isin("added", "modified")).select(F.col("name").alias("source"))
+    fresh = f"{out}/next/fresh"
+    build(documents.join(changed, "source", "left_semi"), fresh, params)
+    read = lambda place, table: spark.read.parquet(f"{place}/{table}")
+    for table in ("chunks", "vectors", "postings", "chunk_lengths"):
+        whole = sync.upsert(read(out, table), read(fresh, table), changes)
+        if table == "postings":
+            tables.write_postings(whole, f"{out}/next/{table}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+        else:
+            tables.write(whole, f"{out}/next/{table}")
+    statistics(spark, f"{out}/next", params)
+    for table in ("chunks", "vectors", "postings", "chunk_lengths", "corpus_stats", "term_stats"):
+        tables.replace(spark, f"{out}/next/{table}", f"{out}/{table}")
+    tables.remove(spark, f"{out}/next")
+
+
 def run(spark: SparkSession, folder: str, out: str, mode: str = "sync", params: Params = Params()) -> DataFrame:
     """The change report; builds unless ``mode`` is status, or is sync and nothing changed."""
     now = files.file_hashes(files.list_files(spark, folder))
     changes = sync.detect_changes(now, tables.read_or_empty(spark, f"{out}/hashes", "name string, md5 string"))
     rows = sync.change_report(changes).collect()  # a row for each of four statuses
-    if mode == "full" or (mode == "sync" and any(r["changed"] for r in rows)):
+    differs = any(r["changed"] for r in rows)
+    if mode == "incremental" and differs and any(r["status"] in ("unchanged", "modified", "deleted") for r in rows):
+        update(files.read_texts(spark, folder), changes, out, params)
+        tables.write(now, f"{out}/hashes")
+    elif mode == "full" or (mode in ("sync", "incremental") and differs):
         build(files.read_texts(spark, folder), out, params)
         tables.write(now, f"{out}/hashes")
     return spark.createDataFrame(rows, "status string, files long, first_name string, last_name string, changed boolean")
@@ -48,7 +79,7 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("documents")
     parser.add_argument("out")
-    parser.add_argument("--mode", default="sync", choices=["full", "sync", "status"])
+    parser.add_argument("--mode", default="sync", choices=["full", "sync", "incremental", "status"])
     args = parser.parse_args()
     run(SparkSession.builder.appName("build_index").getOrCreate(), args.documents, args.out, args.mode).show(truncate=False)
 

@@ -19,3 +19,16 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def replace(spark: SparkSession, new: str, old: str) -> None:
+    """Puts the table at ``new`` in the place of the one at ``old``."""
+    remove(spark, old)
+    place = spark._jvm.org.apache.hadoop.fs.Path(new)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).rename(place, spark._jvm.org.apache.hadoop.fs.Path(old)):
+        raise OSError(f"{new} can't take the place of {old}")

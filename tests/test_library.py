@@ -254,3 +254,33 @@ def test_jobs_end_to_end(spark, tmp_path):
     asked = spark.createDataFrame([(1, "Why do dogs bark?"), (2, "   ")], "query_id long, text string")
     rows = answer.run(asked, out, "role", "rules").collect()
     assert len(rows) == 1 and rows[0]["used_files"][0] == "dogs.txt" and "Dogs bark" in rows[0]["prompt"]
+
+
+def test_incremental_build_and_evaluation(spark, tmp_path):
+    """An incremental build leaves the same index as a full one, and the evaluation job reads the real search."""
+    from gleaner.jobs import build_index, evaluate
+
+    raw, out, full = tmp_path / "raw", str(tmp_path / "index"), str(tmp_path / "full")
+    raw.mkdir()
+    (raw / "cats.md").write_text("# Cats\nCats sleep all day. " * 20)
+    (raw / "dogs.txt").write_text("Dogs bark at night. " * 30)
+    (raw / "gone.txt").write_text("Fish swim. " * 9)
+    build_index.run(spark, str(raw), out, "incremental")
+    (raw / "gone.txt").unlink()
+    (raw / "cats.md").write_text("# Cats\nCats purr loudly. " * 25)
+    (raw / "birds.md").write_text("Birds sing in spring. " * 12)
+    report = {r["status"]: r["files"] for r in build_index.run(spark, str(raw), out, "incremental").collect()}
+    assert report == {"added": 1, "deleted": 1, "modified": 1, "unchanged": 1}
+    build_index.run(spark, str(raw), full, "full")
+    for table in ("chunks", "vectors", "postings", "chunk_lengths", "corpus_stats", "term_stats"):
+        rows = [sorted(map(repr, spark.read.parquet(f"{x}/{table}").select(*spark.read.parquet(f"{full}/{table}").columns).collect())) for x in (out, full)]
+        assert rows[0] == rows[1], table
+    asked = spark.createDataFrame([("a", "Which animals purr loudly?", "cats", ["purr"]), ("b", "Who barks at night: dogs?", "dogs", ["nothing like it"]), ("c", "Birds?", "birds", [])], "query_id string, text string, category string, keywords array<string>")
+    made = evaluate.run(asked, full, str(tmp_path / "report"))
+    assert {r["k"]: (r["questions"], r["hits"]) for r in made["hit_rate"].collect()} == {1: (2, 1), 3: (2, 1), 5: (2, 1)}
+    assert made["mrr"].first()["mrr"] == 0.5 and made["overall"].first()["questions"] == 3
+    import json
+
+    records = {r["query_id"]: json.loads(r["record"]) for r in made["records"].collect()}
+    assert records["a"]["category"] == "cats" and records["a"]["question"].startswith("Which") and records["a"]["scores"][0] == records["a"]["top"]
+    assert made["index_quality"].first()["dimension"] == 64
