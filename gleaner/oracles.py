@@ -166,6 +166,11 @@ def oracle_sql() -> dict[str, str]:
         "presets": f"WITH {SHOWN} SELECT query_id, key, preset, w_dense::DOUBLE AS w_dense, w_sparse::DOUBLE AS w_sparse FROM shown, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, w_dense, w_sparse)",
         "file_hashes": f"WITH {SNAPSHOTS} SELECT name, m AS md5 FROM now",
         "detect_changes": f"WITH {SNAPSHOTS} SELECT * FROM changes",
+        "headings": rf"""SELECT page_id, line, {strip("CASE WHEN marked <> '' THEN marked WHEN bracketed <> '' THEN bracketed WHEN numbered <> '' AND length(s) > 5 THEN numbered END")} AS heading FROM (
+  SELECT page_id, line, s, regexp_extract(s, '^#{{1,4}}\s+(.+)$', 1) AS marked, regexp_extract(s, '^[【「](.+?)[】」]$', 1) AS bracketed,
+    regexp_extract(s, '^(?:[一二三四五六七八九十]+[、．.]|[0-9]+[.、．]|[0-9]+\.[0-9]+)\s*(.+)$', 1) AS numbered
+  FROM (SELECT page_id, line, {strip('x')} AS s FROM (SELECT page_id, (generate_subscripts(ls, 1) - 1)::INT AS line, unnest(ls) AS x FROM (
+    SELECT page_id, str_split({TAGLESS.format("regexp_replace(html, '<h[1-6]>', chr(10) || '# ', 'g')")}, chr(10)) AS ls FROM pages)))) WHERE marked <> '' OR bracketed <> '' OR (numbered <> '' AND length(s) > 5)""",
         "changed_names": f"WITH {SNAPSHOTS} SELECT status, name FROM changes WHERE status <> 'unchanged'",
         "change_report": f"WITH {SNAPSHOTS} SELECT status, count(*) AS files, min(name) AS first_name, max(name) AS last_name, status <> 'unchanged' AS changed FROM changes GROUP BY status",
         "incremental_append": "SELECT doc_id AS key, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
