@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset and Spark is one process (tests), one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gleaner.scratch.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-gleaner-", dir="/tmp")
         spark.conf.set("gleaner.scratch.dir", path)
     return path.rstrip("/") if "://" in path or path.startswith("file:") else "file://" + path.rstrip("/")

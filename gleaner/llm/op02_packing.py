@@ -179,6 +179,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     parts = max(docs.sparkSession._jsc.sc().defaultParallelism(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     ranged = scratch.write(ranged.mapInArrow(number, f"{PIECES}, class int, part int, local long"), "ranked")
+    scratch.keep("ranked")
     counts = ranged.groupBy("class", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("class", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

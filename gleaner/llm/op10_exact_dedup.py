@@ -112,6 +112,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("fp", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     classes = scratch.write(classes, "classes")
+    scratch.keep("classes")
     # By here a text is named by fingerprint and SHA-256 together, so whole texts need not be moved once more.
     named = marked.select("doc_id", "fp", F.sha2("text", 256).alias("text_sha256"))
     return named.join(classes, ["fp", "text_sha256"], "left").select(
