@@ -56,7 +56,9 @@ def chunk_lengths(chunks: DataFrame, keys: list[str], text_col: str = "content",
 
 def postings_and_lengths(chunks: DataFrame, keys: list[str], text_col: str = "content", **how) -> DataFrame:
     """(keys, term, tf, dl) from one pass over the texts: a chunk's length comes from the tokens that are counted."""
-    own = chunks.select(*keys, tokens(F.col(text_col), **how).alias("t")).select(*keys, F.explode("t").alias("term"), F.size("t").cast("long").alias("dl"))
+    # Tokens and their number come from one value, before the tokens become rows, so that no row carries all of them.
+    counted = F.transform(F.array(tokens(F.col(text_col), **how)), lambda t: F.struct(t.alias("t"), F.size(t).cast("long").alias("dl")))
+    own = chunks.select(*keys, F.explode(counted).alias("x")).select(*keys, "x.t", "x.dl").select(*keys, F.explode("t").alias("term"), "dl")
     return own.groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf")).select(*keys, "term", "tf", "dl")
 
 
