@@ -16,6 +16,14 @@ def minmax(value: Column, by: list[str]) -> Column:
     return F.when(high == low, F.lit(1.0)).otherwise((value - low) / (high - low))
 
 
+def minmax_of_groups(rows: DataFrame, value: str, by: list[str], name: str = "norm") -> DataFrame:
+    """``rows`` with ``minmax`` of ``value`` as ``name``, for groups of any size: bounds are added up before the shuffle and joined back. Nulls are a group."""
+    ends = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    norm = F.when(F.col("__high") == F.col("__low"), F.lit(1.0)).otherwise((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")))
+    return rows.join(ends, same).select(*[F.col(c) for c in rows.columns], norm.alias(name))
+
+
 def _both(dense: DataFrame, sparse: DataFrame, query: str, key: str) -> DataFrame:
     """One row per query and key with each channel's rank and score (null where it didn't find the key)."""
     sides = [d.select(query, key, *[(F.col(c) if own == name else F.lit(None).cast(t)).alias(f"{name}_{c}") for name in ("dense", "sparse") for c, t in (("rank", "int"), ("score", "double"))]) for own, d in (("dense", dense), ("sparse", sparse))]

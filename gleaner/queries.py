@@ -204,7 +204,8 @@ def q_display_score(t: Tables) -> DataFrame:
 
 
 def q_minmax_by_type(t: Tables) -> DataFrame:
-    return t("events").select("event_id", "event_type", F.round(fusion.minmax(F.col("value"), ["event_type"]), 6).alias("norm"))
+    rows = fusion.minmax_of_groups(t("events").select("event_id", "event_type", "value"), "value", ["event_type"])
+    return rows.select("event_id", "event_type", F.round("norm", 6).alias("norm"))
 
 
 def q_query_intent(t: Tables) -> DataFrame:
