@@ -140,6 +140,12 @@ def test_fusion(spark):
         preset("none")
 
 
+def test_minmax_of_large_groups_keeps_nulls_and_single_rows(spark):
+    rows = spark.createDataFrame([(1, None, 2.0), (2, None, 4.0), (3, "a", 1.0), (4, "b", None)], "i int, g string, v double")
+    got = {x["i"]: x["norm"] for x in fusion.minmax_of_groups(rows, "v", ["g"]).collect()}
+    assert got == {1: 0.0, 2: 1.0, 3: 1.0, 4: None}
+
+
 def test_greedy_choice_against_a_plain_loop():
     rng = np.random.default_rng(1)
     for _ in range(20):
