@@ -75,15 +75,27 @@ def overall(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("questions"), F.bround(F.avg("top_score"), 4).alias("mean_top"), F.bround(F.avg("total_results"), 1).alias("mean_results"), F.bround(F.avg("both_hits"), 1).alias("mean_both"))
 
 
-def compare_presets(hits: DataFrame, query: str = "query_id", presets: dict[str, tuple[float, float]] = PRESETS) -> DataFrame:
-    """(preset, questions, mean_top, mean_score) of fused hits with norms of both channels. Weights change the shown score only, so one search serves all."""
+def compare_presets(hits: DataFrame, relevant: DataFrame | None = None, stats: DataFrame | None = None, query: str = "query_id", presets: dict[str, tuple[float, float]] = PRESETS) -> DataFrame:
+    """(preset, questions, mean_top, mean_score) of fused hits with norms of both channels; with ``relevant`` also hit_rate_1, _3, _5 and mrr, with ``stats`` also mean_both and mean_sparse.
+
+    Weights change the shown score only, so one search serves all and presets differ in their scores alone. ``relevant`` is one search, or has a column k for a
+    search of its own at each of 1, 3, 5 and 10, the last for mrr.
+    """
     table = hits.sparkSession.createDataFrame([(k, *map(float, v)) for k, v in presets.items()], "preset string, w_dense double, w_sparse double")
     from gleaner.operators.fusion import minmax
 
     scored = hits.withColumns({"nd": minmax(F.col("dense_score"), [query]), "ns": minmax(F.col("sparse_score"), [query])}).crossJoin(F.broadcast(table))
     scored = scored.withColumn("score", F.bround(F.col("w_dense") * F.col("nd") + F.col("w_sparse") * F.col("ns"), 4))
     per = scored.groupBy("preset", query).agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.avg("score").alias("mean"))
-    return per.groupBy("preset").agg(F.count("*").alias("questions"), F.bround(F.avg("top"), 4).alias("mean_top"), F.bround(F.avg("mean"), 4).alias("mean_score"))
+    out = per.groupBy("preset").agg(F.count("*").alias("questions"), F.bround(F.avg("top"), 4).alias("mean_top"), F.bround(F.avg("mean"), 4).alias("mean_score"))
+    if relevant is not None:
+        at = lambda k: F.col("k") == k if "k" in relevant.columns else F.lit(True)
+        mean = lambda value, k: F.bround(F.coalesce(F.sum(F.when(at(k), value)), F.lit(0.0)) / F.greatest(F.count_if(at(k)), F.lit(1)), 4)
+        rates = [mean(F.when(F.col("first") <= k, 1.0).otherwise(0.0), k).alias(f"hit_rate_{k}") for k in (1, 3, 5)]
+        out = out.join(F.broadcast(relevant.agg(*rates, mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 10).alias("mrr"))))
+    if stats is not None:
+        out = out.join(F.broadcast(stats.agg(F.bround(F.avg("both_hits"), 1).alias("mean_both"), F.bround(F.avg("sparse_hits"), 1).alias("mean_sparse"))))
+    return out
 
 
 def index_quality(chunks: DataFrame, vectors: DataFrame | None = None, source: str = "source", content: str = "content", vector: str = "vector") -> DataFrame:

@@ -193,8 +193,10 @@ def oracle_sql() -> dict[str, str]:
         "mrr": f"WITH {ASKED}, {INDEX}, {BUCKETS}, {searches((10,))} SELECT count(*) AS questions, round_even(coalesce(sum(coalesce(1.0::DOUBLE / first, 0)), 0) / greatest(count(*), 1), 4) AS mrr FROM rel10",
         "category_stats": f"WITH {STATS} SELECT coalesce(intents[1], 'other') AS category, count(*) AS questions, round_even(avg(coalesce(top_score, 0)), 4) AS mean_top, round_even(avg(total_results), 1) AS mean_results, round_even(avg(both_hits), 1) AS mean_both, round_even(avg(sparse_hits), 1) AS mean_sparse FROM stats JOIN tags USING (query_id) GROUP BY 1",
         "overall_stats": f"WITH {STATS} SELECT count(*) AS questions, round_even(avg(top_score), 4) AS mean_top, round_even(avg(total_results), 1) AS mean_results, round_even(avg(both_hits), 1) AS mean_both FROM stats",
-        "preset_compare": f"WITH {FUSED}, n AS (SELECT query_id, rank, {minmax('dense_score')} AS nd, {minmax('sparse_score')} AS ns FROM fused WHERE rank <= 8), s AS (SELECT preset, query_id, rank, round_even(wd::DOUBLE * nd + ws::DOUBLE * ns, 4) AS score FROM n, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, wd, ws)), "
-        "g AS (SELECT preset, query_id, max(score) FILTER (rank = 1) AS top, avg(score) AS mean FROM s GROUP BY ALL) SELECT preset, count(*) AS questions, round_even(avg(top), 4) AS mean_top, round_even(avg(mean), 4) AS mean_score FROM g GROUP BY 1",
+        "preset_compare": f"WITH {STATS}, {searches((1, 3, 5, 10))}, n AS (SELECT query_id, rank, {minmax('dense_score')} AS nd, {minmax('sparse_score')} AS ns FROM fused WHERE rank <= 8), s AS (SELECT preset, query_id, rank, round_even(wd::DOUBLE * nd + ws::DOUBLE * ns, 4) AS score FROM n, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, wd, ws)), "
+        "g AS (SELECT preset, query_id, max(score) FILTER (rank = 1) AS top, avg(score) AS mean FROM s GROUP BY ALL) SELECT preset, count(*) AS questions, round_even(avg(top), 4) AS mean_top, round_even(avg(mean), 4) AS mean_score, "
+        f"any_value(h1.rate) AS hit_rate_1, any_value(h3.rate) AS hit_rate_3, any_value(h5.rate) AS hit_rate_5, any_value(m.mrr) AS mrr, any_value(c.b) AS mean_both, any_value(c.s) AS mean_sparse FROM g, {per_k(1)} h1, {per_k(3)} h3, {per_k(5)} h5, "
+        "(SELECT round_even(coalesce(sum(coalesce(1.0::DOUBLE / first, 0)), 0) / greatest(count(*), 1), 4) AS mrr FROM rel10) m, (SELECT round_even(avg(both_hits), 1) AS b, round_even(avg(sparse_hits), 1) AS s FROM stats) c GROUP BY 1",
         "index_quality": f"SELECT count(*) AS chunks, count(DISTINCT source) AS files, floor(avg({lengths}))::BIGINT AS mean_chars, max({lengths}) AS most_chars, min({lengths}) AS least_chars, count(*) FILTER ({lengths} < 200) AS under_200, count(*) FILTER ({lengths} >= 200 AND {lengths} < 350) AS from_200, count(*) FILTER ({lengths} >= 350 AND {lengths} < 500) AS from_350, count(*) FILTER ({lengths} >= 500) AS from_500, (SELECT max(len(embedding)) FROM embeddings)::INT AS dimension FROM documents",
         "per_file": f"SELECT source, count(*) AS chunks, sum({lengths})::BIGINT AS chars FROM documents GROUP BY source",
         "document_list": "SELECT source, count(*) AS chunks, arg_min(lang, doc_id) AS file_type FROM documents GROUP BY source",

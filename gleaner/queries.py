@@ -356,9 +356,8 @@ def searched(t: Tables, k: int) -> DataFrame:
     return top.join(chunks(t).select("key", "content"), "key")
 
 
-def q_hit_rate(t: Tables) -> DataFrame:
-    """A search of its own at each k. What a channel gives for k are the first ranks of what it gives for more, so each channel is searched once."""
-    ks = (1, 3, 5)
+def relevant_at(t: Tables, ks: tuple[int, ...]) -> DataFrame:
+    """(first, query_id, k) of a search of its own at each k. What a channel gives for k are the first ranks of what it gives for more, so each channel is searched once."""
     limits = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(P.per_channel(k)).alias("n")) for k in ks])
     most = max(P.per_channel(k) for k in ks)
 
@@ -368,7 +367,11 @@ def q_hit_rate(t: Tables) -> DataFrame:
     cut = lambda hits: for_each(hits).filter(F.col("rank") <= F.col("of.n")).drop("of")
     top = fusion.reciprocal_rank(cut(dense_hits(t, most)), cut(sparse_hits(t, most))).filter(F.col("rank") <= F.col("query_id.k"))
     found = top.select("query_id", "key", F.col("rank").alias("position")).join(chunks(t).select("key", "content"), "key")
-    return evaluation.hit_rate(evaluation.relevance(found, for_each(questions(t)).drop("of")).select("first", "query_id.k"))
+    return evaluation.relevance(found, for_each(questions(t)).drop("of")).select("first", "query_id.query_id", "query_id.k")
+
+
+def q_hit_rate(t: Tables) -> DataFrame:
+    return evaluation.hit_rate(relevant_at(t, (1, 3, 5)))
 
 
 def q_mrr(t: Tables) -> DataFrame:
@@ -385,7 +388,7 @@ def q_overall_stats(t: Tables) -> DataFrame:
 
 
 def q_preset_compare(t: Tables) -> DataFrame:
-    return evaluation.compare_presets(fused(t).filter(F.col("rank") <= P.top_k))
+    return evaluation.compare_presets(fused(t).filter(F.col("rank") <= P.top_k), relevant_at(t, (1, 3, 5, 10)), stats(t))
 
 
 def q_index_quality(t: Tables) -> DataFrame:
