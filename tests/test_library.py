@@ -290,3 +290,19 @@ def test_incremental_build_and_evaluation(spark, tmp_path):
     records = {r["query_id"]: json.loads(r["record"]) for r in made["records"].collect()}
     assert records["a"]["category"] == "cats" and records["a"]["question"].startswith("Which") and records["a"]["scores"][0] == records["a"]["top"]
     assert made["index_quality"].first()["dimension"] == 64
+
+
+def test_compare_presets(spark):
+    """Scores differ by preset; hit rates, reciprocal rank and channel means are those of the one search. A search of its own at each k counts at its k."""
+    hits = spark.createDataFrame([("a", 1, 0.9, 1.0), ("a", 2, 0.1, 3.0), ("b", 1, 0.5, 0.0)], "query_id string, rank int, dense_score double, sparse_score double")
+    stats = spark.createDataFrame([("a", 3, 4), ("b", 0, 1)], "query_id string, both_hits long, sparse_hits long")
+    one_search = spark.createDataFrame([("a", 2), ("b", None), ("c", 1)], "query_id string, first int")
+    presets = {"d": (1.0, 0.0), "s": (0.0, 1.0)}
+    got = {r["preset"]: r for r in evaluation.compare_presets(hits, one_search, stats, presets=presets).collect()}
+    assert [(r["mean_top"], r["mean_score"]) for r in (got["d"], got["s"])] == [(1.0, 0.75), (0.5, 0.75)]
+    assert {tuple(r[c] for c in ("hit_rate_1", "hit_rate_3", "hit_rate_5", "mrr", "mean_both", "mean_sparse")) for r in got.values()} == {(0.3333, 0.6667, 0.6667, 0.5, 1.5, 2.5)}
+    own = spark.createDataFrame([(1, None), (1, 1), (3, 2), (3, 1), (5, 4), (5, 1), (10, 4), (10, 1)], "k int, first int")
+    r = evaluation.compare_presets(hits, own, presets=presets).first()
+    assert (r["hit_rate_1"], r["hit_rate_3"], r["hit_rate_5"], r["mrr"]) == (0.5, 1.0, 1.0, 0.625) and "mean_both" not in r
+    none = evaluation.compare_presets(hits, one_search.limit(0), presets=presets).first()
+    assert (none["hit_rate_1"], none["mrr"]) == (0.0, 0.0)
