@@ -1,4 +1,10 @@
-"""Vectorised hashing of the words and byte windows of many texts at once."""
+"""Vectorised hashing of the words and byte windows of many texts at once.
+
+There are two families. ``quick_*`` hashes are one polynomial modulo 2**64: cheap, and good enough to choose places or buckets, but structured
+strings (Thue-Morse words of a thousand letters) collide under any base. Wherever an equal hash stands for an equal string, ``prefix_sums`` and
+``window_hash`` are used: two polynomials modulo the prime 2**31 - 1 with random bases, which differing strings of n values share with
+probability (n / 2**31)**2 at most, whatever they look like.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +22,12 @@ LOWER[65:91] += 32
 #: A random 64-bit value for each byte.
 BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: The modulus of the hashes that tell strings apart, and a random base for each half.
+PRIME = np.uint64(2**31 - 1)
+PRIME_BASES = tuple(np.random.default_rng(20260214).integers(2**30, 2**31 - 2, 2).tolist())
+
 _powers = {}
+_prime_powers = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,21 +54,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums of values[j] * BASE**j below each i: what window_hash takes differences of."""
+def quick_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of values[j] * BASE**j below each i: what quick_hash takes differences of."""
     up, _ = powers(len(values) + 1)
     out = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
-def window_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] that doesn't depend on where it stands."""
+def quick_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[start:end] that doesn't depend on where it stands; not proof against structured strings."""
     _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fold(x: np.ndarray) -> np.ndarray:
+    """Less than 2**62 to less than 2**32, equal modulo PRIME."""
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+def prime_powers(n: int) -> np.ndarray:
+    """For both bases, base**i and base**-i modulo PRIME for i below n, by doubling."""
+    have = _prime_powers.get("n", 0)
+    if have < n:
+        have = max(n, 1 << 20)
+        table = np.empty((4, have), np.uint64)
+        for row, base in enumerate((*PRIME_BASES, *(pow(b, -1, int(PRIME)) for b in PRIME_BASES))):
+            table[row, 0], known = 1, 1
+            while known < have:
+                more = min(known, have - known)
+                table[row, known : known + more] = table[row, :more] * np.uint64(pow(base, known, int(PRIME))) % PRIME
+                known += more
+        _prime_powers["table"], _prime_powers["n"] = table, have
+    return _prime_powers["table"][:, :n]
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """What window_hash takes differences of: for both bases, sums of values[j] * base**j below each i. The two take different halves of a value."""
+    up = prime_powers(len(values) + 1)
+    out = np.zeros((2, len(values) + 1), np.uint64)
+    for k, half in enumerate((values & PRIME, values >> np.uint64(33))):
+        np.cumsum(fold(half * up[k, : len(values)]), out=out[k, 1:])
+    return out
+
+
+def window_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash (62 bits, spread over 64) of values[start:end] that doesn't depend on where it stands."""
+    down = prime_powers(sums.shape[1])[2:]
+    half = []
+    for k in range(2):
+        x = fold(fold(fold(fold(sums[k][end] - sums[k][start])) * down[k][start]))
+        half.append(np.where(x >= PRIME, x - PRIME, x))
+    return mix((half[0] << np.uint64(32)) | half[1])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, quick: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of every word, and the number of each row's first word (one entry more than rows)."""
     blank = IS_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -68,7 +119,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     if lower:
         data = LOWER[data]
-    return window_hash(prefix_sums(BYTE_VALUE[data]), start, end), start, end, np.searchsorted(start, offsets)
+    values = BYTE_VALUE[data]
+    hashes = quick_hash(quick_sums(values), start, end) if quick else window_hash(prefix_sums(values), start, end)
+    return hashes, start, end, np.searchsorted(start, offsets)
 
 
 def distinct_by_row(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.anchors import among, keyed, per_doc, shared_anchors
 from gleaner.llm.common import Scratch, binary_rows, documents, pieces, text_bytes
-from gleaner.llm.kernels import BYTE_VALUE, mix, prefix_sums, window_hash
+from gleaner.llm.kernels import BYTE_VALUE, mix, prefix_sums, quick_hash, quick_sums, window_hash
 
 WINDOW, GRAM = 400, 64
 #: Different strings of one anchor that go through the rounds together, and strings a task holds at once.
 GROUP, TOGETHER = 200, 3000
 STEPS = (64, 8, 1)
-SECOND_VALUE = mix(BYTE_VALUE.copy())
 NAME = ["key", "sum_1", "sum_2"]
 NO_SYMBOL = 256
 
@@ -52,7 +51,7 @@ def owners(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> tuple[np.
         return (np.empty(0, np.int64),) * 3
     place = np.arange(n)
     # High half of the hash, then the place: the least is the leftmost of equal pieces.
-    value = (window_hash(sums, place, place + GRAM) & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
+    value = (quick_hash(sums, place, place + GRAM) & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
     padded = np.full(-(-n // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[:n] = value
     table = padded.reshape(-1, width)
@@ -69,9 +68,9 @@ def owners(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> tuple[np.
 
 def anchors(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(batch.column(column))
-    sums = prefix_sums(BYTE_VALUE[data])
+    sums = quick_sums(BYTE_VALUE[data])
     at, _, _ = owners(data, offsets, sums)
-    return window_hash(sums, at, at + GRAM), np.searchsorted(offsets, at, side="right") - 1
+    return quick_hash(sums, at, at + GRAM), np.searchsorted(offsets, at, side="right") - 1
 
 
 def spelled_once(data: np.ndarray, begin: np.ndarray, end: np.ndarray, names: list[np.ndarray], weight: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -101,13 +100,13 @@ def strings_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, 2):
                 data, offsets = text_bytes(piece.column(2))
-                sums, others = prefix_sums(BYTE_VALUE[data]), prefix_sums(SECOND_VALUE[data])
+                sums, others = quick_sums(BYTE_VALUE[data]), prefix_sums(BYTE_VALUE[data])
                 at, low, high = owners(data, offsets, sums)
                 row = np.searchsorted(offsets, at, side="right") - 1
-                key = window_hash(sums, at, at + GRAM)
+                key = quick_hash(sums, at, at + GRAM)
                 keep = among(key, row, piece.column(3))
                 at, low, high, row, key = at[keep], low[keep], high[keep], row[keep], key[keep]
-                one, two = window_hash(sums, low, high + WINDOW), window_hash(others, low, high + WINDOW)
+                one, two = quick_hash(sums, low, high + WINDOW), window_hash(others, low, high + WINDOW)
                 strings, weight = spelled_once(data, low, high + WINDOW, [key, one, two], np.ones(len(at), np.int64))
                 where = pa.array(row)
                 longs = [pa.array(x.view(np.int64)) for x in (low - offsets[row], key, one, two)]
@@ -196,7 +195,7 @@ def split(strings: DataFrame, step: int) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, 5):
                 data, offsets = text_bytes(piece.column(5))
-                sums, others = prefix_sums(BYTE_VALUE[data]), prefix_sums(SECOND_VALUE[data])
+                sums, others = quick_sums(BYTE_VALUE[data]), prefix_sums(BYTE_VALUE[data])
                 lead, windows = piece.column(3).to_numpy().astype(np.int64), np.diff(offsets) - WINDOW + 1
                 row = np.repeat(np.arange(len(windows)), windows)
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -206,8 +205,8 @@ def split(strings: DataFrame, step: int) -> DataFrame:
                 row, kind = row[first], kind[first]
                 base = offsets[row] + lead[row] + kind * step
                 begin, end = offsets[row] + nth[first], offsets[row] + nth[last] + WINDOW
-                key = mix(window_hash(sums, base + step - 1, base + WINDOW) ^ mix(piece.column(0).to_numpy().view(np.uint64)[row] + kind.view(np.uint64)))
-                one, two = window_hash(sums, begin, end), window_hash(others, begin, end)
+                key = mix(quick_hash(sums, base + step - 1, base + WINDOW) ^ mix(piece.column(0).to_numpy().view(np.uint64)[row] + kind.view(np.uint64)))
+                one, two = quick_hash(sums, begin, end), window_hash(others, begin, end)
                 text, weight = spelled_once(data, begin, end, [key, one, two], piece.column(4).to_numpy()[row])
                 where = pa.array(row)
                 above = [piece.column(i).take(where) for i in range(3)]

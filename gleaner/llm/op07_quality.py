@@ -44,7 +44,7 @@ def index_vectors() -> np.ndarray:
 def sketch(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and shape of every word, the number of each row's first word, and each row's bytes."""
     data, offsets = text_bytes(batch.column(column))
-    hashes, start, end, first = words(data, offsets, lower=True)
+    hashes, start, end, first = words(data, offsets, lower=True, quick=True)
     upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90), dtype=np.int64)])
     digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57), dtype=np.int64)])
     mark = np.concatenate([[0], np.cumsum((data < 128) & ~IS_SPACE[data] & ~(((data | 32) >= 97) & ((data | 32) <= 122)) & ~((data >= 48) & (data <= 57)), dtype=np.int64)])

@@ -25,6 +25,35 @@ def test_words_are_ascii_white_space_words():
     assert hashes[0] == hashes[-1] and len(set(hashes.tolist())) == 5
 
 
+def thue_morse(n, flip=0):
+    return [(bin(i).count("1") + flip) % 2 for i in range(n)]
+
+
+def test_structured_strings_get_hashes_of_their_own():
+    for n in (1024, 2048, 4096):
+        texts = ["".join("ab"[x] for x in thue_morse(n, flip)) for flip in (0, 1)]
+        data, offsets = text_bytes(pa.array(texts))
+        hashes = kernels.words(data, offsets)[0]
+        assert len(hashes) == 2 and hashes[0] != hashes[1]
+        # The same over words instead of letters.
+        values = np.array([3 << 40, 5 << 50], np.uint64)[thue_morse(n) + thue_morse(n, 1)]
+        a, b = kernels.window_hash(kernels.prefix_sums(values), np.array([0, n]), np.array([n, 2 * n]))
+        assert a != b
+
+
+def test_window_hashes_are_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 2**63, 2000, dtype=np.uint64) * np.uint64(2)
+    start = rng.integers(0, 1900, 200)
+    end = start + rng.integers(1, 100, 200)
+    got, p = kernels.window_hash(kernels.prefix_sums(values), start, end), int(kernels.PRIME)
+    for i in range(200):
+        window = [int(x) for x in values[start[i] : end[i]]]
+        low = sum((x & p) * pow(kernels.PRIME_BASES[0], j, p) for j, x in enumerate(window)) % p
+        high = sum((x >> 33) * pow(kernels.PRIME_BASES[1], j, p) for j, x in enumerate(window)) % p
+        assert got[i] == kernels.mix(np.array([low << 32 | high], np.uint64))[0]
+
+
 def test_slices_of_batches_keep_their_texts():
     array = pa.array(["one", "two", None, "three"]).slice(1, 3)
     data, offsets = text_bytes(array)

@@ -381,3 +381,28 @@ def test_sample_of_labels_is_bounded(spark):
         patch.setattr(quality, "Network", lambda x, y: (sizes.append(len(y)), network(x, y))[1])
         got = rows_of(score_documents(table, labels, train_rows=400))
     assert 300 < sizes[0] < 500 and len(got) == 2000 and sum((r["predicted"] == 1) == (r["doc_id"] % 2 == 1) for r in got) > 1900
+
+
+def test_structured_texts(spark):
+    """Thue-Morse words of a and b and their mirror images: a polynomial modulo 2**64 gives both one hash, whatever its base."""
+    word, mirror = ("".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(2048)) for flip in (0, 1))
+    # Words of two kinds in the same order, so that shingles and windows are structured too.
+    texts = [" ".join([word] * 60), " ".join([mirror] * 60), word + mirror, mirror + word, " ".join(("ab", "ba")[x == "b"] for x in word), " ".join(("ab", "ba")[x == "b"] for x in mirror)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} for w in (t.split(" ") for t in texts)]
+    got = {r["doc_id"]: r for r in rows_of(near_duplicates(table))}
+    assert [got[i]["n_shingles"] for i in range(6)] == [len(s) for s in sets] and [got[i]["component_id"] for i in range(6)] == [0, 1, 2, 3, 4, 4 if sets[4] == sets[5] else 5]
+    words = [t.split(" ") for t in texts]
+    starts, want = {}, []
+    for i, w in enumerate(words):
+        for j in range(len(w) - 49):
+            starts.setdefault(tuple(w[j : j + 50]), i)
+    for i, w in enumerate(words):
+        gone = {j + k for j in range(len(w) - 49) if starts[tuple(w[j : j + 50])] < i for k in range(50)}
+        want.append((len(w), len(gone)))
+    got = {r["doc_id"]: r for r in rows_of(substring_dedup(table))}
+    assert [(got[i]["n_words"], got[i]["n_removed"]) for i in range(6)] == want and want[0][1] == want[1][1] == 0
+    seen = Counter(t[j : j + 400] for t in texts for j in range(len(t) - 399))
+    want = [len({j + k for j in range(len(t) - 399) if seen[t[j : j + 400]] > 1 for k in range(400)}) for t in texts]
+    got = {r["doc_id"]: r for r in rows_of(suffix_dedup(table))}
+    assert [got[i]["n_removed"] for i in range(6)] == want
