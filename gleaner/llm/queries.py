@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import op01_near_dedup, op02_packing, op03_suffix_dedup, op04_substring_dedup, op05_mixing, op06_topk, op07_quality, op08_token_output, op09_line_dedup, op10_exact_dedup, op12_prefix_trie, op13_alignment
+from gleaner.llm import op01_near_dedup, op02_packing, op03_suffix_dedup, op04_substring_dedup, op05_mixing, op06_topk, op07_quality, op08_token_output, op09_line_dedup, op10_exact_dedup, op11_language_id, op12_prefix_trie, op13_alignment
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_output": op08_token_output.op8_token_output,
         "op9_line_dedup": op09_line_dedup.op9_line_dedup,
         "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
+        "op11_language_id": op11_language_id.op11_language_id,
         "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
         "op13_cross_tokenizer_alignment": op13_alignment.op13_cross_tokenizer_alignment,
     }
