@@ -1,9 +1,9 @@
-"""Job: documents in, index tables out (chunks, vectors, postings, chunk lengths, term and corpus statistics).
+"""Job: documents in, a version of the index out (chunks, vectors, posting blocks, lengths, hashes and statistics, in segments: see ``sources/index.py``).
 
     python -m gleaner.jobs.build_index DOCUMENTS OUT [--mode full|sync|incremental|status]
 
-``sync`` compares hashes with those of the last build and builds only if something changed; ``incremental`` makes only the chunks of changed files anew
-and keeps the others'; ``status`` is the dry run: it only reports.
+``sync`` compares hashes with those of the last build and builds all if something changed; ``incremental`` adds a segment of the changed files; ``status`` is the
+dry run: it only reports.
 """
 
 from __future__ import annotations
@@ -16,62 +16,54 @@ from pyspark.sql import functions as F
 from gleaner.functions import vectors
 from gleaner.operators import chunking, lexical, sync
 from gleaner.params import Params
-from gleaner.sources import files, tables
-
-KEYS = ["source", "chunk_index"]
-
-
-def build(documents: DataFrame, out: str, params: Params = Params()) -> None:
-    """``documents`` has source and text. Chunks are written first, so that what follows reads them instead of making them again."""
-    spark = documents.sparkSession
-    tables.write(chunking.build(documents, params), f"{out}/chunks")
-    chunks = spark.read.parquet(f"{out}/chunks")
-    tables.write(vectors.with_hashed(chunks.select(*KEYS, "content"), lexical.tokens(F.col("content")), params.dims).drop("content"), f"{out}/vectors")
-    files_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tables.write_postings(lexical.postings_and_lengths(chunks, KEYS), f"{out}/postings", files_)
-    tables.write(lexical.chunk_lengths(chunks, KEYS), f"{out}/chunk_lengths")
-    statistics(spark, out, params)
-
-
-def statistics(spark: SparkSession, out: str, params: Params) -> None:
-    tables.write(lexical.corpus_stats(spark.read.parquet(f"{out}/chunk_lengths")), f"{out}/corpus_stats")
-    tables.write(lexical.term_stats(spark.read.parquet(f"{out}/postings"), spark.read.parquet(f"{out}/corpus_stats"), params), f"{out}/term_stats")
-
-
-def update(documents: DataFrame, changes: DataFrame, out: str, params: Params = Params()) -> None:
-    """Brings the index of ``out`` up to ``changes``: rows of deleted and modified sources go, rows of added and modified ones are made. ``documents`` has source and text.
-
-    New tables are written beside the old ones and take their place when all are there; statistics follow from the new tables.
-    """
-    spark = documents.sparkSession
-    changed = changes.filter(F.col("status").isin("added", "modified")).select(F.col("name").alias("source"))
-    fresh = f"{out}/next/fresh"
-    build(documents.join(changed, "source", "left_semi"), fresh, params)
-    read = lambda place, table: spark.read.parquet(f"{place}/{table}")
-    for table in ("chunks", "vectors", "postings", "chunk_lengths"):
-        whole = sync.upsert(read(out, table), read(fresh, table), changes)
-        if table == "postings":
-            tables.write_postings(whole, f"{out}/next/{table}", int(spark.conf.get("spark.sql.shuffle.partitions")))
-        else:
-            tables.write(whole, f"{out}/next/{table}")
-    statistics(spark, f"{out}/next", params)
-    for table in ("chunks", "vectors", "postings", "chunk_lengths", "corpus_stats", "term_stats"):
-        tables.replace(spark, f"{out}/next/{table}", f"{out}/{table}")
-    tables.remove(spark, f"{out}/next")
+from gleaner.sources import files
+from gleaner.sources.index import KEYS, MOST_SEGMENTS, Index
+from gleaner.sources.tables import Workspace, spread
+
+
+def segment(documents: DataFrame, hashes: DataFrame, gone: DataFrame, index: Index, params: Params = Params()) -> str:
+    """Writes a segment of ``documents`` (source, text). Chunks and their tokens are written once, and what follows reads them."""
+    work = Workspace(documents.sparkSession, "build")
+    chunks = work.write(chunking.build(spread(documents), params), "chunks")
+    tokens = work.write(spread(chunks.select(*KEYS, "content")).select(*KEYS, lexical.tokens(F.col("content")).alias("tokens")), "tokens")
+    posts = tokens.select(*KEYS, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy(*KEYS, "term", "dl").agg(F.count("*").alias("tf"))
+    lengths = tokens.select(*KEYS, F.size("tokens").cast("long").alias("dl"))
+    embedded = vectors.with_hashed(tokens, F.col("tokens"), params.dims).drop("tokens")
+    return index.write(index.new_segment(), chunks, embedded, posts, lengths, hashes, gone)
+
+
+def build(documents: DataFrame, hashes: DataFrame, out: str, params: Params = Params()) -> Index:
+    """A new version of all ``documents``, whatever was there."""
+    index = Index(documents.sparkSession, out)
+    fresh = Index(documents.sparkSession, out)
+    fresh.segments = []
+    none = documents.sparkSession.createDataFrame([], "source string")
+    return index.commit([segment(documents, hashes, none, fresh, params)])
+
+
+def update(documents: DataFrame, hashes: DataFrame, changes: DataFrame, out: str, params: Params = Params()) -> Index:
+    """A new version with one more segment: rows of added and modified sources are made; those of all sources that aren't unchanged are dead in earlier segments."""
+    index = Index(documents.sparkSession, out)
+    named = changes.filter("status <> 'unchanged'").select(F.col("name").alias("source"), "status")
+    changed = named.filter(F.col("status").isin("added", "modified")).select("source")
+    own = hashes.withColumn("source", F.col("name")).join(changed, "source", "left_semi")
+    made = segment(documents.join(changed, "source", "left_semi"), own, named.select("source"), index, params)
+    index = index.commit([*index.segments, made])
+    return index.compact() if len(index.segments) > MOST_SEGMENTS else index
 
 
 def run(spark: SparkSession, folder: str, out: str, mode: str = "sync", params: Params = Params()) -> DataFrame:
-    """The change report; builds unless ``mode`` is status, or is sync and nothing changed."""
-    now = files.file_hashes(files.list_files(spark, folder))
-    changes = sync.detect_changes(now, tables.read_or_empty(spark, f"{out}/hashes", "name string, md5 string"))
+    """The change report; builds unless ``mode`` is status, or is sync or incremental and nothing changed."""
+    index = Index(spark, out)
+    now = files.file_hashes(files.list_files(spark, folder)).withColumn("source", F.col("name"))
+    before = index.read("hashes").select("name", "md5") if index.segments else spark.createDataFrame([], "name string, md5 string")
+    changes = Workspace(spark, "changes").write(sync.detect_changes(now.drop("source"), before), "changes")
     rows = sync.change_report(changes).collect()  # a row for each of four statuses
     differs = any(r["changed"] for r in rows)
-    if mode == "incremental" and differs and any(r["status"] in ("unchanged", "modified", "deleted") for r in rows):
-        update(files.read_texts(spark, folder), changes, out, params)
-        tables.write(now, f"{out}/hashes")
+    if mode == "incremental" and differs and index.segments:
+        update(files.read_texts(spark, folder), now, changes, out, params)
     elif mode == "full" or (mode in ("sync", "incremental") and differs):
-        build(files.read_texts(spark, folder), out, params)
-        tables.write(now, f"{out}/hashes")
+        build(files.read_texts(spark, folder), now, out, params)
     return spark.createDataFrame(rows, "status string, files long, first_name string, last_name string, changed boolean")
 
 

@@ -69,7 +69,11 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 def term_stats(posts: DataFrame, stats: DataFrame, params: Params = Params()) -> DataFrame:
     """(term, df, idf). Where more than half of the chunks have a term, its idf is a share of the mean over all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    return idf(posts.groupBy("term").agg(F.count("*").alias("df")), stats, params)
+
+
+def idf(df: DataFrame, stats: DataFrame, params: Params = Params()) -> DataFrame:
+    """``term_stats`` of (term, df)."""
     raw = df.join(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n")
     floor = raw.agg((F.avg("raw") * params.epsilon).alias("floor"))  # one row
     return raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
@@ -82,7 +86,7 @@ def ranked(scores: DataFrame, query: str, keys: list[str], n: int, score: str =
     return out.filter(F.col("rank") <= n)
 
 
-def search(questions: DataFrame, posts: DataFrame, lengths: DataFrame, terms: DataFrame, stats: DataFrame, keys: list[str], params: Params = Params(), n: int | None = None, query: str = "query_id", text_col: str = "text", **how) -> DataFrame:
+def search(questions: DataFrame, posts: DataFrame, lengths: DataFrame | None, terms: DataFrame, stats: DataFrame, keys: list[str], params: Params = Params(), n: int | None = None, query: str = "query_id", text_col: str = "text", **how) -> DataFrame:
     """(query, keys, score, rank): BM25 over posting tables. A repeated query term counts as often as it is there.
 
     The side of the query terms is small or large as the table of questions is; Spark picks the join by its size. Postings that carry ``dl`` need no join with ``lengths``.

@@ -150,6 +150,8 @@ def oracle_sql() -> dict[str, str]:
         "bm25_stats": f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM ts",
         "corpus_stats": f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM st",
         "bm25_topn": f"WITH {ASKED}, {INDEX}, {sparse()} SELECT query_id, rank, key, round(score, 6) AS score FROM sparse",
+        "bm25_bounded": f"WITH {ASKED}, {INDEX}, {sparse()} SELECT query_id, rank, key, round(score, 6) AS score FROM sparse",
+        "bm25_effort": f"WITH {ASKED}, {INDEX} SELECT query_id, sum(df)::BIGINT AS postings, true AS within_bounds FROM (SELECT DISTINCT query_id, unnest(w) AS term FROM qs) a JOIN ts USING (term) GROUP BY query_id",
         "dense_topn": f"WITH {ASKED}, {INDEX}, {BUCKETS}, {dense()} SELECT query_id, rank, key, round(score, 6) AS score FROM dense",
         "vector_topn": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-8) * (sqrt(list_dot_product(b.e, b.e)) + 1e-8)) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) "
         "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, vec_id)::INT AS rank, vec_id, round(s, 5) AS score FROM s QUALIFY rank <= 32",

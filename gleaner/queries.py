@@ -8,17 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import rules, text, vectors
-from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, judge, lexical, search, sync
+from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, search, sync
 from gleaner.params import PRESETS, Params
 from gleaner.sources import files
+from gleaner.sources.tables import Workspace, spread
 
 P = Params()
+#: The most results that a registered query asks a search for.
+MOST = 10
 #: Rules for the given tables: lang stands for the section type, source for the project.
 INTENTS = [("en", ["the ", "and "]), ("fr", ["ment ", "eau "]), ("de", ["der ", "und "]), ("es", ["ción", "que "])]
 TARGETS = [("src1", ["ingst", "thth"]), ("src2", ["ndre", "eren"]), ("src3", ["onea"])]
 SECTIONS = [("ción|ñ", "es"), ("ß|ü|keit", "de"), ("eaux|ç|è", "fr"), ("the .*and|tion", "en")]
 NAMES = [("en", "My_Resume"), ("de", "cv"), ("fr", "RAG系统项目")]
-Tables = Callable[[str], DataFrame]
+
+
+class Tables:
+    """The given tables by name, and what one query makes of them: each such table is made once, written, and read by all that need it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.work = spark, folder, None
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        self.work = self.work or Workspace(self.spark, "query")
+        return self.work.once(name, make)
 
 
 def name_of(docs: DataFrame) -> DataFrame:
@@ -40,34 +56,49 @@ def questions(t: Tables) -> DataFrame:
     )
 
 
-def index(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    c = chunks(t)
-    posts, lengths = lexical.postings(c, ["key"]), lexical.chunk_lengths(c, ["key"])
-    stats = lexical.corpus_stats(lengths)
-    return posts, lengths, lexical.term_stats(posts, stats), stats
+def tokenised(t: Tables) -> DataFrame:
+    """(key, tokens) of all documents, from one pass over the texts."""
+    return t.once("tokens", lambda: spread(chunks(t).select("key", "content")).select("key", lexical.tokens(F.col("content")).alias("tokens")))
+
+
+def postings(t: Tables) -> DataFrame:
+    """(key, term, tf, dl) of all documents. A task counts the terms of its documents before they are shuffled."""
+    counted = tokenised(t).select("key", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    return t.once("postings", lambda: counted.groupBy("key", "term", "dl").agg(F.count("*").alias("tf")).select("key", "term", "tf", "dl"))
+
+
+def index(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, term statistics, corpus statistics)."""
+    stats = t.once("corpus", lambda: tokenised(t).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")))
+    return postings(t), t.once("terms", lambda: lexical.term_stats(postings(t), stats)), stats
 
 
 def sparse_hits(t: Tables, n: int = P.candidates) -> DataFrame:
-    posts, lengths, terms, stats = index(t)
-    return lexical.search(questions(t), posts, lengths, terms, stats, ["key"], P, n)
+    """What a channel gives for n candidates are the first of what it gives for more, so each channel is searched once."""
+    posts, terms, stats = index(t)
+    return t.once("sparse", lambda: lexical.search(questions(t), posts, None, terms, stats, ["key"], P, P.per_channel(MOST))).filter(F.col("rank") <= n)
 
 
 def embedded(df: DataFrame, column: str) -> DataFrame:
     return vectors.with_hashed(df, lexical.tokens(F.col(column)), P.dims)
 
 
+def document_vectors(t: Tables) -> DataFrame:
+    return t.once("vectors", lambda: vectors.with_hashed(tokenised(t), F.col("tokens"), P.dims).drop("tokens"))
+
+
 def dense_hits(t: Tables, n: int = P.candidates) -> DataFrame:
-    return dense.search(embedded(questions(t), "text"), embedded(chunks(t), "content"), "query_id", "key", params=P, n=n)
+    return t.once("dense", lambda: dense.search(embedded(questions(t), "text"), document_vectors(t), "query_id", "key", params=P, n=P.per_channel(MOST))).filter(F.col("rank") <= n)
 
 
 def fused(t: Tables, n: int = P.candidates) -> DataFrame:
-    return fusion.reciprocal_rank(dense_hits(t, n), sparse_hits(t, n))
+    return t.once(f"fused-{n}", lambda: fusion.reciprocal_rank(dense_hits(t, n), sparse_hits(t, n)))
 
 
 def shown(t: Tables) -> DataFrame:
     """Fused hits as final ones: the first top_k with content and display score."""
     top = fused(t).filter(F.col("rank") <= P.top_k)
-    return fusion.display_score(top).withColumnRenamed("rank", "position").join(chunks(t).withColumn("file_type", F.col("section_type")), "key")
+    return t.once("shown", lambda: fusion.display_score(top).withColumnRenamed("rank", "position").join(chunks(t).withColumn("file_type", F.col("section_type")), "key"))
 
 
 def vector_hits(t: Tables, n: int = 4 * P.top_k) -> DataFrame:
@@ -142,7 +173,7 @@ def q_overlap(t: Tables) -> DataFrame:
 
 
 def q_chunk_build(t: Tables) -> DataFrame:
-    named = t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), "text")
+    named = spread(t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), "text"))
     return chunking.build(named, P, section_rules=SECTIONS)
 
 
@@ -154,21 +185,36 @@ def q_tokenize(t: Tables) -> DataFrame:
 
 
 def q_postings(t: Tables) -> DataFrame:
-    return lexical.postings(chunks(t), ["key"])
+    return postings(t).drop("dl")
 
 
 def q_bm25_stats(t: Tables) -> DataFrame:
-    return index(t)[2].select("term", "df", F.round("idf", 6).alias("idf"))
+    return index(t)[1].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def q_corpus_stats(t: Tables) -> DataFrame:
-    return index(t)[3].select("n", F.round("avgdl", 6).alias("avgdl"))
+    return index(t)[2].select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def q_bm25_topn(t: Tables) -> DataFrame:
     return sparse_hits(t).select("query_id", "rank", "key", F.round("score", 6).alias("score"))
 
 
+def bounded(t: Tables) -> tuple[DataFrame, DataFrame]:
+    posts, terms, stats = index(t)
+    rows = t.once("blocks", lambda: impact.blocks(posts, ["key"], stats.first()["n"]))
+    return impact.search(questions(t), rows, terms, stats, ["key"], t.work.under("bounded"), P)
+
+
+def q_bm25_bounded(t: Tables) -> DataFrame:
+    return bounded(t)[0].select("query_id", "rank", "key", F.round("score", 6).alias("score"))
+
+
+def q_bm25_effort(t: Tables) -> DataFrame:
+    """What the bounded search needed not read."""
+    return bounded(t)[1].select("query_id", "postings", (F.col("read") <= 2 * F.col("postings")).alias("within_bounds"))
+
+
 def q_dense_topn(t: Tables) -> DataFrame:
     return dense_hits(t).select("query_id", "rank", "key", F.round("score", 6).alias("score"))
 
@@ -239,7 +285,7 @@ def q_cross_source_dedup(t: Tables) -> DataFrame:
 
 def q_hybrid_search(t: Tables) -> DataFrame:
     n = P.per_channel()
-    return search.finish(dense_hits(t, n), sparse_hits(t, n), embedded(chunks(t), "content"), questions(t), params=P)
+    return search.finish(dense_hits(t, n), sparse_hits(t, n), chunks(t).drop("content").join(document_vectors(t), "key"), questions(t), params=P)
 
 
 # --- synchronisation
@@ -322,8 +368,8 @@ def q_used_files(t: Tables) -> DataFrame:
 
 def q_no_hit_fallback(t: Tables) -> DataFrame:
     asked = t("conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
-    posts, lengths, terms, stats = index(t)
-    hits = lexical.search(asked, posts, lengths, terms, stats, ["key"], P, 2).withColumnRenamed("rank", "position").join(chunks(t).withColumn("file_type", F.col("section_type")), "key")
+    posts, terms, stats = index(t)
+    hits = lexical.search(asked, posts, None, terms, stats, ["key"], P, 2).withColumnRenamed("rank", "position").join(chunks(t).withColumn("file_type", F.col("section_type")), "key")
     return context.with_fallback(asked, context.assemble(hits)).select("query_id", F.col("answer").alias("answer"), F.size("sources").alias("n_sources"), F.array_join("used_files", ",").alias("used_files"))
 
 
@@ -331,7 +377,7 @@ def q_no_hit_fallback(t: Tables) -> DataFrame:
 
 
 def stats(t: Tables) -> DataFrame:
-    return evaluation.retrieval_stats(questions(t), shown(t), dense_hits(t), sparse_hits(t))
+    return t.once("stats", lambda: evaluation.retrieval_stats(questions(t), shown(t), dense_hits(t), sparse_hits(t)))
 
 
 def q_retrieval_stats(t: Tables) -> DataFrame:
@@ -357,7 +403,7 @@ def searched(t: Tables, k: int) -> DataFrame:
 
 
 def relevant_at(t: Tables, ks: tuple[int, ...]) -> DataFrame:
-    """(first, query_id, k) of a search of its own at each k. What a channel gives for k are the first ranks of what it gives for more, so each channel is searched once."""
+    """(first, query_id, k) of a search of its own at each k."""
     limits = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(P.per_channel(k)).alias("n")) for k in ks])
     most = max(P.per_channel(k) for k in ks)
 
@@ -446,6 +492,6 @@ def q_question_sample(t: Tables) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        return lambda spark, sf_dir: f(Tables(spark, sf_dir))
 
     return {name[2:]: bound(f) for name, f in globals().items() if name.startswith("q_")}

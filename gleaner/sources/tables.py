@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write(df: DataFrame, path: str, mode: str = "overwrite", form: str = "parquet") -> None:
-    df.write.mode(mode).format(form).save(path)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset and Spark is one process, one of our own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gleaner.work.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-gleaner-", dir="/tmp")
+        spark.conf.set("gleaner.work.dir", path)
+    return path.rstrip("/") if "://" in path or path.startswith("file:") else "file://" + path.rstrip("/")
+
+
+class Workspace:
+    """Tables that several steps of one job read: written once, so they cut lineage and outlive executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def once(self, name: str, make) -> DataFrame:
+        """The table of this name, made and written on first use."""
+        if name not in self.made:
+            self.made[name] = self.write(make(), name)
+        return self.made[name]
+
+    def under(self, name: str):
+        """``write`` for a step with names of its own."""
+        return lambda df, part: self.write(df, f"{name}-{part}")
 
 
-def write_postings(posts: DataFrame, path: str, files: int) -> None:
-    """Clustered by term, so that a search reads few row groups. Hot terms are spread by range, not hash."""
-    posts.repartitionByRange(files, "term", *[c for c in posts.columns if c not in ("term", "tf")][:1]).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out evenly where the input has fewer parts than there are cores, before work that is costly for each row. Larger inputs stay as they are: nothing is shuffled."""
+    cores = df.sparkSession._jsc.sc().defaultParallelism()
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def write(df: DataFrame, path: str, mode: str = "overwrite", form: str = "parquet") -> None:
+    df.write.mode(mode).format(form).save(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -19,16 +57,3 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def replace(spark: SparkSession, new: str, old: str) -> None:
-    """Puts the table at ``new`` in the place of the one at ``old``."""
-    remove(spark, old)
-    place = spark._jvm.org.apache.hadoop.fs.Path(new)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).rename(place, spark._jvm.org.apache.hadoop.fs.Path(old)):
-        raise OSError(f"{new} can't take the place of {old}")
