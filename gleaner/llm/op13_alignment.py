@@ -3,6 +3,10 @@
 A text is encoded by a byte-level vocabulary (A) and a piece vocabulary (B). Where a token of each ends at one byte, the two are linked, and
 these places cut both sequences into groups that spell the same bytes. A pair of ids counts as often as it is linked in the whole corpus.
 
+Neither vocabulary joins tokens over a single space between two other characters: A's pattern begins a new word with the space, and no piece of B has
+one after another character (checked when a vocabulary is loaded; else texts stay whole). So a text is the segments between such spaces end to end, groups included, and a worker
+encodes and links a segment once while it remembers it.
+
 Counting is by stripes of B ids, dealt in turn (id modulo STRIPES). A task that encodes texts lists the different pairs of each chunk of about
 CHUNK_BYTES once, in stripe order, with their counts, and stores a document's links as places in that list; so a pair that every document holds
 is one entry a chunk, no stripe is hot, and no link is shuffled by its pair. A stripe's counts are added up with ``np.add.at`` into a dense block
@@ -17,7 +21,9 @@ result; other columns are ignored. Special tokens' strings inside texts are ordi
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,10 @@ from gleaner.llm.common import Scratch, documents, pieces, text_bytes, without_c
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text of a chunk, stripes of B ids, and the most cells that a stripe's block may have.
 CHUNK_BYTES, STRIPES, STRIPE_CELLS = 4 << 20, 512, 1 << 24
+#: Segments of a generation that a worker remembers, the longest of them, and characters that are encoded at once. When a generation is full, the one before is forgotten.
+MEMO, MEMO_CHARS, AT_ONCE = 150_000, 100, 1 << 16
+#: A space between characters that are no white space.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks whose lists visit one copy of a stripe's block.
 VISITS = 4096
 #: Bits of an id within a pair.
@@ -67,20 +77,63 @@ class Coders:
             self.a_bytes[i] = bytes(spelled[c] for c in entry) if all(c in spelled for c in entry) else entry.encode()
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        kind = json.loads(self.a.to_str())
+        pattern = (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and kind["pre_tokenizer"].get("use_regex", True) and not kind.get("normalizer")
+        self.cuts = pattern and not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        self.memo: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
         # The name of an id as it stands within a group, and as the last of its side there.
         self.names = [f"{i}{mark}" for table, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for mark in (",", last) for i in range(len(table))]
 
-    def encode(self, raw: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each text in both vocabularies; none of either where one doesn't spell it."""
-        texts = [x.decode("utf-8", "replace") for x in raw]
         a = [x.ids for x in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1) if texts else []
-        for i, x in enumerate(raw):
-            want = b" " + x
-            if not x or b"".join(map(self.a_bytes.__getitem__, a[i])) != want or b"".join(map(self.b_bytes.__getitem__, b[i])) != want:
+        for i, x in enumerate(texts):
+            want = f" {x}".encode()
+            if b"".join(map(self.a_bytes.__getitem__, a[i])) != want or b"".join(map(self.b_bytes.__getitem__, b[i])) != want:
                 a[i], b[i] = [], []
         return a, b
 
+    def segments(self, text: str) -> list[str]:
+        return CUT.split(text) if self.cuts else [text]
+
+    def learn(self, segments: set[str]) -> None:
+        """Puts segments into the memo: ids of A and of B, links, groups, and the links' ids as bytes. No ids: not spelled."""
+        if len(self.memo) > MEMO:
+            self.memo, self.before = {}, self.memo
+        new = segments - self.memo.keys()
+        known = new & self.before.keys()
+        self.memo.update((x, self.before[x]) for x in known)
+        batch, size = [], 0
+        for x in new - known:
+            batch.append(x)
+            size += len(x)
+            if size > AT_ONCE:
+                self.meet(batch)
+                batch, size = [], 0
+        self.meet(batch)
+
+    def meet(self, batch: list[str]) -> None:
+        a, b = self.encode(batch)
+        of_a, of_b, first, groups = linked(self, a, b)
+        pairs = ((of_b << ID_BITS) | of_a).astype("<i8").tobytes()
+        for i, x in enumerate(batch):
+            self.memo[x] = (len(a[i]), len(b[i]), int(first[i + 1] - first[i]), groups[i], pairs[8 * first[i] : 8 * first[i + 1]])
+
+    def forget_long(self, segments: set[str]) -> None:
+        for x in segments:
+            if len(x) > MEMO_CHARS:
+                self.memo.pop(x, None)
+
+    def text(self, text: str | None) -> tuple[int, int, int, str, bytes]:
+        """Ids of A and of B, links, digest of groups, and pairs of a text whose segments are learnt."""
+        met = [self.memo[x] for x in self.segments(text)] if text else []
+        if not met or not all(x[0] for x in met):
+            return 0, 0, 0, "", b""
+        n_a, n_b, n, groups, pairs = zip(*met, strict=True)
+        return sum(n_a), sum(n_b), sum(n), hashlib.sha256(";".join(groups).encode()).hexdigest(), b"".join(pairs)
+
 
 def coders(a_path: str, b_path: str) -> Coders:
     if (a_path, b_path) not in _coders:
@@ -98,7 +151,7 @@ def sizes(a_path: str, b_path: str) -> tuple[int, int]:
 
 
 def linked(code: Coders, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(A id, B id) of every link of many texts in order, where each text's links begin (one entry more than texts), and the digests of their groups."""
+    """(A id, B id) of every link of many texts in order, where each text's links begin (one entry more than texts), and the spelling of their groups."""
     of = lambda x: np.fromiter((i for ids in x for i in ids), np.int64, sum(map(len, x)))
     ids_a, ids_b = of(a), of(b)
     from_a, from_b = (np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int64) for side in (a, b))
@@ -117,8 +170,8 @@ def linked(code: Coders, a: list[list[int]], b: list[list[int]]) -> tuple[np.nda
     spelled[np.arange(len(ids_b)) + np.repeat(at_a + 1, np.diff(np.r_[-1, at_b]))] = 2 * n_a + ids_b + last_b * n_b
     spelled, begins = spelled.tolist(), (from_a + from_b).tolist()
     names = code.names.__getitem__
-    digests = [hashlib.sha256("".join(map(names, spelled[i:j]))[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(begins, begins[1:])]
-    return ids_a[at_a], ids_b[at_b], np.searchsorted(at_a, from_a), digests
+    groups = ["".join(map(names, spelled[i:j]))[:-1] for i, j in zip(begins, begins[1:])]
+    return ids_a[at_a], ids_b[at_b], np.searchsorted(at_a, from_a), groups
 
 
 def encode(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -132,14 +185,18 @@ def encode(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for piece in pieces(batch, 1, CHUNK_BYTES):
                 data, offsets = text_bytes(piece.column(1))
                 data = data.tobytes()
-                a, b = code.encode([data[i:j] for i, j in zip(offsets, offsets[1:])])
-                of_a, of_b, first, digests = linked(code, a, b)
+                texts = [decoded(data[i:j]) for i, j in zip(offsets, offsets[1:])]
+                segments = {x for t in texts if t for x in code.segments(t)}
+                code.learn(segments)
+                n_a, n_b, count, digests, codes = zip(*map(code.text, texts), strict=True)
+                code.forget_long(segments)
+                codes, first = np.frombuffer(b"".join(codes), "<i8"), np.concatenate([[0], np.cumsum(count)])
+                of_a, of_b = codes & ((1 << ID_BITS) - 1), codes >> ID_BITS
                 # Stripe, then place in the stripe's block.
                 key = (of_b % STRIPES) * (height * columns) + of_b // STRIPES * columns + of_a
                 pairs, place, n = np.unique(key, return_inverse=True, return_counts=True)
                 links = place.astype("<u4").tobytes()
-                count = np.diff(first)
-                rows = {"doc_id": piece.column(0), "n_a": [len(x) for x in a], "n_b": [len(x) for x in b], "n_groups": count, "n_links": count, "groups_sha256": digests, "links": [links[4 * i : 4 * j] for i, j in zip(first, first[1:])]}
+                rows = {"doc_id": piece.column(0), "n_a": n_a, "n_b": n_b, "n_groups": count, "n_links": count, "groups_sha256": digests, "links": [links[4 * i : 4 * j] for i, j in zip(first, first[1:])]}
                 yield filled(rows, piece.num_rows, schema, chunk)
                 stripe = pairs // (height * columns)
                 edges = np.flatnonzero(np.r_[True, stripe[1:] != stripe[:-1], True]) if len(pairs) else np.empty(0, np.int64)
@@ -153,6 +210,13 @@ def encode(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.mapInArrow(run, ENCODED)
 
 
+def decoded(raw: bytes) -> str | None:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def filled(rows: dict, n: int, schema: pa.Schema, chunk: int) -> pa.RecordBatch:
     """A batch with nulls in the columns that ``rows`` doesn't have."""
     rows = rows | {"chunk": np.full(n, chunk)}

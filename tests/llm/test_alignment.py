@@ -47,16 +47,17 @@ def brute(rows):
     ), pairs, most
 
 
-ODD = [(None, "Straße 世界, naïve café."), (3, None), (4, ""), (4, " "), (5, "a▁b"), (6, "<s> </s> <0x41> <unk> <|endoftext|>"), (7, "x" * 5000), (7, "x" * 5000), (8, "tab\tnew\nline  two   spaces "), (9, "👩‍👩‍👧 \u0000 ﬁ ½"), (10, "don't we'll 12,345.67 ... !!")]
+ODD = [(None, "Straße 世界, naïve café."), (3, None), (4, ""), (4, " "), (5, "a▁b"), (6, "<s> </s> <0x41> <unk> <|endoftext|>"), (7, "x" * 5000), (7, "x" * 5000), (8, "tab\tnew\nline  two   spaces "), (9, "👩‍👩‍👧 \u0000 ﬁ ½"), (10, "don't we'll 12,345.67 ... !!"), (11, "a\u00a0 b \u3000c \x1cd \x1c e\u0085 f"), (12, "é e\u0301 '  's n't 's\ta \n b"), (13, "  lead and trail  "), (14, "12 34 ,. ,5 x ' s")]
 
 
 def got(table):
     return Counter(tuple(r[c] for c in COLUMNS) for r in table.collect())
 
 
-@pytest.mark.parametrize("chunk", [4 << 20, 64])
-def test_alignment(spark, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "memo"), [(4 << 20, 100_000), (64, 50)])
+def test_alignment(spark, chunk, memo, monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(alignment, "MEMO", memo)
     monkeypatch.setattr(alignment, "VISITS", 3)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).union(spark.createDataFrame(ODD, "doc_id long, text string"))
     docs = docs.select("*", *[F.lit("x").alias(c) for c in ("chunk", "links", "stripe", "cells", "n", "first", "n_best")])
@@ -70,3 +71,17 @@ def test_alignment(spark, chunk, monkeypatch):
 def test_alignment_of_nothing(spark):
     rows, best = alignment.align(spark.createDataFrame([], "doc_id long, text string"))
     assert rows.collect() == [] and best.collect() == []
+
+
+def test_segments_give_the_ids_of_whole_texts():
+    """Cut at single spaces and put together, the ids are those of the whole text, in both vocabularies."""
+    import pyarrow.parquet as pq
+
+    code = alignment.coders(A, B)
+    assert code.cuts
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() + [t for _, t in ODD if t]
+    for t in texts:
+        parts = code.segments(t)
+        assert " ".join(parts) == t
+        for whole, ids in ((code.a.encode(f" {t}", add_special_tokens=False).ids, [code.a.encode(f" {x}", add_special_tokens=False).ids for x in parts]), (code.b.encode(t), [code.b.encode(x) for x in parts])):
+            assert whole == [i for x in ids for i in x]
