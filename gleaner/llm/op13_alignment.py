@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,15 @@ A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text of a chunk, stripes of B ids, and the most cells that a stripe's block may have.
 CHUNK_BYTES, STRIPES, STRIPE_CELLS = 4 << 20, 512, 1 << 24
 #: Segments of a generation that a worker remembers, the longest of them, and characters that are encoded at once. When a generation is full, the one before is forgotten.
-MEMO, MEMO_CHARS, AT_ONCE = 150_000, 100, 1 << 16
+MEMO, MEMO_CHARS, AT_ONCE = 220_000, 100, 1 << 16
+#: Texts of these letters alone are split and merged alike by both libraries that know A's vocabulary form, so the faster one takes them.
+PLAIN = re.compile("[\\x00-\u024f]{1,%d}" % MEMO_CHARS)
 #: A space between characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Chunks whose lists visit one copy of a stripe's block.
 VISITS = 4096
+#: Lists of a stripe after which a task forgets which cells it met twice.
+MOST_MET = 512
 #: Bits of an id within a pair.
 ID_BITS = 18
 
@@ -80,6 +85,12 @@ class Coders:
         kind = json.loads(self.a.to_str())
         pattern = (kind.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and kind["pre_tokenizer"].get("use_regex", True) and not kind.get("normalizer")
         self.cuts = pattern and not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        # Where ids number the merges in order, ranks are ids.
+        merges = [x if isinstance(x, list) else x.split(" ") for x in kind["model"].get("merges", [])]
+        self.quick = None
+        if pattern and all(vocabulary.get(left + right) == 256 + n for n, (left, right) in enumerate(merges)):
+            ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+            self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.memo: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
         # The name of an id as it stands within a group, and as the last of its side there.
@@ -87,7 +98,10 @@ class Coders:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each text in both vocabularies; none of either where one doesn't spell it."""
-        a = [x.ids for x in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        a: list = [self.quick(f" {t}") if self.quick and PLAIN.fullmatch(t) else None for t in texts]
+        rest = [i for i, x in enumerate(a) if x is None]
+        for i, x in zip(rest, self.a.encode_batch_fast([f" {texts[i]}" for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            a[i] = x.ids
         b = self.b.encode(texts, num_threads=1) if texts else []
         for i, x in enumerate(texts):
             want = f" {x}".encode()
@@ -128,10 +142,11 @@ class Coders:
 
     def text(self, text: str | None) -> tuple[int, int, int, str, bytes]:
         """Ids of A and of B, links, digest of groups, and pairs of a text whose segments are learnt."""
-        met = [self.memo[x] for x in self.segments(text)] if text else []
-        if not met or not all(x[0] for x in met):
+        if not text:
+            return 0, 0, 0, "", b""
+        n_a, n_b, n, groups, pairs = zip(*map(self.memo.__getitem__, self.segments(text)))
+        if 0 in n_a:
             return 0, 0, 0, "", b""
-        n_a, n_b, n, groups, pairs = zip(*met, strict=True)
         return sum(n_a), sum(n_b), sum(n), hashlib.sha256(";".join(groups).encode()).hexdigest(), b"".join(pairs)
 
 
@@ -234,10 +249,11 @@ def add_up(lists: DataFrame, cells: int, *keys: str) -> DataFrame:
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, now = np.zeros(cells, np.int64), None
+        block, now, met = np.zeros(cells, np.int64), None, []
 
         def close() -> pa.RecordBatch:
-            at = np.flatnonzero(block)
+            at = np.unique(np.concatenate(met))
+            met.clear()
             out = pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([block[at].astype("<i8").tobytes()], pa.binary())], names=["stripe", "cells", "n"])
             block[at] = 0
             return out
@@ -247,7 +263,11 @@ def add_up(lists: DataFrame, cells: int, *keys: str) -> DataFrame:
                 if now is not None and key != now:
                     yield close()
                 now = key
-                np.add.at(block, np.frombuffer(batch.column(width)[i].as_buffer(), "<u4"), np.frombuffer(batch.column(width + 1)[i].as_buffer(), "<i8"))
+                some = np.frombuffer(batch.column(width)[i].as_buffer(), "<u4")
+                np.add.at(block, some, np.frombuffer(batch.column(width + 1)[i].as_buffer(), "<i8"))
+                met.append(some)
+                if len(met) >= MOST_MET:
+                    met[:] = [np.unique(np.concatenate(met))]
         if now is not None:
             yield close()
 
@@ -256,8 +276,15 @@ def add_up(lists: DataFrame, cells: int, *keys: str) -> DataFrame:
 
 def pair_counts(encoded: DataFrame, columns: int, height: int) -> DataFrame:
     """(stripe, cells, n): all pairs of the corpus, a row for each stripe, added up in two steps so that no task reads all chunks of a large corpus."""
-    lists = encoded.filter("stripe IS NOT NULL").select("stripe", F.pmod("chunk", F.lit(97)).alias("branch"), "cells", "n")
-    return add_up(add_up(lists, columns * height, "stripe", "branch"), columns * height, "stripe")
+    lists, branches = encoded.filter("stripe IS NOT NULL"), copies_for(encoded)
+    if branches > 1:
+        lists = add_up(lists.withColumn("branch", F.pmod("chunk", F.lit(branches))), columns * height, "stripe", "branch")
+    return add_up(lists, columns * height, "stripe")
+
+
+def copies_for(encoded: DataFrame) -> int:
+    """One for each VISITS chunks."""
+    return max(1, -(-encoded.select("chunk").distinct().count() // VISITS))
 
 
 def best_pairs(counts: DataFrame, columns: int) -> DataFrame:
@@ -278,7 +305,7 @@ def best_pairs(counts: DataFrame, columns: int) -> DataFrame:
 
 def visited(encoded: DataFrame, counts: DataFrame, columns: int, height: int) -> DataFrame:
     """(chunk, first, n, best): each stretch of a chunk's list with the counts of its pairs, and whether they are their B id's highest."""
-    copies = max(1, encoded.select("chunk").distinct().count() // VISITS)
+    copies = copies_for(encoded)
     salt = F.pmod("chunk", F.lit(copies)).cast("int")
     lists = encoded.filter("stripe IS NOT NULL").select("stripe", salt.alias("copy"), "chunk", "first", "cells", F.lit(None).cast("binary").alias("n"))
     blocks = counts.select("stripe", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("first"), "cells", "n")

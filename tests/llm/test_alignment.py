@@ -83,5 +83,6 @@ def test_segments_give_the_ids_of_whole_texts():
     for t in texts:
         parts = code.segments(t)
         assert " ".join(parts) == t
+        assert all(code.quick(f" {x}") == code.a.encode(f" {x}", add_special_tokens=False).ids for x in parts if alignment.PLAIN.fullmatch(x))
         for whole, ids in ((code.a.encode(f" {t}", add_special_tokens=False).ids, [code.a.encode(f" {x}", add_special_tokens=False).ids for x in parts]), (code.b.encode(t), [code.b.encode(x) for x in parts])):
             assert whole == [i for x in ids for i in x]
