@@ -32,6 +32,8 @@ K, SCALE, EVERY = 5, 256, 50
 #: Leading rotated dimensions of the first bound, vectors in a block, and candidates scored to begin with.
 HEAD, BLOCK, SEED_ROWS = 16, 4096, 2048
 BLOCKS = "block long, ids binary, vectors binary"
+#: Candidate blocks whose extents meet a block of queries at once, and the end of 64-bit integers.
+EXTENTS, LIMIT = 4096, 2**63
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -61,10 +63,27 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products. float64 is exact while every partial sum stays below 2**53."""
+    """Integer inner products, in 64 bits: those beyond count as the greatest or the least. float64 is exact while every partial sum stays below 2**53."""
     if len(vectors) and np.abs(vectors).max() * np.abs(query).max() * len(query) < 2**53:
         return (vectors @ query).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in vectors], np.int64)
+    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(v, query, strict=True)), -LIMIT), LIMIT - 1) for v in vectors], np.int64)
+
+
+def reaches(queries: np.ndarray, floors: np.ndarray, extents: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    """(queries, blocks): whether a block may hold a score that reaches a query's floor. ``extents``: of each block the greatest length and tail, then the least and the greatest of each head dimension."""
+    asked, width = queries @ rotation, (extents.shape[1] - 2) // 2
+    head, length, tail = asked[:, :width], np.sqrt((queries**2).sum(axis=1)), np.sqrt((asked[:, width:] ** 2).sum(axis=1))
+    low, high = extents[:, 2 : 2 + width], extents[:, 2 + width :]
+    bound = np.maximum(head, 0) @ high.T + np.minimum(head, 0) @ low.T + np.outer(tail, extents[:, 1])
+    bound = np.minimum(bound, np.outer(length, extents[:, 0]))
+    # Rounding grows with the lengths.
+    slack = 1e-9 * np.outer(length, extents[:, 0]) + 1e-6
+    return bound >= open_floors(floors)[:, None] - slack
+
+
+def open_floors(floors: np.ndarray) -> np.ndarray:
+    """Floors that scores cut to 64 bits can't tell from others bar nothing."""
+    return np.where(floors <= -LIMIT / 2, -np.inf, np.minimum(floors, LIMIT / 2))
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +91,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids:
     turned, asked = vectors @ rotation, queries @ rotation
     length, tail = np.sqrt((vectors**2).sum(axis=1)), np.sqrt((turned[:, HEAD:] ** 2).sum(axis=1))
     q_length, q_tail = np.sqrt((queries**2).sum(axis=1)), np.sqrt((asked[:, HEAD:] ** 2).sum(axis=1))
-    out = []
+    out, floors = [], open_floors(floors)
     for i in range(len(queries)):
         slack = 1e-9 * q_length[i] * (length[0] if len(length) else 0) + 1e-6
         reach = int(np.searchsorted(-(length * q_length[i]), -(floors[i] - slack), side="right"))
@@ -99,7 +118,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, id
     schema = "query_id long, rank int, vec_id long, score long"
     if not width:
         return table.sparkSession.createDataFrame([], schema)
-    own = own.filter(F.size("v") == width[0]["n"]).select(F.col("vec_id").cast("long").alias("id"), F.transform(doubles, lambda x: F.floor(x * scale).cast("double")).alias("vector"))
+    own = own.filter(F.size("v") == width[0]["n"]).select(F.col("vec_id").cast("long").alias("id"), F.transform(doubles, lambda x: F.when(F.abs(x * scale) < 2.0**53, F.floor(x * scale).cast("double")).otherwise(x * scale)).alias("vector"))
     own = own.withColumn("norm", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     n = int(width[0]["n"])
 
@@ -139,9 +158,36 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, id
             yield batch.assign(floors=made)
 
     asked = asked.mapInPandas(floors, "asked long, query_ids binary, queries binary, floors binary")
-    # A number for each BLOCK vectors comes to the driver, nothing of the vectors themselves.
-    numbers = [r["block"] for r in packed.select("block").orderBy("block").collect()]
-    sent = asked.withColumn("block", F.explode(F.array(*[F.lit(x).cast("long") for x in numbers])))
+
+    def extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """EXTENTS blocks as one row: their numbers, and what bounds them."""
+        for batch in batches:
+            made = []
+            for vectors in batch["vectors"]:
+                x = np.frombuffer(vectors).reshape(-1, n)
+                turned = x @ rotation
+                head = turned[:, :HEAD]
+                made.append(np.concatenate([[np.sqrt((x**2).sum(axis=1)).max(), np.sqrt((turned[:, HEAD:] ** 2).sum(axis=1)).max()], head.min(axis=0), head.max(axis=0)]))
+            for at in range(0, len(made), EXTENTS):
+                yield pd.DataFrame({"blocks": [batch["block"].tolist()[at : at + EXTENTS]], "extents": [np.array(made[at : at + EXTENTS]).tobytes()]})
+
+    bounds = packed.select("block", "vectors").mapInPandas(extents, "blocks array<long>, extents binary")
+    bounds = scratch.write(bounds.withColumn("pack", F.monotonically_increasing_id()), "extents")
+    # One number for each task that read candidates, or each EXTENTS blocks, comes to the driver; nothing of the vectors themselves.
+    packs = [r["pack"] for r in bounds.select("pack").collect()]
+
+    def cut(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """To each block go only the queries whose floor it may reach."""
+        for batch in rows:
+            for x in batch.itertuples():
+                ids, q, low = np.frombuffer(x.query_ids, np.int64), np.frombuffer(x.queries).reshape(-1, n), np.frombuffer(x.floors)
+                may = reaches(q, low, np.frombuffer(x.extents).reshape(len(x.blocks), -1), rotation)
+                for b in np.flatnonzero(may.any(axis=0)):
+                    mine = may[:, b]
+                    yield pd.DataFrame({"block": [int(x.blocks[b])], "query_ids": [ids[mine].tobytes()], "queries": [q[mine].tobytes()], "floors": [low[mine].tobytes()]})
+
+    sent = asked.drop("asked").withColumn("pack", F.explode(F.array(*[F.lit(x).cast("long") for x in packs])))
+    sent = sent.join(bounds, "pack").drop("pack").mapInPandas(cut, "block long, query_ids binary, queries binary, floors binary")
 
     def meet(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows:

@@ -38,6 +38,8 @@ GAMMA = 1.5
 #: Documents and payload bytes after which a task begins another shard.
 SHARD_DOCUMENTS, SHARD_BYTES = 200_000, 256 << 20
 NULL_KEY = -(1 << 63)
+#: Occurrences of one id that are asked for together, and tasks that read shards.
+STRETCH, MOST_PARTS = 65_536, 10_000
 MANIFEST = "shard string, part int, piece int, low long, high long, low_occurrence long, documents long, ids long"
 
 
@@ -184,12 +186,14 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str, id_col: str = "doc
     names = [x["shard"] for x in shards]
     starts = [x["start"] for x in shards]
     home = own.withColumn("key", F.coalesce("doc_id", F.lit(NULL_KEY))).groupBy("key").agg(F.count("*").alias("times"))
+    # An id that many rows share is asked for a stretch of occurrences at a time.
+    home = home.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(STRETCH))).alias("base"), "times").select("key", "base", F.least(F.col("times") - F.col("base"), F.lit(STRETCH)).alias("times"))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in (part for batch in batches for part in few(batch)):
             key = np.repeat(rows["key"].to_numpy(), rows["times"])
             times = rows["times"].to_numpy()
-            occurrence = np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
+            occurrence = np.arange(len(key)) - np.repeat(np.cumsum(times) - times - rows["base"].to_numpy(), times)
             shard = np.searchsorted(lows, key, side="right") - 1
             again = (shard >= 0) & (lows[shard] == key) & (first[shard] > occurrence)
             while again.any():
@@ -198,6 +202,12 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str, id_col: str = "doc
             keep = shard >= 0
             yield pd.DataFrame({"shard": shard[keep], "key": key[keep], "occurrence": occurrence[keep]})
 
+    def few(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows that ask for no more than about 16 stretches together."""
+        part = (np.cumsum(batch["times"].to_numpy()) - 1) // (16 * STRETCH)
+        for at in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+            yield batch.iloc[at]
+
     def read(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         store, base = pafs.FileSystem.from_uri(folder)
         number = int(group[0])
@@ -216,7 +226,9 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str, id_col: str = "doc
         out.loc[out["doc_id"] == NULL_KEY, "doc_id"] = pd.NA
         return out
 
-    return home.mapInPandas(route, "shard long, key long, occurrence long").groupBy("shard").applyInPandas(read, schema)
+    # As many parts as shards: a count of our own isn't merged, so shards are read side by side.
+    asked = home.mapInPandas(route, "shard long, key long, occurrence long").repartition(min(len(shards), MOST_PARTS), "shard")
+    return asked.groupBy("shard").applyInPandas(read, schema)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

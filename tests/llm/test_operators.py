@@ -171,6 +171,8 @@ def test_token_files(spark, docs, empty):
     for r, (i, *_), x in zip(got, rows, ids, strict=True):
         assert r == {"doc_id": i, "start": start, "n_tokens": len(x), "ids_crc32": zlib.crc32(x.tobytes())}
         start += len(x)
+    spread = lookup(docs, manifest, folder)
+    assert spread.rdd.getNumPartitions() >= min(manifest.count(), 2)
     assert rows_of(lookup(spark.createDataFrame([(1,), (None,), (10**12,)], "doc_id long"), manifest, folder)) == []
     twice = spark.createDataFrame([(4, "a"), (4, "b c"), (None, "d"), (None, None)], "doc_id long, text string")
     other = scratch.path("twice")
@@ -303,6 +305,32 @@ def test_top_k(spark):
     assert rows_of(top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True))) == []
 
 
+def test_top_k_in_small_blocks_with_huge_components(spark, monkeypatch):
+    """Blocks that can't reach a floor are not visited; scores beyond 64 bits are the greatest or the least."""
+    from pyspark.sql import functions as F
+
+    from gleaner.llm import op06_topk as topk
+
+    monkeypatch.setattr(topk, "EXTENTS", 3)
+    monkeypatch.setattr(topk, "SEED_ROWS", 40)
+    monkeypatch.setattr(topk, "HEAD", 3)
+    g = np.random.default_rng(9)
+    v = (g.normal(size=(400, 6)) * np.geomspace(1, 100, 400)[g.permutation(400)][:, None]).round(2)
+    for scale in (1.0, 1e12):
+        w = v * scale
+        table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "vec_id long, embedding array<double>").repartition(3)
+        got = {tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in rows_of(top_k(table, F.col("id") % 50 == 0, block=16))}
+        q = [[int(np.floor(256 * x)) for x in row] for row in w]
+        want = set()
+        for i in range(0, 400, 50):
+            s = [min(max(sum(a * b for a, b in zip(q[k], q[i], strict=True)), -(2**63)), 2**63 - 1) for k in range(400)]
+            want |= {(i, n + 1, k, s[k]) for n, k in enumerate(sorted((k for k in range(400) if k != i), key=lambda k: (-s[k], k))[:5])}
+        assert got == want
+    # Of blocks in descending order of length, the last can't reach a floor set by the first.
+    long_, short = np.full((1, 8), 10.0), np.array([[1.0, 0.0, *[0.5] * 3, *[1.0] * 3]])
+    assert topk.reaches(np.eye(6)[:1] * 3, np.array([20.0]), np.vstack([long_, short]), np.eye(6)).tolist() == [[True, False]]
+
+
 def test_quality(spark, docs, empty):
     good, bad = [(i, prose(60)) for i in range(150)], [(i + 150, " | ".join(["junk!!"] * 40)) for i in range(50)]
     table = spark.createDataFrame([*good, *bad, (900, None), (901, ""), (None, "x")], "doc_id long, text string")
