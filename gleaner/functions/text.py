@@ -1,4 +1,4 @@
-"""Text expressions: cleaning, garbage, paragraphs, sentences, headings."""
+"""Text expressions: cleaning, garbage, headings. The parts of a text are in ``operators/chunking.py``."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 #: White space that is cut from ends: what the engines call white space, no-break and ideographic space.
 SPACE = r"[\s\x{00A0}\x{3000}]"
-#: Line-initial marks that begin a section of their own.
-MARK = r"(?:[0-9]+[.、．)]|[-•·]|[（(][0-9]+[)）]|第[一二三四五六七八九十0-9]+[章节条款]|#+\s)"
-SENTENCE_END = "。！？.!?\n"
-BREAK = "\u0001"
 
 
 def strip(text: Column) -> Column:
@@ -21,11 +17,6 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(F.length(strip(text)), F.lit(0)) == 0
 
 
-def stripped_parts(parts: Column) -> Column:
-    """Parts without white space at their ends, blank ones left out."""
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
-
-
 def garbage_ratio(text: Column) -> Column:
     """Share of replacement and control characters; 1 for empty text."""
     clean = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]", "")
@@ -54,20 +45,6 @@ def parsed(text_a: Column, text_b: Column, text_c: Column, least: int = 50, garb
     return clean_text(F.when(poor & ~is_blank(text_c), text_c).otherwise(chosen))
 
 
-def sections(text: Column) -> Column:
-    """Parts that begin at the start or before a line-initial mark."""
-    return stripped_parts(F.split(F.regexp_replace(text, f"(^|\n)({MARK})", f"$1{BREAK}$2"), BREAK))
-
-
-def paragraphs(text: Column) -> Column:
-    return stripped_parts(F.split(text, r"\n\s*\n"))
-
-
-def sentences(text: Column) -> Column:
-    """Sentences with their closing mark, ends stripped."""
-    return stripped_parts(F.split(F.regexp_replace(text, f"([{SENTENCE_END}])\\s*", f"$1{BREAK}"), BREAK))
-
-
 def headings(text: Column) -> Column:
     """array<struct<line, text>>: marked, bracketed and numbered headings with the number of their line."""
     def heading(line: Column, number: Column) -> Column:

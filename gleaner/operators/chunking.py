@@ -1,15 +1,13 @@
-"""Structure-aware chunks of documents.
+"""Structure-aware chunks of documents, as column expressions.
 
-One Arrow helper does what is sequential by nature: protected blocks, sentence packing, and merging with carry. Each text is one row in and one array out,
-so a large document never has to share a task's group with others and nothing is shuffled. Overlap, tags and numbering are column expressions.
+A text stays one row from end to end: lines, runs of lines and pieces are arrays, and what depends on what came before is a fold (``aggregate``) whose state carries the
+piece being filled. Nothing is shuffled and no Python worker starts. Runs are found by where they begin, so their cost is linear in the text; folds append a chunk at a time.
+
+Blank and null texts give no rows. Line ends are ``\\n`` alone; white space is what Unicode calls so.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import groupby
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,108 +15,142 @@ from gleaner.functions import rules, text
 from gleaner.params import Params
 
 #: Characters of directory trees, and how short lines of code begin or what they hold.
-BOXES = set("│├└┌┐┘┤┬┴┼▸▼▶")
+BOXES = "│├└┌┐┘┤┬┴┼▸▼▶"
 CODE_STARTS = ("# ", "//", "/*", "* ", "> ", "{", "}", "(", ")", "[", "]", "<", ">")
 CODE_WORDS = ("def ", "class ", "import ", "from ", "return ")
 CODE_RUN, SHORT_LINE = 5, 50
+#: White space, as a class of characters.
+WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: A table's line; a mark with which a line begins a section; blank lines; the end of a sentence.
+TABLE = rf"(?d)^(?:\|.+\||\|(?:{WHITE}|[-:])+\|)\z"
+MARK = rf"(?:\p{{Nd}}+[.、．)]|[-•·]|[（(]\p{{Nd}}+[)）]|第[一二三四五六七八九十\p{{Nd}}]+[章节条款]|#+{WHITE})"
+BEFORE_MARK = rf"(?md)^(?={MARK})"
+BLANK_LINE = rf"\n{WHITE}*\n"
+SENTENCE = rf"(?<=[。！？.!?\n]){WHITE}*"
+
+
+def trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, rf"\A{WHITE}+|{WHITE}+\z", "")
+
+
+def filled(parts: Column) -> Column:
+    """Parts without white space at their ends, blank ones left out."""
+    return F.filter(F.transform(parts, trimmed), lambda x: x != "")
+
+
+def is_code(line: Column) -> Column:
+    s = trimmed(line)
+    found = F.lit(False)
+    for start in CODE_STARTS:
+        found = found | s.startswith(start)
+    for word in CODE_WORDS:
+        found = found | s.contains(word)
+    return (s != "") & (F.rlike(s, F.lit(f"[{BOXES}]")) | ((F.length(s) < SHORT_LINE) & found))
+
+
+def is_table(line: Column) -> Column:
+    return F.rlike(trimmed(line), F.lit(TABLE))
+
+
+def changes(n: Column, differs) -> Column:
+    """The places from 0 to n - 1 at which something begins: the first, and those for which ``differs`` holds."""
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | differs(i))
+
+
+def runs(starts: Column, n: Column, make) -> Column:
+    """``make(start, length)`` of each run that begins at ``starts``."""
+    return F.transform(starts, lambda s, k: make(s, F.coalesce(F.get(starts, k + 1), n) - s))
 
-TABLE = re.compile(r"\|.+\||\|[\s\-:]+\|")
-MARKED = re.compile(r"^(?=(?:\d+[.、．)]|[-•·]|[（(]\d+[)）]|第[一二三四五六七八九十\d]+[章节条款]|#+\s))", re.M)
-BLANK_LINE = re.compile(r"\n\s*\n")
-SENTENCE = re.compile(r"(?<=[。！？.!?\n])\s*")
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, wherever and however often it stands: the optimizer may copy a column into a lambda that runs for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def is_code(line: str) -> bool:
-    s = line.strip()
-    if not s:
-        return False
-    return not BOXES.isdisjoint(s) or (len(s) < SHORT_LINE and (s.startswith(CODE_STARTS) or any(w in s for w in CODE_WORDS)))
 
+def protected(lines: Column) -> Column:
+    """Lines as parts: each long enough run of code and each run of a table stands alone, what lies between stays together."""
+    def alone(v: Column) -> Column:
+        starts = changes(v["n"], lambda i: F.get(v["code"], i) != F.get(v["code"], i - 1))
+        return let(starts, lambda at: F.flatten(runs(at, v["n"], lambda s, m: F.array_repeat(F.get(v["code"], s) & (m >= CODE_RUN), m))))
 
-def is_table(line: str) -> bool:
-    return TABLE.fullmatch(line.strip()) is not None
+    def parts(v: Column, own: Column) -> Column:
+        starts = changes(v["n"], lambda i: (F.get(own, i) != F.get(own, i - 1)) | (F.get(v["table"], i) != F.get(v["table"], i - 1)))
+        return let(starts, lambda at: runs(at, v["n"], lambda s, m: F.array_join(F.slice(v["lines"], s + 1, m), "\n")))
 
+    known = let(lines, lambda x: F.struct(x.alias("lines"), F.transform(x, is_code).alias("code"), F.transform(x, is_table).alias("table"), F.size(x).alias("n")))
+    return let(known, lambda v: let(alone(v), lambda own: parts(v, own)))
 
-def blocks(lines: list[str], test, least: int) -> list[list[str]]:
-    """Lines cut so that each run of at least ``least`` lines that pass ``test`` stands alone."""
-    out: list[list[str]] = [[]]
-    for passed, run in groupby(lines, test):
-        run = list(run)
-        if passed and len(run) >= least:
-            out += [run, []]
-        else:
-            out[-1] += run
-    return [b for b in out if b]
 
+def sections(part: Column) -> Column:
+    """Pieces that begin at the start or at a line-initial mark."""
+    return F.split(part, BEFORE_MARK, -1)
 
-def structure(document: str) -> list[str]:
-    """Paragraphs, cut at code, tables, line-initial marks and blank lines."""
-    parts = [table for code in blocks(document.split("\n"), is_code, CODE_RUN) for table in blocks(code, is_table, 1)]
-    marked = [m for part in parts for m in MARKED.split("\n".join(part))]
-    return [p.strip() for m in marked for p in BLANK_LINE.split(m.strip()) if p.strip()]
 
+def paragraphs(part: Column) -> Column:
+    return filled(F.split(part, BLANK_LINE, -1))
 
-def packed(paragraph: str, most: int) -> list[str]:
+
+def sentences(paragraph: Column) -> Column:
+    """Sentences with their closing mark."""
+    return filled(F.split(paragraph, SENTENCE, -1))
+
+
+def structure(document: Column) -> Column:
+    """A text's paragraphs: cut at runs of code and of tables, at line-initial marks and at blank lines."""
+    marked = F.flatten(F.transform(protected(F.split(document, "\n", -1)), sections))
+    return F.flatten(F.transform(marked, lambda m: paragraphs(trimmed(m))))
+
+
+def packed(paragraph: Column, most: int) -> Column:
     """Sentences of a long paragraph, as many together as fit; a longer sentence stays whole."""
-    out, size = [[]], 0
-    for s in filter(None, map(str.strip, SENTENCE.split(paragraph))):
-        if size + len(s) > most and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append(s)
-        size += len(s)
-    return ["".join(x) for x in out if x]
-
-
-def merged(chunks: list[str], least: int, most: int) -> list[str]:
-    """Short chunks take the next one in, or as much of it as they lack."""
-    queue, out = list(reversed(chunks)), []
-    while queue:
-        now = queue.pop()
-        while queue and len(now) < least:
-            following = queue.pop()
-            if len(now) + len(following) <= most:
-                now = f"{now}\n{following}"
-            else:
-                lack = least - len(now)
-                now = f"{now}\n{following[:lack]}"
-                queue.append(following[lack:])
-                break
-        out.append(now.strip())
-    return out
-
-
-def chunk_text(document: str | None, params: Params = Params()) -> list[str]:
-    """Chunks without overlap."""
-    long_ = lambda p: packed(p, params.chunk_chars) if len(p) > params.chunk_chars else [p]
-    pieces = [c for p in structure(document or "") for c in long_(p) if c.strip()]
-    return merged(pieces, params.chunk_least, params.chunk_chars)
-
-
-def lines_of(document: str, chunks: list[str]) -> list[int]:
+    none = F.array().cast("array<string>")
+    state = lambda out, now: F.struct(out.alias("out"), now.alias("now"))
+    add = lambda s, x: F.when((F.length(s["now"]) + F.length(x) > most) & (s["now"] != ""), state(F.array_append(s["out"], s["now"]), x)).otherwise(state(s["out"], F.concat(s["now"], x)))
+    return F.aggregate(sentences(paragraph), state(none, F.lit("")), add, lambda s: F.filter(F.array_append(s["out"], s["now"]), lambda x: x != ""))
+
+
+def pieces(paragraphs: Column, most: int) -> Column:
+    return F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > most, packed(p, most)).otherwise(F.array(p))))
+
+
+def merged(chunks: Column, least: int, most: int) -> Column:
+    """Short chunks take the next one in, or as much of it as they lack; the rest of it goes on."""
+    none = F.array().cast("array<string>")
+    state = lambda out, now: F.struct(out.alias("out"), now.alias("now"))
+
+    def add(s: Column, x: Column) -> Column:
+        now, lack = s["now"], least - F.length(s["now"])
+        both = F.concat(now, F.lit("\n"), x)
+        taken = F.concat(now, F.lit("\n"), F.substring(x, F.lit(1), lack))
+        return (
+            F.when(now.isNull(), state(s["out"], x)).when(F.length(now) >= least, state(F.array_append(s["out"], trimmed(now)), x))
+            .when(F.length(now) + F.length(x) <= most, state(s["out"], both)).otherwise(state(F.array_append(s["out"], trimmed(taken)), F.substring(x, lack + 1, F.length(x))))
+        )
+
+    return F.aggregate(chunks, state(none, F.lit(None).cast("string")), add, lambda s: F.when(s["now"].isNull(), s["out"]).otherwise(F.array_append(s["out"], trimmed(s["now"]))))
+
+
+def lines_of(document: Column, chunks: Column) -> Column:
     """The line at which each chunk begins in the raw text, read on from the end of the one before; -1 where it isn't found as it is."""
-    out, at, line, counted = [], 0, 0, 0
-    for c in chunks:
-        found = document.find(c, at)
-        if found >= 0:
-            line, counted = line + document.count("\n", counted, found), found
-            at = found + max(len(c), 1)
-        out.append(line if found >= 0 else -1)
-    return out
+    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    state = lambda out, rest, line: F.struct(out.alias("out"), rest.alias("rest"), line.cast("int").alias("line"))
+
+    def add(s: Column, c: Column) -> Column:
+        # The cursor: what is left of the text, and the line on which it begins.
+        def moved(at: Column) -> Column:
+            line = s["line"] + count(F.substring(s["rest"], F.lit(1), at - 1))
+            found = let(line, lambda n: state(F.array_append(s["out"], n.cast("int")), F.substring(s["rest"], at + F.length(c), F.length(s["rest"])), n + count(c)))
+            return F.when(at > 0, found).otherwise(state(F.array_append(s["out"], F.lit(-1)), s["rest"], s["line"]))
 
+        return let(F.call_function("locate", c, s["rest"]), moved)
 
-def split(column: Column, params: Params = Params()) -> Column:
-    """array<struct<content, line>> of a text column."""
+    return F.aggregate(chunks, state(F.array().cast("array<int>"), document, F.lit(0)), add, lambda s: s["out"])
 
-    @F.pandas_udf("array<struct<content:string,line:int>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        made = []
-        for t in texts:
-            parts = chunk_text(t, params)
-            made.append([{"content": c, "line": n} for c, n in zip(parts, lines_of(t or "", parts), strict=True)])
-        return pd.Series(made)
 
-    return cut(column)
+def split(document: Column, params: Params = Params()) -> Column:
+    """array<struct<content, line>> of a text that isn't null, without overlap."""
+    chunks = merged(pieces(structure(document), params.chunk_chars), params.chunk_least, params.chunk_chars)
+    return let(chunks, lambda made: F.zip_with(made, lines_of(document, made), lambda c, n: F.struct(c.alias("content"), n.alias("line"))))
 
 
 def overlapped(chunks: Column, overlap: int) -> Column:
@@ -133,8 +165,7 @@ def overlapped(chunks: Column, overlap: int) -> Column:
 def build(documents: DataFrame, params: Params = Params(), source: str = "source", text_col: str = "text", section_rules=rules.SECTIONS) -> DataFrame:
     """(source, chunk_index, total_chunks, content, file_type, project, section_type). Blank texts give no rows."""
     own = documents.select(F.col(source).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cut = own.select("source", text.headings(F.col("text")).alias("headings"), split(F.col("text"), params).alias("cut"))
-    cut = cut.select("source", "headings", overlapped(F.col("cut"), params.chunk_overlap).alias("chunks"))
+    cut = own.select("source", text.headings(F.col("text")).alias("headings"), let(split(F.col("text"), params), lambda c: overlapped(c, params.chunk_overlap)).alias("chunks"))
     each = cut.select("source", "headings", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "c"))
     above = F.transform(F.filter("headings", lambda h: h["line"] <= F.col("c.line")), lambda h: h["text"])
     return each.select(

@@ -6,7 +6,7 @@ import re
 
 from gleaner import queries as q
 from gleaner.functions import rules
-from gleaner.operators import context, judge, lexical
+from gleaner.operators import chunking, context, judge, lexical
 from gleaner.params import PRESETS
 
 RULE = "\n\n---\n"
@@ -56,6 +56,46 @@ rm AS MATERIALIZED (SELECT avg(raw) AS mean FROM rw),
 ts AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rw, rm)"""
 
 
+def chunked(most: int = 500, least: int = 200) -> str:
+    """Common table expressions up to ``cut`` (source, own, line, chunk_index, total_chunks): lines as islands, pieces in order, and folds over each document's pieces."""
+    w = chunking.WHITE
+    ws = lambda x: rf"regexp_replace({x}, '\A{w}+|{w}+\z', '', 'g')"
+    code = f"s <> '' AND (regexp_matches(s, '[{chunking.BOXES}]') OR (length(s) < 50 AND ({' OR '.join([f'starts_with(s, {lit(x)})' for x in chunking.CODE_STARTS] + [f'contains(s, {lit(x)})' for x in chunking.CODE_WORDS])})))"
+    newlines = lambda x: f"(length({x}) - length(replace({x}, chr(10), '')))"
+    found = "strpos(a.rest, x)"
+    return rf"""d AS (SELECT doc_id || '.md' AS source, coalesce(text, '') AS t FROM documents),
+l AS (SELECT source, i, x, {code} AS code, regexp_matches(s, '^(?:\|.+\||\|(?:{w}|[-:])+\|)$') AS tab FROM (SELECT source, i, x, {ws('x')} AS s FROM (SELECT source, unnest(str_split(t, chr(10))) AS x, generate_subscripts(str_split(t, chr(10)), 1) AS i FROM d))),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY source, code ORDER BY i) AS run FROM l),
+islands AS (SELECT *, code AND count(*) OVER (PARTITION BY source, code, run) >= 5 AS alone FROM runs),
+marks AS (SELECT *, CASE WHEN i = 1 OR alone <> lag(alone) OVER o OR tab <> lag(tab) OVER o THEN 1 ELSE 0 END AS begins FROM islands WINDOW o AS (PARTITION BY source ORDER BY i)),
+parts AS (SELECT source, part, string_agg(x, chr(10) ORDER BY i) AS t FROM (SELECT *, sum(begins) OVER (PARTITION BY source ORDER BY i) AS part FROM marks) GROUP BY ALL),
+marked AS (SELECT source, part, generate_subscripts(z, 1) AS j, unnest(z) AS t FROM (SELECT source, part, str_split(regexp_replace(t, '(?m)^({chunking.MARK})', chr(1) || '\1', 'g'), chr(1)) AS z FROM parts)),
+paras AS (SELECT source, part, j, k, {ws('t')} AS t FROM (SELECT source, part, j, generate_subscripts(z, 1) AS k, unnest(z) AS t FROM (SELECT source, part, j, regexp_split_to_array({ws('t')}, '\n{w}*\n') AS z FROM marked))),
+sents AS (SELECT source, part, j, k, t, list_filter(list_transform(str_split(regexp_replace(t, '([。！？.!?\n]){w}*', '\1' || chr(1), 'g'), chr(1)), lambda x: {ws('x')}), lambda x: x <> '') AS z FROM paras WHERE t <> ''),
+fits AS (SELECT source, part, j, k, t, list_reduce(z, lambda a, x: CASE WHEN length(a.now) + length(x) > {most} AND a.now <> '' THEN {{'out': list_append(a.out, a.now), 'now': x}} ELSE {{'out': a.out, 'now': a.now || x}} END, {{'out': []::VARCHAR[], 'now': ''}}) AS f FROM sents),
+whole AS (SELECT source, flatten(list(CASE WHEN length(t) > {most} THEN list_filter(list_append(f.out, f.now), lambda x: x <> '') ELSE [t] END ORDER BY part, j, k)) AS z FROM fits GROUP BY source),
+fill AS (SELECT source, list_reduce(z, lambda a, x: CASE WHEN a.now IS NULL THEN {{'out': a.out, 'now': x}} WHEN length(a.now) >= {least} THEN {{'out': list_append(a.out, {ws('a.now')}), 'now': x}} WHEN length(a.now) + length(x) <= {most} THEN {{'out': a.out, 'now': a.now || chr(10) || x}}
+  ELSE {{'out': list_append(a.out, {ws(f"a.now || chr(10) || substr(x, 1, {least} - length(a.now))")}), 'now': substr(x, {least} - length(a.now) + 1)}} END, {{'out': []::VARCHAR[], 'now': NULL::VARCHAR}}) AS f FROM whole),
+owns AS (SELECT source, t, list_append(f.out, {ws('f.now')}) AS z FROM fill JOIN d USING (source)),
+places AS (SELECT source, z, list_reduce(z, lambda a, x: CASE WHEN {found} > 0 THEN {{'out': list_append(a.out, (a.line + {newlines(f"substr(a.rest, 1, {found} - 1)")})::INT), 'rest': substr(a.rest, {found} + length(x)), 'line': (a.line + {newlines(f"substr(a.rest, 1, {found} - 1 + length(x))")})::INT}}
+  ELSE {{'out': list_append(a.out, -1), 'rest': a.rest, 'line': a.line}} END, {{'out': []::INT[], 'rest': t, 'line': 0}}).out AS ls FROM owns),
+cut AS (SELECT source, unnest(z) AS own, unnest(ls) AS line, (generate_subscripts(z, 1) - 1)::INT AS chunk_index, len(z)::INT AS total_chunks FROM places)"""
+
+
+def headings_of(rows: str, key: str) -> str:
+    """(key, line, heading) of the lines of ``rows`` (key, ls)."""
+    return rf"""SELECT {key}, line, {strip("CASE WHEN marked <> '' THEN marked WHEN bracketed <> '' THEN bracketed WHEN numbered <> '' AND length(s) > 5 THEN numbered END")} AS heading FROM (
+  SELECT {key}, line, s, regexp_extract(s, '^#{{1,4}}\s+(.+)$', 1) AS marked, regexp_extract(s, '^[【「](.+?)[】」]$', 1) AS bracketed,
+    regexp_extract(s, '^(?:[一二三四五六七八九十]+[、．.]|[0-9]+[.、．]|[0-9]+\.[0-9]+)\s*(.+)$', 1) AS numbered
+  FROM (SELECT {key}, line, {strip('x')} AS s FROM (SELECT {key}, (generate_subscripts(ls, 1) - 1)::INT AS line, unnest(ls) AS x FROM ({rows})))) WHERE marked <> '' OR bracketed <> '' OR (numbered <> '' AND length(s) > 5)"""
+
+
+def tags(name: str) -> tuple[str, str]:
+    """File type and project of a file's name."""
+    types = [(f"starts_with({name}, {lit(p)})", v) for p, v in rules.PREFIX_TYPES] + [(f"contains(lower({name}), {lit(k.lower())})", v) for k, v in rules.KEYWORD_TYPES]
+    return cases(types, rules.OTHER_TYPE), cases([(f"contains({name}, {lit(k)})", v) for k, v in rules.NAME_PROJECTS], rules.OTHER_PROJECT)
+
+
 def sparse(n: int = 10, name: str = "sparse") -> str:
     return f"""{name} AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, key)::INT AS rank FROM (
   SELECT query_id, posts.key, sum(qf * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ch.w) / avgdl)))) AS score
@@ -145,6 +185,10 @@ def oracle_sql() -> dict[str, str]:
         "paragraph_split": parts("pages", "page_id", r"regexp_split_to_array(regexp_replace(html, '</p>|</div>', chr(10) || ' ' || chr(10), 'g'), '\n\s*\n')"),
         "section_type": "SELECT doc_id, " + cases([(f"regexp_matches(lower(' ' || substr(text, 1, 200)), {lit(p)})", s) for p, s in q.SECTIONS], rules.OTHER_SECTION) + " AS section_type FROM documents",
         "overlap": f"SELECT conv_id, chunk_index, CASE WHEN length(prev) > 100 THEN {strip('right(prev, 100) || chr(10) || t')} ELSE t END AS content FROM (SELECT conv_id, (row_number() OVER w - 1)::INT AS chunk_index, coalesce(text, '') AS t, lag(coalesce(text, '')) OVER w AS prev FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text))",
+        "chunk_build": f"WITH {chunked()}, heads AS ({headings_of('SELECT source, str_split(t, chr(10)) AS ls FROM d', 'source')}), above AS (SELECT source, chunk_index, string_agg(heading, ' ' ORDER BY h.line) AS head FROM cut JOIN heads h USING (source) WHERE h.line <= cut.line GROUP BY ALL) "
+        f"SELECT source, chunk_index, total_chunks, CASE WHEN length(prev) > 100 THEN {strip('right(prev, 100) || chr(10) || own')} ELSE own END AS content, {tags('source')[0]} AS file_type, {tags('source')[1]} AS project, "
+        + cases([(f"regexp_matches(lower(coalesce(head, '') || ' ' || substr(own, 1, 200)), {lit(p)})", s) for p, s in q.SECTIONS], rules.OTHER_SECTION)
+        + " AS section_type FROM (SELECT *, lag(own) OVER (PARTITION BY source ORDER BY chunk_index) AS prev FROM cut) LEFT JOIN above USING (source, chunk_index)",
         "tokenize": f"SELECT doc_id, (unnest(range(1, len(w) + 1)) - 1)::INT AS pos, unnest(w) AS term FROM (SELECT doc_id, {toks('text')} AS w FROM documents)",
         "postings": f"WITH {INDEX} SELECT * FROM posts",
         "bm25_stats": f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM ts",
@@ -155,6 +199,9 @@ def oracle_sql() -> dict[str, str]:
         "dense_topn": f"WITH {ASKED}, {INDEX}, {BUCKETS}, {dense()} SELECT query_id, rank, key, round(score, 6) AS score FROM dense",
         "vector_topn": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-8) * (sqrt(list_dot_product(b.e, b.e)) + 1e-8)) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) "
         "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, vec_id)::INT AS rank, vec_id, round(s, 5) AS score FROM s QUALIFY rank <= 32",
+        "dense_bounded": f"WITH {ASKED}, {INDEX}, {BUCKETS}, {dense()} SELECT query_id, rank, key, round(score, 6) AS score FROM dense",
+        "vector_bounded": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-8) * (sqrt(list_dot_product(b.e, b.e)) + 1e-8)) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) "
+        "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, vec_id)::INT AS rank, vec_id, round(s, 5) AS score FROM s QUALIFY rank <= 32",
         "vector_lookup": "SELECT doc_id AS key, embedding IS NOT NULL AS found, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS length FROM documents LEFT JOIN embeddings ON doc_id = vec_id",
         "pair_cosine": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-8), 5) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
         "rrf_fuse": f"WITH {FUSED} SELECT query_id, rank, key, rrf_raw, score_type FROM fused",

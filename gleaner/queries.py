@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import rules, text, vectors
-from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, search, sync
+from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, nearest, search, sync
 from gleaner.params import PRESETS, Params
 from gleaner.sources import files
 from gleaner.sources.tables import Workspace, spread
@@ -147,15 +147,15 @@ def q_quarantine(t: Tables) -> DataFrame:
 
 
 def q_sentence_split(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "piece"))
+    return t("documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("pos", "piece"))
 
 
 def q_structure_split(t: Tables) -> DataFrame:
-    return t("pages").select("page_id", F.posexplode(text.sections(F.regexp_replace("html", "<li>|<h[1-6]>", "\n- "))).alias("pos", "piece"))
+    return t("pages").select("page_id", F.posexplode(chunking.filled(chunking.sections(F.regexp_replace("html", "<li>|<h[1-6]>", "\n- ")))).alias("pos", "piece"))
 
 
 def q_paragraph_split(t: Tables) -> DataFrame:
-    return t("pages").select("page_id", F.posexplode(text.paragraphs(F.regexp_replace("html", "</p>|</div>", "\n \n"))).alias("pos", "piece"))
+    return t("pages").select("page_id", F.posexplode(chunking.paragraphs(F.regexp_replace("html", "</p>|</div>", "\n \n"))).alias("pos", "piece"))
 
 
 def q_headings(t: Tables) -> DataFrame:
@@ -223,6 +223,20 @@ def q_vector_topn(t: Tables) -> DataFrame:
     return vector_hits(t).select("query_id", "rank", "vec_id", F.round("score", 5).alias("score"))
 
 
+def q_dense_bounded(t: Tables) -> DataFrame:
+    docs = document_vectors(t)
+    hits, _ = nearest.search(embedded(questions(t), "text"), docs, "query_id", "key", t.work.under("near"), params=P)
+    return hits.select("query_id", "rank", "key", F.round("score", 6).alias("score"))
+
+
+def q_vector_bounded(t: Tables) -> DataFrame:
+    v = t("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = v.filter("vec_id % 50 = 0").withColumnsRenamed({"vec_id": "query_id"})
+    work = Workspace(t.spark, "near")
+    hits, _ = nearest.search(asked, v, "query_id", "vec_id", work.write, params=P, n=4 * P.top_k, above=None, not_itself=True)
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 5).alias("score"))
+
+
 def q_vector_lookup(t: Tables) -> DataFrame:
     v = t("embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     return dense.lookup(t("documents").select(F.col("doc_id").alias("key")), v, ["key"]).select("key", F.col("vector").isNotNull().alias("found"), F.round(vectors.norm(F.col("vector")), 4).alias("length"))

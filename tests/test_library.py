@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from gleaner import queries
 from gleaner.functions import rules, text, vectors
-from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, search, sync
+from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, nearest, search, sync
 from gleaner.params import Params, preset
 from gleaner.sources import files, tables
 from gleaner.sources.index import Index
+from tests import plain_chunker
 
 
 def one(spark, column, **values):
@@ -50,9 +51,9 @@ def test_clean_text(spark):
 
 
 def test_sentences_and_sections(spark):
-    assert one(spark, text.sentences(F.col("t")), t="A b. C 3.8 d!\n　E") == ["A b.", "C 3.", "8 d!", "E"]
-    assert one(spark, text.sections(F.col("t")), t="intro\n1. one\n- two\n# three") == ["intro", "1. one", "- two", "# three"]
-    assert one(spark, text.paragraphs(F.col("t")), t="a\n \nb\nc\n\n\nd") == ["a", "b\nc", "d"]
+    assert one(spark, chunking.sentences(F.col("t")), t="A b. C 3.8 d!\n　E") == ["A b.", "C 3.", "8 d!", "E"]
+    assert one(spark, chunking.filled(chunking.sections(F.col("t"))), t="intro\n1. one\n- two\n# three") == ["intro", "1. one", "- two", "# three"]
+    assert one(spark, chunking.paragraphs(F.col("t")), t="a\n \nb\nc\n\n\nd") == ["a", "b\nc", "d"]
 
 
 def test_headings_and_section_type(spark):
@@ -64,22 +65,22 @@ def test_headings_and_section_type(spark):
 
 def test_code_and_table_blocks():
     code = [f"# line {i}" for i in range(5)]
-    assert chunking.blocks(["x", *code, "y"], chunking.is_code, 5) == [["x"], code, ["y"]]
-    assert chunking.blocks(["x", *code[:4], "y"], chunking.is_code, 5) == [["x", *code[:4], "y"]]
-    assert chunking.blocks(["a", "|b|c|", "|---|", "d"], chunking.is_table, 1) == [["a"], ["|b|c|", "|---|"], ["d"]]
+    assert plain_chunker.blocks(["x", *code, "y"], plain_chunker.is_code, 5) == [["x"], code, ["y"]]
+    assert plain_chunker.blocks(["x", *code[:4], "y"], plain_chunker.is_code, 5) == [["x", *code[:4], "y"]]
+    assert plain_chunker.blocks(["a", "|b|c|", "|---|", "d"], plain_chunker.is_table, 1) == [["a"], ["|b|c|", "|---|"], ["d"]]
 
 
 def test_packing_and_merging():
-    assert chunking.packed("aa. bb. cc.", 6) == ["aa.bb.", "cc."]
-    assert chunking.packed("x" * 20 + ". y.", 6) == ["x" * 20 + ".", "y."]
-    assert chunking.merged(["a" * 10, "b" * 10], 15, 30) == ["a" * 10 + "\n" + "b" * 10]
-    assert chunking.merged(["a" * 10, "b" * 28], 15, 30) == ["a" * 10 + "\n" + "b" * 5, "b" * 23]
+    assert plain_chunker.packed("aa. bb. cc.", 6) == ["aa.bb.", "cc."]
+    assert plain_chunker.packed("x" * 20 + ". y.", 6) == ["x" * 20 + ".", "y."]
+    assert plain_chunker.merged(["a" * 10, "b" * 10], 15, 30) == ["a" * 10 + "\n" + "b" * 10]
+    assert plain_chunker.merged(["a" * 10, "b" * 28], 15, 30) == ["a" * 10 + "\n" + "b" * 5, "b" * 23]
 
 
 def test_chunks_cover_the_text_and_overlap_keeps_their_number(spark):
     rng = random.Random(3)
     t = "\n\n".join(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(3, 200))) + "." for _ in range(30))
-    plain = chunking.chunk_text(t)
+    plain = plain_chunker.chunk_text(t)
     assert "".join("".join(plain).split()) == "".join(t.split())
     docs = spark.createDataFrame([("a.md", t), ("b.md", None), ("c.md", " ")], "source string, text string")
     rows = chunking.build(docs).orderBy("chunk_index").collect()
@@ -381,3 +382,45 @@ def test_files_written_and_read(spark, tmp_path):
     rows = spark.createDataFrame([("a b.md", "x\ny"), ("项 %.txt", "é"), ("c%20d.md", "z"), ("empty.md", None)], "name string, text string")
     assert files.write_files(rows, f"file://{tmp_path}/made") == 4
     assert {r["source"]: r["text"] for r in files.read_texts(spark, f"{tmp_path}/made").collect()} == {"a b.md": "x\ny", "项 %.txt": "é", "c%20d.md": "z"}
+
+
+def test_nearest_skips_blocks_and_equals_dense_search(spark, monkeypatch):
+    """Clustered vectors, a third of them equal, with rows that take no part: null, ragged and non-finite vectors."""
+    from gleaner.sources.tables import Workspace
+
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    monkeypatch.setattr(nearest, "TOGETHER", 7)
+    monkeypatch.setattr(nearest, "PIVOTS", 12)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (10, 6))
+    v = centres[rng.integers(0, 10, 900)] + rng.normal(0, 0.05, (900, 6))
+    v[:300] = v[0]
+    v[400] = 0
+    good = [(i, x.tolist()) for i, x in enumerate(v)]
+    odd = [(2000, None), (2001, [1.0]), (2002, [float("nan")] * 6), (2003, [None] * 6), (2004, [float("inf")] * 6)]
+    rows = spark.createDataFrame(good + odd, "key long, vector array<double>").repartition(3)
+    asked = rows.filter("key % 45 = 0 OR key >= 2000").withColumnRenamed("key", "query_id")
+    plain = spark.createDataFrame(good, "key long, vector array<double>")
+    want = {(r["query_id"], r["rank"]): (r["key"], round(r["score"], 6)) for r in dense.search(plain.filter("key % 45 = 0").withColumnRenamed("key", "query_id"), plain, "query_id", "key", n=5, not_itself=True).collect()}
+    hits, effort = nearest.search(asked, rows, "query_id", "key", Workspace(spark, "near").write, n=5, not_itself=True)
+    assert {(r["query_id"], r["rank"]): (r["key"], round(r["score"], 6)) for r in hits.collect()} == want and len(want) > 60
+    effort = effort.first()
+    assert effort["visited"] < 0.6 * effort["blocks"], effort
+    none, _ = nearest.search(asked.limit(0), rows.limit(0), "query_id", "key", Workspace(spark, "near").write, n=5)
+    assert none.collect() == []
+
+
+def test_chunks_equal_those_of_plain_loops(spark):
+    """Random texts of all that the chunker looks at: code, tables, marks, blank lines, long sentences, short items, and white space of many kinds."""
+    rng = random.Random(8)
+    line = lambda: rng.choice([
+        "# head", "## Head two", "#", "##\u3000x", "// note", "def f(): return 1", "x = {", "│ tree", "|a|b|", "|---|:-|", "||", "1. item", "2、 项", "- dash", "（3）x", "第三章 y", "", " ", "\u3000", "\t",
+        "plain words here", "Sentence one. Two! 三。 Four? end", "w" * rng.randint(1, 700), "3.8 is a number. " * rng.randint(1, 60), "word " * rng.randint(1, 130), "a\rb\x0bc\u2028d", "import x", "é" * rng.randint(1, 260), "\u0001mark", "return home ",
+    ])
+    made = ["\n".join(line() for _ in range(rng.choice([0, 1, 3, 10, 40, 120]))) for _ in range(150)] + ["", "\n", "x", "\n\n a \n \n b", "# a\n" * 12]
+    rows = spark.createDataFrame(list(enumerate(made)), "id int, text string")
+    for params in (Params(), Params(chunk_chars=60, chunk_least=25)):
+        for r in rows.select("id", chunking.split(F.col("text"), params).alias("chunks")).collect():
+            want = plain_chunker.chunk_text(made[r["id"]], params)
+            assert [c["content"] for c in r["chunks"]] == want, repr(made[r["id"]])
+            assert [c["line"] for c in r["chunks"]] == plain_chunker.lines_of(made[r["id"]], want)
