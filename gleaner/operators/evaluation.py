@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.params import PRESETS
+from gleaner.sources.tables import Workspace
+
+#: Stretches of a range of values that are counted in one round.
+BINS = 1024
 
 
 def has_keyword(content: Column, keywords: Column) -> Column:
@@ -52,9 +59,44 @@ def summary(stats: DataFrame) -> DataFrame:
     )
 
 
-def latency(log: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean and exact 99th percentile, interpolated."""
-    return log.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_ms"), F.round(F.percentile(F.col(value).cast("double"), F.lit(0.99)), 6).alias("p99_ms"))
+def order_statistics(rows: DataFrame, by: list[str], value: str, share: float, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(by, n, low, high, weight): the values at both sides of the place ``share`` of each group, and how far between them it lies. Null values are left out; the others are finite.
+
+    No task holds a group. Each round counts the values of a range by BINS stretches of it and goes on with the stretch that holds the wanted place, between the least and the greatest value
+    found there; a range of one value is done. Only counts are shuffled: a row for each group, stretch and task.
+    """
+    own = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    ends = keep(own.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")), "ends")
+    place = F.lit(share) * (F.col("n") - 1)
+    wanted = ends.select(*by, F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("k"), F.col("least").alias("low"), F.col("most").alias("high"))
+    # k counts from the low end of the range.
+    wanted, done, number = keep(wanted.withColumn("at", F.col("k")), "wanted-0"), None, 0
+    while True:
+        closed = wanted.filter("low = high").select(*by, "k", F.col("low").alias("v"))
+        done = closed if done is None else done.union(closed)
+        wanted, number = wanted.filter("low < high"), number + 1
+        if wanted.isEmpty():
+            break
+        asked = wanted.select(*[F.col(c).alias(f"w_{c}") for c in by], "k", "low", "high", "at")
+        met = own.join(asked, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in by]).filter("v BETWEEN low AND high")
+        # Halves first: the width of a range of doubles may be no double.
+        part = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BINS), F.lit(BINS - 1))
+        counts = met.groupBy(*by, "k", "at", part.alias("part")).agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.coalesce(F.sum("m").over(W.partitionBy(*by, "k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # BINS rows at most
+        inside = counts.withColumn("before", before).filter((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("m")))
+        wanted = keep(inside.select(*by, "k", "low", "high", (F.col("at") - F.col("before")).alias("at")), f"wanted-{number}")
+    values = done.groupBy(*by).agg(F.min_by("v", "k").alias("low"), F.max_by("v", "k").alias("high"))
+    same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in by]
+    return ends.join(values.withColumnsRenamed({c: f"w_{c}" for c in by}), same).select(*by, "n", "low", "high", (place - F.floor(place)).alias("weight"))
+
+
+def latency(log: DataFrame, by: list[str], value: str, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Mean and exact 99th percentile, interpolated; ``keep`` writes a table that several steps read."""
+    keep = keep or Workspace(log.sparkSession, "latency").write
+    means = log.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_ms"))
+    at = order_statistics(log, by, value, 0.99, keep).withColumnsRenamed({c: f"w_{c}" for c in by}).drop("n")
+    p99 = F.round((1 - F.col("weight")) * F.col("low") + F.col("weight") * F.col("high"), 6)
+    return means.join(at, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in by], "left").select(*by, "n", "mean_ms", p99.alias("p99_ms"))
 
 
 def api_summary(stats: DataFrame, latency_col: str = "latency_ms") -> DataFrame:
@@ -75,6 +117,17 @@ def overall(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("questions"), F.bround(F.avg("top_score"), 4).alias("mean_top"), F.bround(F.avg("total_results"), 1).alias("mean_results"), F.bround(F.avg("both_hits"), 1).alias("mean_both"))
 
 
+def categories_and_overall(stats: DataFrame, category: str = "category") -> DataFrame:
+    """``by_category`` and ``overall`` from one aggregate: a row for each category, and one (``is_total``) for all. A question without hits counts as top score 0 in its category and not at all in the total."""
+    stats = stats.withColumn("category", F.col(category))
+    made = stats.groupingSets([["category"], []], "category").agg(
+        F.grouping("category").alias("total"), F.count("*").alias("questions"), F.avg(F.coalesce("top_score", F.lit(0.0))).alias("own_top"), F.avg("top_score").alias("all_top"), F.bround(F.avg("total_results"), 1).alias("mean_results"),
+        F.bround(F.avg("both_hits"), 1).alias("mean_both"), F.bround(F.avg("sparse_hits"), 1).alias("mean_sparse"),
+    )
+    top = F.bround(F.when(F.col("total") == 1, F.col("all_top")).otherwise(F.col("own_top")), 4)
+    return made.select("category", (F.col("total") == 1).alias("is_total"), "questions", top.alias("mean_top"), "mean_results", "mean_both", "mean_sparse")
+
+
 def compare_presets(hits: DataFrame, relevant: DataFrame | None = None, stats: DataFrame | None = None, query: str = "query_id", presets: dict[str, tuple[float, float]] = PRESETS) -> DataFrame:
     """(preset, questions, mean_top, mean_score) of fused hits with norms of both channels; with ``relevant`` also hit_rate_1, _3, _5 and mrr, with ``stats`` also mean_both and mean_sparse.
 

@@ -215,6 +215,8 @@ def oracle_sql() -> dict[str, str]:
         "presets": f"WITH {SHOWN} SELECT query_id, key, preset, w_dense::DOUBLE AS w_dense, w_sparse::DOUBLE AS w_sparse FROM shown, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, w_dense, w_sparse)",
         "file_hashes": f"WITH {SNAPSHOTS} SELECT name, m AS md5 FROM now",
         "detect_changes": f"WITH {SNAPSHOTS} SELECT * FROM changes",
+        "detect_changes_by_digest": f"WITH {SNAPSHOTS} SELECT * FROM changes",
+        "file_round_trip": "SELECT '页 ' || page_id || '%20 a' || CASE page_id % 3 WHEN 0 THEN '.txt' ELSE '.md' END AS name, md5(html) AS md5, length(html)::INT AS chars FROM pages WHERE page_id % 3 < 2 AND length(html) > 0",
         "headings": rf"""SELECT page_id, line, {strip("CASE WHEN marked <> '' THEN marked WHEN bracketed <> '' THEN bracketed WHEN numbered <> '' AND length(s) > 5 THEN numbered END")} AS heading FROM (
   SELECT page_id, line, s, regexp_extract(s, '^#{{1,4}}\s+(.+)$', 1) AS marked, regexp_extract(s, '^[【「](.+?)[】」]$', 1) AS bracketed,
     regexp_extract(s, '^(?:[一二三四五六七八九十]+[、．.]|[0-9]+[.、．]|[0-9]+\.[0-9]+)\s*(.+)$', 1) AS numbered
@@ -241,6 +243,8 @@ def oracle_sql() -> dict[str, str]:
         "hit_rate": f"WITH {ASKED}, {INDEX}, {BUCKETS}, {searches((1, 3, 5))} SELECT * FROM {per_k(1)} UNION ALL SELECT * FROM {per_k(3)} UNION ALL SELECT * FROM {per_k(5)}",
         "mrr": f"WITH {ASKED}, {INDEX}, {BUCKETS}, {searches((10,))} SELECT count(*) AS questions, round_even(coalesce(sum(coalesce(1.0::DOUBLE / first, 0)), 0) / greatest(count(*), 1), 4) AS mrr FROM rel10",
         "category_stats": f"WITH {STATS} SELECT coalesce(intents[1], 'other') AS category, count(*) AS questions, round_even(avg(coalesce(top_score, 0)), 4) AS mean_top, round_even(avg(total_results), 1) AS mean_results, round_even(avg(both_hits), 1) AS mean_both, round_even(avg(sparse_hits), 1) AS mean_sparse FROM stats JOIN tags USING (query_id) GROUP BY 1",
+        "categories_and_overall": f"WITH {STATS}, told AS (SELECT stats.*, coalesce(intents[1], 'other') AS category FROM stats JOIN tags USING (query_id)) SELECT category, grouping(category) = 1 AS is_total, count(*) AS questions, round_even(CASE WHEN grouping(category) = 1 THEN avg(top_score) ELSE avg(coalesce(top_score, 0)) END, 4) AS mean_top, "
+        "round_even(avg(total_results), 1) AS mean_results, round_even(avg(both_hits), 1) AS mean_both, round_even(avg(sparse_hits), 1) AS mean_sparse FROM told GROUP BY GROUPING SETS ((category), ())",
         "overall_stats": f"WITH {STATS} SELECT count(*) AS questions, round_even(avg(top_score), 4) AS mean_top, round_even(avg(total_results), 1) AS mean_results, round_even(avg(both_hits), 1) AS mean_both FROM stats",
         "preset_compare": f"WITH {STATS}, {searches((1, 3, 5, 10))}, n AS (SELECT query_id, rank, {minmax('dense_score')} AS nd, {minmax('sparse_score')} AS ns FROM fused WHERE rank <= 8), s AS (SELECT preset, query_id, rank, round_even(wd::DOUBLE * nd + ws::DOUBLE * ns, 4) AS score FROM n, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, wd, ws)), "
         "g AS (SELECT preset, query_id, max(score) FILTER (rank = 1) AS top, avg(score) AS mean FROM s GROUP BY ALL) SELECT preset, count(*) AS questions, round_even(avg(top), 4) AS mean_top, round_even(avg(mean), 4) AS mean_score, "

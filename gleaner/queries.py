@@ -321,6 +321,20 @@ def q_detect_changes(t: Tables) -> DataFrame:
     return sync.detect_changes(*snapshots(t))
 
 
+def q_detect_changes_by_digest(t: Tables) -> DataFrame:
+    now, before = snapshots(t)
+    return sync.detect_changes_by_digest(now, before, buckets=512)
+
+
+def q_file_round_trip(t: Tables) -> DataFrame:
+    """Pages as files in the shared folder, under names with spaces, signs and Chinese letters; listed, hashed and read again as whole texts."""
+    name = F.concat(F.lit("页 "), F.col("page_id").cast("string"), F.lit("%20 a"), F.when(F.col("page_id") % 3 == 0, ".txt").when(F.col("page_id") % 3 == 1, ".md").otherwise(".png"))
+    folder = f"{Workspace(t.spark, 'files').root}/pages"
+    files.write_files(t("pages").select(name.alias("name"), F.col("html").alias("text")).filter("length(text) > 0"), folder)
+    listed = files.file_hashes(files.list_files(t.spark, folder))
+    return listed.join(files.read_texts(t.spark, folder).withColumnRenamed("source", "name"), "name").select("name", "md5", F.length("text").alias("chars"))
+
+
 def q_change_report(t: Tables) -> DataFrame:
     return sync.change_report(q_detect_changes(t))
 
@@ -447,6 +461,11 @@ def q_overall_stats(t: Tables) -> DataFrame:
     return evaluation.overall(stats(t))
 
 
+def q_categories_and_overall(t: Tables) -> DataFrame:
+    category = F.coalesce(F.get(F.col("intents"), F.lit(0)), F.lit("other"))
+    return evaluation.categories_and_overall(stats(t).join(questions(t).select("query_id", category.alias("category")), "query_id"))
+
+
 def q_preset_compare(t: Tables) -> DataFrame:
     return evaluation.compare_presets(fused(t).filter(F.col("rank") <= P.top_k), relevant_at(t, (1, 3, 5, 10)), stats(t))
 

@@ -424,3 +424,26 @@ def test_chunks_equal_those_of_plain_loops(spark):
             want = plain_chunker.chunk_text(made[r["id"]], params)
             assert [c["content"] for c in r["chunks"]] == want, repr(made[r["id"]])
             assert [c["line"] for c in r["chunks"]] == plain_chunker.lines_of(made[r["id"]], want)
+
+
+def test_order_statistics_equal_sorting(spark):
+    """Skewed, tied, tiny and huge values, null groups, null values, single rows."""
+    rng = random.Random(6)
+    groups = {"a": [rng.gauss(0, 1) * 10 ** rng.randint(-8, 8) for _ in range(3000)], "b": [1.5] * 50, "c": [7.0], "d": [0.0, -0.0, 1e-300, 1e300, -1e308, 1e308], None: [float(i % 7) for i in range(333)], "e": [None, 3.0, None, 4.0]}
+    rows = [(g, v) for g, x in groups.items() for v in x] + [("f", None)]
+    got = {r["g"]: r for r in evaluation.latency(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], "v").collect()}
+    for g, x in groups.items():
+        x = sorted(v for v in x if v is not None)
+        p = 0.99 * (len(x) - 1)
+        low, high = x[int(p)], x[min(math.ceil(p), len(x) - 1)]
+        assert got[g]["p99_ms"] == pytest.approx((1 - (p - int(p))) * low + (p - int(p)) * high, rel=1e-9, abs=1e-6), g
+    assert got["f"]["p99_ms"] is None and got["e"]["n"] == 4
+
+
+def test_changes_by_digest_join_few_names(spark):
+    now = [(f"n{i}", f"h{i}") for i in range(2000)] + [("new", "x")]
+    was = [(f"n{i}", "other" if i == 77 else f"h{i}") for i in range(2000)] + [("old", "x")]
+    tables_ = [spark.createDataFrame(x, "name string, md5 string") for x in (now, was)]
+    want = {tuple(r) for r in sync.detect_changes(*tables_).collect()}
+    assert {tuple(r) for r in sync.detect_changes_by_digest(*tables_, buckets=256).collect()} == want
+    assert sync.differing(*tables_, buckets=256).count() <= 3 and sync.differing(tables_[0], tables_[0]).count() == 0
