@@ -124,6 +124,28 @@ def minmax(x: str, by: str = "query_id") -> str:
     return f"CASE WHEN max({x}) OVER (PARTITION BY {by}) = min({x}) OVER (PARTITION BY {by}) THEN 1.0::DOUBLE ELSE ({x} - min({x}) OVER (PARTITION BY {by})) / (max({x}) OVER (PARTITION BY {by}) - min({x}) OVER (PARTITION BY {by})) END"
 
 
+def diverse(candidates: str, near: str, threshold: float, top: int = 8) -> str:
+    """``picked`` (query_id, position, key, stage) from ``candidates`` (query_id, key, rank, rrf_raw, source) and ``near`` (query_id, a, b, s, other): greedy choice and demotion, all queries stepped at once."""
+    worth = "0.7::DOUBLE * rrf_raw - (1 - 0.7::DOUBLE) * near - 100 * CASE WHEN len(list_filter(srcs, lambda x: x = source)) >= 2 THEN 1 ELSE 0 END"
+    return f"""cand AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY query_id) AS many, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS place FROM {candidates}),
+picks AS (SELECT query_id, 1 AS position, key, [key] AS sel, [source] AS srcs FROM cand WHERE place = 1
+  UNION ALL SELECT query_id, position, key, sel, srcs FROM (SELECT query_id, position + 1 AS position, key, list_append(sel, key) AS sel, list_append(srcs, source) AS srcs,
+    row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN many <= {top} THEN 0 ELSE round({worth}, 9) END DESC, place) AS nth
+    FROM (SELECT p.query_id, p.position, p.sel, p.srcs, c.key, c.source, c.place, c.many, c.rrf_raw, greatest(0, max(n.s)) AS near FROM picks p JOIN cand c ON c.query_id = p.query_id AND NOT list_contains(p.sel, c.key)
+      LEFT JOIN {near} n ON n.query_id = p.query_id AND n.a = c.key AND list_contains(p.sel, n.b) WHERE p.position < {top} GROUP BY ALL)) WHERE nth = 1),
+picked AS (SELECT query_id, 1 AS position, key, 0 AS stage, [key] AS kept FROM picks WHERE position = 1
+  UNION ALL SELECT query_id, position, key, CASE WHEN bad THEN 1 ELSE 0 END, CASE WHEN bad THEN kept ELSE list_append(kept, key) END
+  FROM (SELECT p.query_id, p.position, p.key, d.kept, coalesce(bool_or(n.other AND n.s > {threshold}), false) AS bad FROM picked d JOIN picks p ON p.query_id = d.query_id AND p.position = d.position + 1
+    LEFT JOIN {near} n ON n.query_id = p.query_id AND n.a = p.key AND list_contains(d.kept, n.b) GROUP BY ALL))"""
+
+
+VECTOR_HITS = """v AS (SELECT vec_id, label::VARCHAR AS source, embedding::DOUBLE[] AS e FROM embeddings),
+vs AS (SELECT a.vec_id AS query_id, b.vec_id AS key, b.source, b.e, list_dot_product(a.e, b.e) / ((sqrt(list_dot_product(a.e, a.e)) + 1e-8) * (sqrt(list_dot_product(b.e, b.e)) + 1e-8)) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, key)::INT AS rank FROM vs QUALIFY rank <= 32),
+vh AS MATERIALIZED (SELECT *, round(1.0::DOUBLE / (60 + rank), 6) AS rrf_raw FROM vr),
+vn AS MATERIALIZED (SELECT a.query_id, a.key AS a, b.key AS b, a.source <> b.source AS other, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-8) AS s FROM vh a JOIN vh b ON a.query_id = b.query_id AND a.key <> b.key)"""
+
+
 DISPLAY = f"round_even(0.5::DOUBLE * {minmax('dense_score')} + 0.5::DOUBLE * {minmax('sparse_score')}, 4)"
 FUSED = f"{ASKED}, {INDEX}, {sparse()}, {BUCKETS}, {dense()}, {rrf()}"
 SHOWN = f"""{FUSED}, shown AS (SELECT f.query_id, f.key, f.rank AS position, score_type, {DISPLAY} AS score, content, ch.source, ch.lang FROM (SELECT * FROM fused WHERE rank <= 8) f JOIN ch USING (key))"""
@@ -213,6 +235,16 @@ def oracle_sql() -> dict[str, str]:
         "section_boost": f"WITH {known} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(r, 9) DESC, rank)::INT AS rank, key, round(r, 9) AS rrf_raw FROM (SELECT *, CASE WHEN list_contains(intents, lang) THEN rrf_raw * 1.2::DOUBLE ELSE rrf_raw END AS r FROM known)",
         "project_filter": f"WITH {known} SELECT query_id, rank, key, coalesce(source <> target, false) AS is_backup FROM known",
         "presets": f"WITH {SHOWN} SELECT query_id, key, preset, w_dense::DOUBLE AS w_dense, w_sparse::DOUBLE AS w_sparse FROM shown, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, w_dense, w_sparse)",
+        "mmr": f"WITH RECURSIVE {VECTOR_HITS}, {diverse('vh', 'vn', 2.0)} SELECT query_id, position::INT AS position, key AS vec_id FROM picked",
+        "cross_source_dedup": f"WITH RECURSIVE {VECTOR_HITS}, {diverse('vh', 'vn', 0.35)} SELECT query_id, position::INT AS position, key AS vec_id, stage::INT AS stage FROM picked",
+        "hybrid_search": f"WITH RECURSIVE {ASKED}, {INDEX}, {sparse(32)}, {BUCKETS}, {dense(32)}, {rrf()}, known AS (SELECT fused.*, ch.source, ch.lang, tags.intents, tags.target FROM fused JOIN ch USING (key) JOIN tags USING (query_id)), "
+        "raised AS (SELECT query_id, key, source, score_type, dense_score, sparse_score, coalesce(source <> target, false) AS is_backup, CASE WHEN list_contains(intents, lang) THEN rrf_raw * 1.2::DOUBLE ELSE rrf_raw END AS rrf_raw, rank AS before FROM known), "
+        "boosted AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_raw, 9) DESC, before)::INT AS rank FROM raised), main AS (SELECT * FROM boosted WHERE NOT is_backup), "
+        "own AS (SELECT DISTINCT key FROM main), twin AS (SELECT a.k AS a, b.k AS b, sum(a.c * b.c) AS dot FROM bucket a JOIN bucket b ON a.b = b.b AND a.k <> b.k AND NOT a.q AND NOT b.q JOIN own x ON x.key = a.k JOIN own y ON y.key = b.k GROUP BY ALL), "
+        "near AS MATERIALIZED (SELECT m.query_id, m.key AS a, o.key AS b, m.source <> o.source AS other, coalesce(dot, 0) / (la.l * lb.l + 1e-8) AS s FROM main m JOIN main o ON m.query_id = o.query_id AND m.key <> o.key LEFT JOIN twin ON a = m.key AND b = o.key JOIN lens la ON la.k = m.key AND NOT la.q JOIN lens lb ON lb.k = o.key AND NOT lb.q), "
+        f"{diverse('main', 'near', 0.85)}, every AS (SELECT query_id, key, stage, position FROM picked UNION ALL SELECT query_id, key, 2, rank FROM boosted WHERE is_backup), "
+        "final AS (SELECT query_id, key, stage, row_number() OVER (PARTITION BY query_id ORDER BY stage, place, key)::INT AS position FROM (SELECT query_id, key, min(stage) AS stage, arg_min(position, stage) AS place FROM every GROUP BY ALL) QUALIFY position <= 8), "
+        f"out AS (SELECT final.*, score_type, rrf_raw, dense_score, sparse_score FROM final JOIN boosted USING (query_id, key)) SELECT query_id, position, key, stage::INT AS stage, score_type, round(rrf_raw, 6) AS rrf_raw, {DISPLAY} AS score FROM out",
         "file_hashes": f"WITH {SNAPSHOTS} SELECT name, m AS md5 FROM now",
         "detect_changes": f"WITH {SNAPSHOTS} SELECT * FROM changes",
         "detect_changes_by_digest": f"WITH {SNAPSHOTS} SELECT * FROM changes",
@@ -246,6 +278,8 @@ def oracle_sql() -> dict[str, str]:
         "categories_and_overall": f"WITH {STATS}, told AS (SELECT stats.*, coalesce(intents[1], 'other') AS category FROM stats JOIN tags USING (query_id)) SELECT category, grouping(category) = 1 AS is_total, count(*) AS questions, round_even(CASE WHEN grouping(category) = 1 THEN avg(top_score) ELSE avg(coalesce(top_score, 0)) END, 4) AS mean_top, "
         "round_even(avg(total_results), 1) AS mean_results, round_even(avg(both_hits), 1) AS mean_both, round_even(avg(sparse_hits), 1) AS mean_sparse FROM told GROUP BY GROUPING SETS ((category), ())",
         "overall_stats": f"WITH {STATS} SELECT count(*) AS questions, round_even(avg(top_score), 4) AS mean_top, round_even(avg(total_results), 1) AS mean_results, round_even(avg(both_hits), 1) AS mean_both FROM stats",
+        "report_record": f"WITH {STATS}, lists AS (SELECT query_id, list(score ORDER BY position) AS scores FROM shown GROUP BY query_id) SELECT query_id, to_json(struct_pack(question := text, category := coalesce(intents[1], 'other'), scores := coalesce(scores, []), "
+        "total := total_results, \"both\" := both_hits, top := round_even(top_score, 4), mean := round_even(mean_score, 4)))::VARCHAR AS record FROM stats JOIN qs USING (query_id) JOIN tags USING (query_id) LEFT JOIN lists USING (query_id)",
         "preset_compare": f"WITH {STATS}, {searches((1, 3, 5, 10))}, n AS (SELECT query_id, rank, {minmax('dense_score')} AS nd, {minmax('sparse_score')} AS ns FROM fused WHERE rank <= 8), s AS (SELECT preset, query_id, rank, round_even(wd::DOUBLE * nd + ws::DOUBLE * ns, 4) AS score FROM n, (VALUES {', '.join(f'({lit(k)}, {a}, {b})' for k, (a, b) in PRESETS.items())}) p(preset, wd, ws)), "
         "g AS (SELECT preset, query_id, max(score) FILTER (rank = 1) AS top, avg(score) AS mean FROM s GROUP BY ALL) SELECT preset, count(*) AS questions, round_even(avg(top), 4) AS mean_top, round_even(avg(mean), 4) AS mean_score, "
         f"any_value(h1.rate) AS hit_rate_1, any_value(h3.rate) AS hit_rate_3, any_value(h5.rate) AS hit_rate_5, any_value(m.mrr) AS mrr, any_value(c.b) AS mean_both, any_value(c.s) AS mean_sparse FROM g, {per_k(1)} h1, {per_k(3)} h3, {per_k(5)} h5, "

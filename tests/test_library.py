@@ -246,7 +246,7 @@ def test_registered_names_have_sql_where_sql_can_say_it():
     from gleaner import oracles
 
     assert set(oracles.oracle_sql()) <= set(queries.queries())
-    assert set(queries.queries()) - set(oracles.oracle_sql()) <= {"chunk_build", "mmr", "cross_source_dedup", "hybrid_search", "report_record"}
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
 def test_jobs_end_to_end(spark, tmp_path):
