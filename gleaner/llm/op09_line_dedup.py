@@ -1,6 +1,6 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join. DataFrame functions only.
 
-A text is cut at line feeds. Lines are compared trimmed and in lower case; those under MIN_CHARS characters are never
+A text is cut at line feeds. Lines are compared trimmed and in lower case; those under ``near_chars`` characters (MIN_CHARS; 1: no floor) are never
 removed, or with ``short_repeats`` (as in the query and the pipeline) only if an equal line stands earlier; blank ones always stay. A line goes if an equal line, or one within one inserted, deleted or replaced character, stands anywhere earlier: in a smaller
 doc_id, or higher up in the same text. This is judged on the input, so what a removed line resembles goes too.
 
@@ -84,16 +84,16 @@ def within_one(a: Column, b: Column, begin: Column, tail: Column) -> Column:
     return (head(a) == head(b)) & (end(a) == end(b)) & (F.levenshtein(open_(a), open_(b), 1) >= 0)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False, near_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with all its columns, text_col without the lines that go, and n_lines and n_removed beside them."""
-    floor = 1 if short_repeats else MIN_CHARS
+    floor = 1 if short_repeats else near_chars
     scratch = Scratch(docs.sparkSession, "lines")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     doc, version = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)
     lines = docs.select(doc.alias("doc"), version.alias("version"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", normal(F.col("line"))).filter(F.length("line") >= floor)
     # A line goes by two hashes of its whole text. All keys of the first filter follow from the text, so they are grouped with it and no text is moved.
     # Shorter lines have no keys: they meet equal ones only.
-    cut_keys = F.when(F.length("line") >= MIN_CHARS, F.array_distinct(F.array(*halves(F.col("line"))))).otherwise(F.array().cast("array<bigint>"))
+    cut_keys = F.when(F.length("line") >= near_chars, F.array_distinct(F.array(*halves(F.col("line"))))).otherwise(F.array().cast("array<bigint>"))
     named = lines.select(*PLACE, F.xxhash64("line").alias("id_1"), F.xxhash64(F.lit("second"), "line").alias("id_2"), cut_keys.alias("keys"))
     keys = [f"key_{i}" for i in range(4)]
     first = named.select(*PLACE, "id_1", "id_2", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(keys)]).groupBy("id_1", "id_2", *keys).agg(F.min(F.struct(*PLACE)).alias("at"))
