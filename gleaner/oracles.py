@@ -199,6 +199,8 @@ def oracle_sql() -> dict[str, str]:
         "garbage_ratio": f"SELECT doc_id, round({garbage.format('t')}, 6) AS ratio, {garbage.format('t')} > 0.30 AS is_garbage FROM (SELECT doc_id, {spoilt} AS t FROM documents)",
         "parse_cascade": f"WITH c AS (SELECT doc_id, CASE WHEN {long_('a')} THEN a WHEN {long_('b')} THEN b ELSE '' END AS t, c FROM (SELECT doc_id, {a} AS a, {b} AS b, 'c:' || text AS c FROM documents)) "
         f"SELECT doc_id, md5({clean('t')}) AS parsed_md5 FROM (SELECT doc_id, CASE WHEN (t = '' OR {garbage.format('t')} > 0.30) AND {strip('c')} <> '' THEN c ELSE t END AS t FROM c)",
+        "rulebook": f"WITH {ASKED}, rb AS (SELECT keyword, row_number() OVER (ORDER BY keyword)::INT AS rule FROM (SELECT DISTINCT keyword FROM (SELECT unnest(w) AS keyword FROM qs) WHERE length(keyword) >= 10)), "
+        "m AS (SELECT doc_id, count(*)::INT AS matched, min(rule) AS first_rule FROM documents JOIN rb ON contains(text, keyword) GROUP BY doc_id) SELECT doc_id, coalesce(matched, 0)::INT AS matched, first_rule FROM documents LEFT JOIN m USING (doc_id)",
         "clean_text": f"SELECT page_id, {clean(TAGLESS.format('html'))} AS text FROM pages",
         "paragraph_join": f"SELECT page_id, array_to_string(list_filter(str_split({TAGLESS.format('html')}, chr(10)), lambda x: {strip('x')} <> ''), chr(10)) AS text FROM pages",
         "quarantine": f"SELECT doc_id, CASE WHEN toxic = 1 THEN 'refused' WHEN {strip('text')} = '' THEN 'blank' ELSE 'ok' END AS outcome FROM documents LEFT JOIN labels USING (doc_id)",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import rules, text, vectors
-from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, nearest, search, sync
+from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, nearest, rulebook, search, sync
 from gleaner.params import PRESETS, Params
 from gleaner.sources import files
 from gleaner.sources.tables import Workspace, spread
@@ -132,6 +132,17 @@ def q_parse_cascade(t: Tables) -> DataFrame:
     return d.select("doc_id", F.md5(text.parsed(a, b, F.concat(F.lit("c:"), "text")).cast("binary")).alias("parsed_md5"))
 
 
+def words_as_rules(t: Tables) -> DataFrame:
+    """(rule, keyword): every word of ten letters or more of the passages, numbered in order."""
+    words = t("benchmark").select(F.explode(lexical.tokens(F.col("text"))).alias("keyword")).filter("length(keyword) >= 10").distinct()
+    return words.select(F.row_number().over(Window.orderBy("keyword")).alias("rule"), "keyword")  # one list, as small as the rulebook
+
+
+def q_rulebook(t: Tables) -> DataFrame:
+    met = spread(t("documents").select("doc_id", "text")).select("doc_id", rulebook.match(F.col("text"), words_as_rules(t)).alias("rules"))
+    return met.select("doc_id", F.size("rules").alias("matched"), F.get("rules", F.lit(0)).alias("first_rule"))
+
+
 def q_clean_text(t: Tables) -> DataFrame:
     return t("pages").select("page_id", text.clean_text(F.regexp_replace("html", "<[^>]*>", "\n")).alias("text"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner import queries
 from gleaner.functions import rules, text, vectors
-from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, nearest, search, sync
+from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, nearest, rulebook, search, sync
 from gleaner.params import Params, preset
 from gleaner.sources import files, tables
 from gleaner.sources.index import Index
@@ -447,3 +447,19 @@ def test_changes_by_digest_join_few_names(spark):
     want = {tuple(r) for r in sync.detect_changes(*tables_).collect()}
     assert {tuple(r) for r in sync.detect_changes_by_digest(*tables_, buckets=256).collect()} == want
     assert sync.differing(*tables_, buckets=256).count() <= 3 and sync.differing(tables_[0], tables_[0]).count() == 0
+
+
+def test_rulebook_equals_a_chain_of_conditions(spark):
+    """Ten thousand rules with keywords inside one another, repeated keywords, and rules that match nothing."""
+    rng = random.Random(2)
+    keywords = ["".join(rng.choice("abc项") for _ in range(rng.randint(3, 7))) for _ in range(10_000)]
+    texts = ["".join(rng.choice("abc项 ") for _ in range(n)) for n in (0, 3, 40, 400)] + [None, "ABC"]
+    rules_ = spark.createDataFrame(list(enumerate(keywords)) + [(-1, ""), (None, "a"), (-2, None)], "rule int, keyword string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: r["rules"] for r in rows.select("id", rulebook.match(F.col("text"), rules_).alias("rules")).collect()}
+    assert got == {i: [n for n, k in enumerate(keywords) if t and k in t] for i, t in enumerate(texts)}
+    few = keywords[:30]
+    chain = rules.first_of([(F.contains(F.col("text"), F.lit(k)), str(n)) for n, k in enumerate(few)], "none")
+    both = rows.select(chain.alias("a"), F.coalesce(F.get(rulebook.match(F.col("text"), rules_.filter("rule < 30")), F.lit(0)).cast("string"), F.lit("none")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+    assert rows.select(rulebook.match(F.col("text"), rules_.limit(0)).alias("x")).first()["x"] == []
