@@ -356,7 +356,7 @@ def test_pipeline(spark):
 
 
 def test_names():
-    assert sorted(re.match(r"op\d+", n)[0] for n in queries.queries()) == sorted(f"op{n}" for n in range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+    assert sorted(re.match(r"op\d+", n)[0] for n in queries.queries()) == sorted(f"op{n}" for n in range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
 
 
 def test_mixing_meets_marginals(spark):
