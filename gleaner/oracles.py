@@ -51,9 +51,8 @@ tags AS (SELECT item_id AS query_id, list_filter([{', '.join(f"CASE WHEN {words(
 INDEX = f"""ch AS (SELECT doc_id AS key, coalesce(text, '') AS content, source, lang, {toks('text')} AS w FROM documents),
 posts AS MATERIALIZED (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(w) AS term FROM ch) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM ch),
-rw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM posts GROUP BY term) p, st),
-rm AS MATERIALIZED (SELECT avg(raw) AS mean FROM rw),
-ts AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM rw, rm)"""
+rw AS MATERIALIZED (SELECT term, df, ln((SELECT n FROM st) - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM posts GROUP BY term)),
+ts AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw)"""
 
 
 def chunked(most: int = 500, least: int = 200) -> str:
