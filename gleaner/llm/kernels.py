@@ -28,6 +28,7 @@ PRIME_BASES = tuple(np.random.default_rng(20260214).integers(2**30, 2**31 - 2, 2
 
 _powers = {}
 _prime_powers = {}
+LOW = 1 << 12
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,41 +70,40 @@ def quick_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def fold(x: np.ndarray) -> np.ndarray:
-    """Less than 2**62 to less than 2**32, equal modulo PRIME."""
+    """Equal modulo PRIME and shorter: 64 bits to 34, 63 to 33, 33 to 31 but for a few above PRIME."""
     return (x & PRIME) + (x >> np.uint64(31))
 
 
-def prime_powers(n: int) -> np.ndarray:
-    """For both bases, base**i and base**-i modulo PRIME for i below n, by doubling."""
-    have = _prime_powers.get("n", 0)
-    if have < n:
-        have = max(n, 1 << 20)
-        table = np.empty((4, have), np.uint64)
-        for row, base in enumerate((*PRIME_BASES, *(pow(b, -1, int(PRIME)) for b in PRIME_BASES))):
-            table[row, 0], known = 1, 1
-            while known < have:
-                more = min(known, have - known)
-                table[row, known : known + more] = table[row, :more] * np.uint64(pow(base, known, int(PRIME))) % PRIME
-                known += more
-        _prime_powers["table"], _prime_powers["n"] = table, have
-    return _prime_powers["table"][:, :n]
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For both bases and their inverses, powers below LOW and powers of multiples of LOW up to n: any other is a product of two, so a worker keeps next to nothing."""
+    if "low" not in _prime_powers:
+        _prime_powers["bases"] = [*PRIME_BASES, *(pow(b, -1, int(PRIME)) for b in PRIME_BASES)]
+        _prime_powers["low"] = np.array([[pow(b, j, int(PRIME)) for j in range(LOW)] for b in _prime_powers["bases"]], np.uint64)
+    if _prime_powers.get("n", 0) <= n:
+        count = max(n // LOW + 1, 1024)
+        _prime_powers["high"] = np.array([[pow(b, j * LOW, int(PRIME)) for j in range(count)] for b in _prime_powers["bases"]], np.uint64)
+        _prime_powers["n"] = count * LOW
+    return _prime_powers["low"], _prime_powers["high"]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """What window_hash takes differences of: for both bases, sums of values[j] * base**j below each i. The two take different halves of a value."""
-    up = prime_powers(len(values) + 1)
-    out = np.zeros((2, len(values) + 1), np.uint64)
+    n = len(values)
+    low, high = prime_powers(n)
+    out = np.zeros((2, n + 1), np.uint64)
     for k, half in enumerate((values & PRIME, values >> np.uint64(33))):
-        np.cumsum(fold(half * up[k, : len(values)]), out=out[k, 1:])
+        up = fold(high[k, : n // LOW + 1, None] * low[k]).ravel()[:n]
+        np.cumsum(fold(half * up), out=out[k, 1:])
     return out
 
 
 def window_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash (62 bits, spread over 64) of values[start:end] that doesn't depend on where it stands."""
-    down = prime_powers(sums.shape[1])[2:]
+    low, high = prime_powers(sums.shape[1])
     half = []
     for k in range(2):
-        x = fold(fold(fold(fold(sums[k][end] - sums[k][start])) * down[k][start]))
+        down = fold(fold(high[2 + k][start >> 12] * low[2 + k][start & 4095]))
+        x = fold(fold(fold(fold(sums[k][end] - sums[k][start])) * down))
         half.append(np.where(x >= PRIME, x - PRIME, x))
     return mix((half[0] << np.uint64(32)) | half[1])
 
