@@ -5,14 +5,16 @@ each language, then of each topic, again and again. A document's probability is
 The bound is part of the raking: a margin is measured with factors cut at 1, so what full cells can't give the others of the margin do. Cells are few, one for each combination that occurs; documents
 meet them by a join that Spark can split where one source holds a third of all rows.
 
-Topics. A group of word endings or marks stands for a topic; a document belongs to the group that it uses most, each group's uses being counted as a share of its uses in all documents.
-``topic_col`` names a column with better topics, if there is one.
+Topics are learnt within each language, over all rows. Of the words that at most one in COMMON of its documents holds, the VOCABULARY with the most documents are its topic words; the first THEMES
+of them found a theme each, and every other joins the founder whose documents hold it most often. A document belongs to the theme with most uses of its words, each weighed by the documents of the language over
+those that hold the word. Themes are named by the founder's rank, so the commonest themes of all languages are one category and topics tell languages apart as little as can be; ``topic_relation`` measures how much.
+Words are runs of letters (A-Z in lower case; any character beyond ASCII counts as a letter). ``topic_col`` names a column with better topics, if there is one.
 
 Targets. By default they flatten what is there: shares in proportion to tokens to the power FLATTEN. No category is asked for more than MOST of its tokens; the others of its dimension share the rest.
 ``marginals`` reports what was asked and what is expected, so that combinations that can't be met show by name.
 
-Nulls and odd input: null and empty source or language are one category; a null or empty text has no tokens and topic "empty", a text that uses no group "other"; documents
-without tokens get probability 1; rows with one doc_id share one number; null ids share one too; an
+Nulls and odd input: null and empty source or language are one category; a null or empty text has no tokens and topic "empty", a text without topic words, or in a language
+too small to have any, "other"; equal counts go to the word, and equal scores to the theme, that comes first; documents without tokens get probability 1; rows with one doc_id share one number; null ids share one too; an
 empty table gives an empty result; a target for a category that doesn't occur is left out and the others share its part.
 """
 
@@ -31,29 +33,54 @@ STRIDE = 1.7
 ROUNDS_A_PLAN, CAPS = 3, 8
 SALT = "mix"
 DIMENSIONS = ("source", "lang", "topic")
-#: Groups of marks and of endings in the languages of the corpus, by what they mostly form.
-TOPICS = (
-    ("tabular", (" | ",)), ("markup", ("</",)), ("emphasis", ("!!",)), ("event", ("tion", "ung")), ("state", ("heit", "keit", "ness")),
-    ("activity", ("ing", "ant")), ("manner", ("ly", "ment")), ("agent", ("er", "eur")),
-)
+#: Topic words of a language, themes among them, and the part of its documents (one in COMMON) beyond which a word is nobody's topic.
+VOCABULARY, THEMES, COMMON = 32, 8, 4
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BETWEEN_WORDS = r"[^a-z\x{80}-\x{10FFFF}]+"
 Targets = dict[str, dict[str, float]]
 
 
-def uses(text: Column) -> list[Column]:
-    """How often ``text`` uses each group of TOPICS."""
-    times = lambda mark: F.expr(f"div(length(__t) - length(replace(__t, '{mark}', '')), {len(mark)})")
-    return [sum((times(m) for m in marks[1:]), times(marks[0])).alias(topic) for topic, marks in TOPICS]
+def words_of(text: Column) -> Column:
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN_WORDS)
 
 
-def topic_of(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with __topic. One pass counts the uses of each group in all documents; their sums, a few numbers, become part of the expression."""
-    own = docs.withColumn("__t", F.coalesce(text, F.lit("")))
-    totals = own.select(*uses(text)).agg(*[F.sum(t).alias(t) for t, _ in TOPICS]).first()
-    shares = [F.when(F.lit(totals[t] or 0) > 0, x.cast("double") / F.lit(float(totals[t] or 1))).otherwise(F.lit(0.0)) for (t, _), x in zip(TOPICS, uses(text), strict=True)]
-    own = own.withColumn("__shares", F.array(*shares)).withColumn("__best", F.array_max("__shares"))
-    names = F.array(*[F.lit(t) for t, _ in TOPICS])
-    topic = F.when(F.length("__t") == 0, "empty").when(F.col("__best") <= 0, "other").otherwise(F.element_at(names, F.array_position("__shares", F.col("__best")).cast("int")))
-    return own.withColumn("__topic", topic).drop("__t", "__shares", "__best")
+def with_hits(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows`` (__lang, __words, ...) with the columns of ``lists`` and __hits, the ranks of the topic words in the text, repeats too. Texts aren't shuffled: ``lists`` has one short row a language."""
+    hits = F.filter("__words", lambda w: F.array_contains("__list", w))
+    return rows.join(lists, "__lang", "left").withColumn("__found", hits).withColumn("__hits", F.coalesce(F.expr("transform(__found, w -> int(array_position(__list, w)))"), F.expr("array()"))).drop("__found", "__words")
+
+
+def topic_words(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(__lang, word, rank, held, weight): the topic words of each language. Only counts of words are shuffled, and each task sends on its first VOCABULARY words of a language at most."""
+    sizes = scratch.write(rows.groupBy("__lang").agg(F.count("*").alias("texts")), "languages")
+    held = rows.select("__lang", F.explode(F.array_distinct("__words")).alias("word")).filter("word <> ''").groupBy("__lang", "word").agg(F.count("*").alias("held"))
+    order = F.row_number().over(W.partitionBy("__lang").orderBy(F.desc("held"), "word"))
+    first = held.join(sizes, "__lang").filter(F.col("held") * COMMON <= F.col("texts")).withColumn("rank", order).filter(F.col("rank") <= VOCABULARY)
+    return scratch.write(first.select("__lang", "word", "rank", "held", F.expr("texts div held").alias("weight")), "words")
+
+
+def listed(words: DataFrame, *columns: str) -> DataFrame:
+    """One row a language: __list of its topic words by rank, and a list of each of ``columns``."""
+    entries = words.groupBy("__lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", *columns))).alias("e"))
+    return entries.select("__lang", F.col("e.word").alias("__list"), *[F.col(f"e.{c}").alias(f"__{c}") for c in columns])
+
+
+def themes(hits: DataFrame, words: DataFrame) -> DataFrame:
+    """``words`` with the theme of each: the founder whose documents hold the word most often. A document gives a row for each of its founders and other topic words, at most THEMES x VOCABULARY."""
+    seen = hits.select("__lang", F.array_distinct("__hits").alias("h")).select("__lang", "h", F.explode(F.filter("h", lambda x: x <= THEMES)).alias("theme"))
+    pairs = seen.select("__lang", "theme", F.explode(F.filter("h", lambda x: x > THEMES)).alias("rank")).groupBy("__lang", "theme", "rank").agg(F.count("*").alias("both"))
+    founders = words.select("__lang", F.col("rank").alias("theme"), F.col("held").alias("founder"))
+    best = pairs.join(founders, ["__lang", "theme"]).groupBy("__lang", "rank").agg(F.max(F.struct((F.col("both") / F.col("founder")).alias("part"), (-F.col("theme")).alias("t"))).alias("best"))
+    theme = F.when(F.col("rank") <= THEMES, F.col("rank")).otherwise(F.coalesce(-F.col("best.t"), F.lit(0)))
+    return words.join(best, ["__lang", "rank"], "left").select("__lang", "word", "rank", "weight", theme.alias("theme"))
+
+
+def with_topic(rows: DataFrame) -> DataFrame:
+    """``rows`` (__hits, __theme, __weight, __blank) with __topic in their place."""
+    scores = F.array(*[F.expr(f"aggregate(__hits, 0L, (a, x) -> a + if(__theme[x - 1] = {t}, __weight[x - 1], 0L))") for t in range(1, THEMES + 1)])
+    scored = rows.withColumn("__scores", scores).withColumn("__best", F.array_max("__scores"))
+    topic = F.when(F.col("__blank"), "empty").when(F.col("__best") <= 0, "other").otherwise(F.concat(F.lit("theme "), F.array_position("__scores", F.col("__best")).cast("string")))
+    return scored.withColumn("__topic", topic).drop("__hits", "__theme", "__weight", "__blank", "__list", "__scores", "__best")
 
 
 def uniform(key: Column) -> Column:
@@ -93,15 +120,24 @@ def rake(cells: DataFrame, scratch: Scratch, targets: Targets | None, flatten: f
     return out
 
 
-def marked(docs: DataFrame, text: Column, source: Column, lang: Column, topic_col: str | None) -> DataFrame:
-    """``docs`` with __source, __lang, __topic and __tokens."""
-    named = docs.withColumn("__topic", F.coalesce(F.col(topic_col).cast("string"), F.lit(""))) if topic_col else topic_of(docs, text)
+def marked(docs: DataFrame, scratch: Scratch, text: Column, source: Column, lang: Column, topic_col: str | None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with __source, __lang, __topic and __tokens, and the same without other columns, written down where topics are learnt."""
     tokens = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return named.withColumns({"__source": F.coalesce(source, F.lit("")), "__lang": F.coalesce(lang, F.lit("")), "__tokens": tokens})
-
-
-def raked(rows: DataFrame, scratch: Scratch, targets: Targets | None, flatten: float, fraction: float, rounds: int) -> DataFrame:
-    cells = rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens")).filter("tokens > 0")
+    named = docs.withColumns({"__source": F.coalesce(source, F.lit("")), "__lang": F.coalesce(lang, F.lit("")), "__tokens": tokens})
+    cell = [f"__{d}" for d in DIMENSIONS] + ["__tokens"]
+    if topic_col:
+        named = named.withColumn("__topic", F.coalesce(F.col(topic_col).cast("string"), F.lit("")))
+        return named, named.select(*cell)
+    named = named.withColumns({"__words": words_of(text), "__blank": F.length(F.coalesce(text, F.lit(""))) == 0})
+    words = topic_words(named.select("__lang", "__words"), scratch)
+    narrow = named.select("__source", "__lang", "__tokens", "__blank", "__words")
+    hits = scratch.write(with_hits(narrow, listed(words)).drop("__list"), "hits")
+    learnt = listed(scratch.write(themes(hits, words), "topics"), "theme", "weight")
+    return with_topic(with_hits(named, learnt)), with_topic(hits.join(learnt, "__lang", "left")).select(*cell)
+
+
+def raked(narrow: DataFrame, scratch: Scratch, targets: Targets | None, flatten: float, fraction: float, rounds: int) -> DataFrame:
+    cells = narrow.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens")).filter("tokens > 0")
     return rake(scratch.write(cells, "cells"), scratch, targets, flatten, fraction, rounds)
 
 
@@ -109,10 +145,10 @@ def mix(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTE
     """``docs`` with all its columns and, beside them, mix_tokens, mix_probability and mix_kept."""
     scratch = Scratch(docs.sparkSession, "mix")
     own = lambda c: F.col(f"__row.`{c}`")
-    rows = marked(docs.select(F.struct("*").alias("__row")), own(text_col), own(source_col), own(lang_col), f"__row.`{topic_col}`" if topic_col else None)
-    cells = raked(rows, scratch, targets, flatten, fraction, rounds).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.least(F.lit(1.0), "factor").alias("__p"))
+    rows, narrow = marked(docs.select(F.struct("*").alias("__row")), scratch, own(text_col), own(source_col), own(lang_col), f"__row.`{topic_col}`" if topic_col else None)
+    cells = raked(narrow, scratch, targets, flatten, fraction, rounds).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.least(F.lit(1.0), "factor").alias("__p"))
     cells = scratch.write(cells, "probabilities")
-    scratch.keep("probabilities")
+    scratch.keep("probabilities", "topics")
     joined = rows.join(cells, [f"__{d}" for d in DIMENSIONS], "left").withColumn("__p", F.when(F.col("__tokens") == 0, 1.0).otherwise(F.coalesce("__p", F.lit(0.0))))
     kept = uniform(own(id_col)) < F.col("__p")
     beside = [c for c in docs.columns if c not in ("mix_tokens", "mix_probability", "mix_kept")]
@@ -121,8 +157,9 @@ def mix(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTE
 
 def marginals(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTEN, fraction: float = FRACTION, rounds: int = ROUNDS, topic_col: str | None = None) -> DataFrame:
     """(dimension, category, has, goal, expected, met): tokens of each category, those asked for and those expected, and whether they agree within 1 %."""
-    rows = marked(docs.select(F.struct("*").alias("__row")), F.col("__row.text"), F.col("__row.source"), F.col("__row.lang"), f"__row.`{topic_col}`" if topic_col else None)
-    cells = raked(rows, Scratch(docs.sparkSession, "marginals"), targets, flatten, fraction, rounds)
+    scratch = Scratch(docs.sparkSession, "marginals")
+    narrow = marked(docs.select(F.struct("*").alias("__row")), scratch, F.col("__row.text"), F.col("__row.source"), F.col("__row.lang"), f"__row.`{topic_col}`" if topic_col else None)[1]
+    cells = raked(narrow, scratch, targets, flatten, fraction, rounds)
     expected = F.sum(F.col("tokens") * F.least(F.lit(1.0), "factor"))
     out = None
     for d in DIMENSIONS:
@@ -131,22 +168,40 @@ def marginals(docs: DataFrame, targets: Targets | None = None, flatten: float =
     return out.withColumn("met", F.abs(F.col("expected") - F.col("goal")) <= F.col("goal") * 0.01)
 
 
+def topic_relation(docs: DataFrame) -> DataFrame:
+    """(texts, mutual_bits, lang_bits): one row with the mutual information of topic and language, and the entropy of language, by documents."""
+    narrow = marked(docs.select(F.struct("*").alias("__row")), Scratch(docs.sparkSession, "relation"), F.col("__row.text"), F.col("__row.source"), F.col("__row.lang"), None)[1]
+    both = narrow.groupBy("__lang", "__topic").agg(F.count("*").alias("n"))
+    sums = both.groupBy("__lang").agg(F.sum("n").alias("of_lang")), both.groupBy("__topic").agg(F.sum("n").alias("of_topic"))
+    out = both.join(sums[0], "__lang").join(sums[1], "__topic").crossJoin(both.agg(F.sum("n").alias("texts")))
+    part = F.col("n") / F.col("texts")
+    mutual = F.sum(part * F.log2(F.col("n") * F.col("texts") / (F.col("of_lang") * F.col("of_topic"))))
+    return out.groupBy("texts").agg(mutual.alias("mutual_bits"), F.sum(-part * F.log2(F.col("of_lang") / F.col("texts"))).alias("lang_bits"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(without_clashes(documents(spark, sf_dir), "doc_id", "text", "source", "lang"))
     return out.select("doc_id", F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
 def oracle() -> str:
-    times = {t: " + ".join(f"(length(x) - length(replace(x, '{m}', ''))) // {len(m)}" for m in marks) for t, marks in TOPICS}
-    share = {t: f"CASE WHEN {t}_all > 0 THEN {t}::DOUBLE / {t}_all::DOUBLE ELSE 0 END" for t in times}
     sql = rf"""
-WITH x AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents
-), u AS (SELECT *, {", ".join(f"{n} AS {t}" for t, n in times.items())} FROM x),
-a AS (SELECT {", ".join(f"sum({t}) AS {t}_all" for t in times)} FROM u),
-s AS (SELECT u.*, [{", ".join(share.values())}] AS shares FROM u CROSS JOIN a),
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents
+), o AS MATERIALIZED (SELECT r, lang, unnest(string_split_regex(translate(x, '{UPPER}', '{LOWER}'), '{BETWEEN_WORDS}')) AS word FROM x),
+u AS (SELECT r, lang, word, count(*) AS uses FROM o WHERE word <> '' GROUP BY ALL),
+n AS (SELECT lang, count(*) AS texts FROM x GROUP BY lang),
+v AS MATERIALIZED (
+  SELECT lang, word, held, texts // held AS weight, row_number() OVER (PARTITION BY lang ORDER BY held DESC, word) AS rank
+  FROM (SELECT lang, word, count(*) AS held FROM u GROUP BY ALL) JOIN n USING (lang) WHERE held * {COMMON} <= texts QUALIFY rank <= {VOCABULARY}
+), h AS MATERIALIZED (SELECT r, lang, rank, held, uses * weight AS score FROM u JOIN v USING (lang, word)),
+b AS (
+  SELECT lang, w.rank, f.rank AS theme, count(*) / any_value(f.held) AS part FROM h w JOIN h f USING (r, lang) WHERE w.rank > {THEMES} AND f.rank <= {THEMES} GROUP BY ALL
+), t AS (SELECT lang, rank, theme FROM b QUALIFY row_number() OVER (PARTITION BY lang, rank ORDER BY part DESC, theme) = 1),
+s AS (SELECT r, CASE WHEN h.rank <= {THEMES} THEN h.rank ELSE t.theme END AS theme, sum(score) AS score FROM h LEFT JOIN t USING (lang, rank) GROUP BY ALL),
+best AS (SELECT r, theme FROM s WHERE theme IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, theme) = 1),
 d AS (
-  SELECT doc_id, source, lang, tokens, CASE WHEN length(x) = 0 THEN 'empty' WHEN list_max(shares) <= 0 THEN 'other' ELSE ([{", ".join(f"'{t}'" for t in times)}])[list_position(shares, list_max(shares))] END AS topic FROM s
+  SELECT doc_id, source, lang, tokens, CASE WHEN length(x) = 0 THEN 'empty' WHEN theme IS NULL THEN 'other' ELSE 'theme ' || theme END AS topic FROM x LEFT JOIN best USING (r)
 ), w0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, {FRACTION}::DOUBLE AS factor FROM d GROUP BY ALL HAVING sum(tokens) > 0)
 """
     for x in DIMENSIONS:

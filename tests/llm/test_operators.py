@@ -372,6 +372,38 @@ def test_mixing_meets_marginals(spark):
     assert {r["category"] for r in asked if r["dimension"] == "topic"} == {"en", "de", "fr", "es"} and all(r["goal"] <= 0.751 * r["has"] for r in asked)
 
 
+def test_topics(spark, empty):
+    """Topics equal a plain count over lists, language by language; they say little about the language."""
+    from gleaner.llm import op05_mixing as m
+    from gleaner.llm.common import Scratch
+
+    texts = [" ".join(rng.choice([f"{x}é{y}" for x in "abcdefgh" for y in "uvwxyz"] + ["THE", "the", f"rare{'pqr'[i % 3]}"]) for _ in range(rng.randrange(0, 16))) + "." for i in range(240)]
+    made = [(i, t, [None, "en", "de", "xx"][i % 4 if i < 232 else 3], "s", 0) for i, t in enumerate(texts)] + [(900, None, "en", "s", 0), (901, "", "yy", "s", 0), (901, "alone", "yy", "s", 0), (None, texts[1], "en", "s", 0)]
+    split = lambda t: [w for w in re.split(m.BETWEEN_WORDS.replace("\\x{80}-\\x{10FFFF}", "\x80-\U0010ffff"), (t or "").translate(str.maketrans(m.UPPER, m.LOWER))) if w]
+    want = Counter()
+    for lang in {x or "" for _, _, x, _, _ in made}:
+        rows = [(i, t, split(t)) for i, t, x, _, _ in made if (x or "") == lang]
+        held = Counter(w for _, _, ws in rows for w in set(ws))
+        words = sorted((w for w in held if held[w] * m.COMMON <= len(rows)), key=lambda w: (-held[w], w))[: m.VOCABULARY]
+        theme = {w: k for k, w in enumerate(words[: m.THEMES])}
+        for w in words[m.THEMES :]:
+            part = [sum(w in ws and f in ws for _, _, ws in rows) / held[f] for f in words[: m.THEMES]]
+            if max(part):
+                theme[w] = part.index(max(part))
+        for i, t, ws in rows:
+            score = [sum(len(rows) // held[w] for w in ws if theme.get(w) == k) for k in range(m.THEMES)]
+            want[i, lang, "empty" if not t else f"theme {score.index(max(score)) + 1}" if max(score) else "other"] += 1
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame(made, SCHEMA)
+    full, narrow = m.marked(table, Scratch(spark, "topics"), F.col("text"), F.col("source"), F.col("lang"), None)
+    assert Counter((r["doc_id"], r["__lang"], r["__topic"]) for r in full.collect()) == want and len({t for _, _, t in want}) >= 6
+    assert Counter((r["__lang"], r["__topic"]) for r in narrow.collect()) == Counter((lang, t) for (_, lang, t), n in want.items() for _ in range(n))
+    assert rows_of(m.topic_relation(empty)) == []
+    told = rows_of(m.topic_relation(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))[0]
+    assert told["mutual_bits"] < 0.25 * told["lang_bits"]
+
+
 def test_very_long_lines(spark):
     long_ = "".join(rng.choice("abcdefghij ") for _ in range(200_000))
     made = [(1, long_), (2, long_[:70_000] + "X" + long_[70_000:]), (3, long_[:150_000] + long_[150_001:]), (4, long_[:100] + "YZ" + long_[100:]), (5, None), (None, "null id goes first\nand stays"), (6, "null id goes first\nand stayz")]
