@@ -6,9 +6,9 @@ The bound is part of the raking: a margin is measured with factors cut at 1, so
 meet them by a join that Spark can split where one source holds a third of all rows.
 
 Topics are learnt within each language, over all rows. Of the words that at most one in COMMON of its documents holds, the VOCABULARY with the most documents are its topic words; the first THEMES
-of them found a theme each, and every other joins the founder whose documents hold it most often. A document belongs to the theme with most uses of its words, each weighed by the documents of the language over
-those that hold the word. Themes are named by the founder's rank, so the commonest themes of all languages are one category and topics tell languages apart as little as can be; ``topic_relation`` measures how much.
-Words are runs of letters (A-Z in lower case; any character beyond ASCII counts as a letter). ``topic_col`` names a column with better topics, if there is one.
+of them found a theme each, and every other joins the founder whose documents hold it most often. A document belongs to the theme with most of its words, each counted once and weighed by the documents of the language
+over those that hold the word. Themes are named by the founder's rank, so the commonest themes of all languages are one category and topics tell languages apart as little as can be; ``topic_relation`` measures how much.
+Words are runs of letters in lower case (any character beyond ASCII counts as a letter). ``topic_col`` names a column with better topics, if there is one.
 
 Targets. By default they flatten what is there: shares in proportion to tokens to the power FLATTEN. No category is asked for more than MOST of its tokens; the others of its dimension share the rest.
 ``marginals`` reports what was asked and what is expected, so that combinations that can't be met show by name.
@@ -35,18 +35,17 @@ SALT = "mix"
 DIMENSIONS = ("source", "lang", "topic")
 #: Topic words of a language, themes among them, and the part of its documents (one in COMMON) beyond which a word is nobody's topic.
 VOCABULARY, THEMES, COMMON = 32, 8, 4
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[^a-z\x{80}-\x{10FFFF}]+"
 Targets = dict[str, dict[str, float]]
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN_WORDS)
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN_WORDS)
 
 
 def with_hits(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """``rows`` (__lang, __words, ...) with the columns of ``lists`` and __hits, the ranks of the topic words in the text, repeats too. Texts aren't shuffled: ``lists`` has one short row a language."""
-    hits = F.filter("__words", lambda w: F.array_contains("__list", w))
+    """``rows`` (__lang, __words, ...) with the columns of ``lists`` and __hits, the ranks of the topic words in the text. Texts aren't shuffled: ``lists`` has one short row a language."""
+    hits = F.array_intersect("__words", "__list")
     return rows.join(lists, "__lang", "left").withColumn("__found", hits).withColumn("__hits", F.coalesce(F.expr("transform(__found, w -> int(array_position(__list, w)))"), F.expr("array()"))).drop("__found", "__words")
 
 
@@ -67,7 +66,7 @@ def listed(words: DataFrame, *columns: str) -> DataFrame:
 
 def themes(hits: DataFrame, words: DataFrame) -> DataFrame:
     """``words`` with the theme of each: the founder whose documents hold the word most often. A document gives a row for each of its founders and other topic words, at most THEMES x VOCABULARY."""
-    seen = hits.select("__lang", F.array_distinct("__hits").alias("h")).select("__lang", "h", F.explode(F.filter("h", lambda x: x <= THEMES)).alias("theme"))
+    seen = hits.select("__lang", F.col("__hits").alias("h")).select("__lang", "h", F.explode(F.filter("h", lambda x: x <= THEMES)).alias("theme"))
     pairs = seen.select("__lang", "theme", F.explode(F.filter("h", lambda x: x > THEMES)).alias("rank")).groupBy("__lang", "theme", "rank").agg(F.count("*").alias("both"))
     founders = words.select("__lang", F.col("rank").alias("theme"), F.col("held").alias("founder"))
     best = pairs.join(founders, ["__lang", "theme"]).groupBy("__lang", "rank").agg(F.max(F.struct((F.col("both") / F.col("founder")).alias("part"), (-F.col("theme")).alias("t"))).alias("best"))
@@ -188,13 +187,13 @@ def oracle() -> str:
     sql = rf"""
 WITH x AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents
-), o AS MATERIALIZED (SELECT r, lang, unnest(string_split_regex(translate(x, '{UPPER}', '{LOWER}'), '{BETWEEN_WORDS}')) AS word FROM x),
-u AS (SELECT r, lang, word, count(*) AS uses FROM o WHERE word <> '' GROUP BY ALL),
+), o AS MATERIALIZED (SELECT r, lang, unnest(string_split_regex(lower(x), '{BETWEEN_WORDS}')) AS word FROM x),
+u AS (SELECT DISTINCT r, lang, word FROM o WHERE word <> ''),
 n AS (SELECT lang, count(*) AS texts FROM x GROUP BY lang),
 v AS MATERIALIZED (
   SELECT lang, word, held, texts // held AS weight, row_number() OVER (PARTITION BY lang ORDER BY held DESC, word) AS rank
   FROM (SELECT lang, word, count(*) AS held FROM u GROUP BY ALL) JOIN n USING (lang) WHERE held * {COMMON} <= texts QUALIFY rank <= {VOCABULARY}
-), h AS MATERIALIZED (SELECT r, lang, rank, held, uses * weight AS score FROM u JOIN v USING (lang, word)),
+), h AS MATERIALIZED (SELECT r, lang, rank, held, weight AS score FROM u JOIN v USING (lang, word)),
 b AS (
   SELECT lang, w.rank, f.rank AS theme, count(*) / any_value(f.held) AS part FROM h w JOIN h f USING (r, lang) WHERE w.rank > {THEMES} AND f.rank <= {THEMES} GROUP BY ALL
 ), t AS (SELECT lang, rank, theme FROM b QUALIFY row_number() OVER (PARTITION BY lang, rank ORDER BY part DESC, theme) = 1),
