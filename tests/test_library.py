@@ -305,6 +305,15 @@ def test_incremental_build_and_evaluation(spark, tmp_path):
     assert made["index_quality"].first()["dimension"] == 64
 
 
+def test_report_numbers(spark):
+    """Means round in doubles as in SQL (0.59115 lies below the tie once multiplied), small scores have no exponent, and what isn't known is null."""
+    rows = [("a", 'x "y"}', [1.0, 0.0003, 0.0], 3, 1, 1.0, 0.59115), ("b", "{", [], 0, 0, None, None)]
+    stats = spark.createDataFrame(rows, "query_id string, question string, scores array<double>, total_results long, both_hits long, top_score double, mean_score double")
+    got = {r["query_id"]: r["record"] for r in evaluation.report(stats).collect()}
+    assert got["a"] == '{"question":"x \\"y\\"}","scores":[1.0,0.0003,0.0],"total":3,"both":1,"top":1.0,"mean":0.5911}'
+    assert got["b"] == '{"question":"{","scores":[],"total":0,"both":0,"top":null,"mean":null}'
+
+
 def test_compare_presets(spark):
     """Scores differ by preset; hit rates, reciprocal rank and channel means are those of the one search. A search of its own at each k counts at its k."""
     hits = spark.createDataFrame([("a", 1, 0.9, 1.0), ("a", 2, 0.1, 3.0), ("b", 1, 0.5, 0.0)], "query_id string, rank int, dense_score double, sparse_score double")
