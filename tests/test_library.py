@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner import queries
 from gleaner.functions import rules, text, vectors
-from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, nearest, rulebook, search, sync
+from gleaner.operators import chunking, context, dense, diversity, evaluation, fusion, impact, judge, lexical, nearest, rulebook, search, sparse, sync
 from gleaner.params import Params, preset
 from gleaner.sources import files, tables
 from gleaner.sources.index import Index
@@ -112,6 +112,50 @@ def test_bm25_against_the_formula(spark):
     assert got == {k: pytest.approx(v) for k, v in want.items() if round(v, 6) > 0.05}
 
 
+def test_tokens_by_a_quick_pattern_are_those_of_the_plain_one(spark):
+    import re
+
+    plain = "|".join(re.escape(t).replace("\\ ", " ") for t in sorted(lexical.PROTECTED, key=lambda t: (-len(t), t))) + r"|\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+    r = random.Random(5)
+    parts = [*"aZ9é ß×÷ªµº²½.·_-+/\t\n", "大", "模型", "大模型", "强化学习", "〇", "々", "Python", "C++", "CI/CD", "GitHub Actions", "GitHub", "я", "٣", "𠀀", "😀", "カ", "한", "LLMs", "Ⅷ", "①"]
+    rows = spark.createDataFrame([("".join(r.choice(parts) for _ in range(r.randint(0, 60))),) for _ in range(2000)], "text string")
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    assert rows.filter(found(plain) != found(lexical.token_pattern())).count() == 0
+    long = spark.createDataFrame([("aя" * 60_000,)], "text string").select(lexical.tokens(F.col("text")).alias("t")).first()["t"]
+    assert long == ["aя" * 60_000]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blockwise_bm25_equals_the_sum_over_postings(spark, monkeypatch, kind):
+    """Blocks of a few rows, terms and cells; texts that are equal, empty and null; questions with repeated and unknown words, or none."""
+    for name, value in {"CHUNKS": 7, "TOKENS": 60, "QUERIES": 5, "TERMS": 12, "CELLS": 9, "POSTINGS": 4}.items():
+        monkeypatch.setattr(sparse, name, value)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    say = lambda n: " ".join(words[min(int(r.expovariate(0.12)), 39)] for _ in range(n))
+    texts = [say(r.randint(1, 30)) for _ in range(90)]
+    texts = texts + texts[:20] + ["", None, say(200)]
+    c = spark.createDataFrame(list(enumerate(texts)), "key long, content string").select(F.col("key").cast(kind).alias("key"), "content")
+    q = spark.createDataFrame([(i, say(r.randint(1, 9))) for i in range(30)] + [(30, "w1 w1 w1 unknown"), (31, ""), (32, None)], "query_id long, text string")
+    posts = lexical.postings_and_lengths(c, ["key"])
+    made = c.select("key", lexical.tokens(F.col("content")).alias("tokens")).repartition(3)
+    stats = made.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    terms = lexical.term_stats(posts, stats)
+    rows = lambda hits: sorted((x["query_id"], x["rank"], x["key"], round(x["score"], 6)) for x in hits.collect())
+    want = rows(lexical.search(q, posts, None, terms, stats, ["key"], n=4))
+    assert rows(sparse.search(q, made, terms, stats, "key", n=4)) == want and len(want) > 100
+
+
+def test_term_statistics_shuffle_no_postings(spark, tmp_path, monkeypatch):
+    """Only statistics are written and shuffled for ``bm25_stats``: no table of postings is made."""
+    made = []
+    monkeypatch.setattr(tables.Workspace, "once", lambda self, name, make, once=tables.Workspace.once: (made.append(name), once(self, name, make))[1])
+    c = spark.createDataFrame([(1, "red red blue"), (2, "blue green"), (3, None)], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    c.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["term"]: r["df"] for r in queries.queries()["bm25_stats"](spark, str(tmp_path)).collect()}
+    assert got == {"red": 1, "blue": 2, "green": 1} and "postings" not in made
+
+
 def test_dense_search_against_numpy(spark):
     rng = np.random.default_rng(0)
     v = rng.integers(-3, 4, (60, 8)).astype(float)
