@@ -21,6 +21,7 @@ CODE_WORDS = ("def ", "class ", "import ", "from ", "return ")
 CODE_RUN, SHORT_LINE = 5, 50
 #: White space, as a class of characters.
 WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: A table's line; a mark with which a line begins a section; blank lines; the end of a sentence.
 TABLE = rf"(?d)^(?:\|.+\||\|(?:{WHITE}|[-:])+\|)\z"
 MARK = rf"(?:\p{{Nd}}+[.、．)]|[-•·]|[（(]\p{{Nd}}+[)）]|第[一二三四五六七八九十\p{{Nd}}]+[章节条款]|#+{WHITE})"
@@ -29,8 +30,14 @@ BLANK_LINE = rf"\n{WHITE}*\n"
 SENTENCE = rf"(?<=[。！？.!?\n]){WHITE}*"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, wherever and however often it stands: the optimizer may copy a column into a lambda that runs for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\A{WHITE}+|{WHITE}+\z", "")
+    """Without white space at both ends. Only the ends are looked at."""
+    return F.btrim(x, F.lit(WHITE_CHARS))
 
 
 def filled(parts: Column) -> Column:
@@ -39,13 +46,15 @@ def filled(parts: Column) -> Column:
 
 
 def is_code(line: Column) -> Column:
-    s = trimmed(line)
-    found = F.lit(False)
-    for start in CODE_STARTS:
-        found = found | s.startswith(start)
-    for word in CODE_WORDS:
-        found = found | s.contains(word)
-    return (s != "") & (F.rlike(s, F.lit(f"[{BOXES}]")) | ((F.length(s) < SHORT_LINE) & found))
+    def found(s: Column) -> Column:
+        marked = F.lit(False)
+        for start in CODE_STARTS:
+            marked = marked | s.startswith(start)
+        for word in CODE_WORDS:
+            marked = marked | s.contains(word)
+        return (s != "") & (((F.length(s) < SHORT_LINE) & marked) | F.rlike(s, F.lit(f"[{BOXES}]")))
+
+    return let(trimmed(line), found)
 
 
 def is_table(line: Column) -> Column:
@@ -62,11 +71,6 @@ def runs(starts: Column, n: Column, make) -> Column:
     return F.transform(starts, lambda s, k: make(s, F.coalesce(F.get(starts, k + 1), n) - s))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, wherever and however often it stands: the optimizer may copy a column into a lambda that runs for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def protected(lines: Column) -> Column:
     """Lines as parts: each long enough run of code and each run of a table stands alone, what lies between stays together."""
     def alone(v: Column) -> Column:
@@ -166,7 +170,8 @@ def build(documents: DataFrame, params: Params = Params(), source: str = "source
     """(source, chunk_index, total_chunks, content, file_type, project, section_type). Blank texts give no rows."""
     own = documents.select(F.col(source).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = own.select("source", text.headings(F.col("text")).alias("headings"), let(split(F.col("text"), params), lambda c: overlapped(c, params.chunk_overlap)).alias("chunks"))
-    each = cut.select("source", "headings", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "c"))
+    # The plain posexplode would be given a filter of its own, which makes all chunks twice more to see whether there are any.
+    each = cut.select("source", "headings", F.size("chunks").alias("total_chunks"), F.posexplode_outer("chunks").alias("chunk_index", "c")).filter("c IS NOT NULL")
     above = F.transform(F.filter("headings", lambda h: h["line"] <= F.col("c.line")), lambda h: h["text"])
     return each.select(
         "source", "chunk_index", "total_chunks", "c.content", rules.file_type(F.col("source")).alias("file_type"), rules.project(F.col("source")).alias("project"),

@@ -479,6 +479,19 @@ def test_chunks_equal_those_of_plain_loops(spark):
             assert [c["line"] for c in r["chunks"]] == plain_chunker.lines_of(made[r["id"]], want)
 
 
+def test_chunks_are_made_once(spark):
+    """The optimizer adds no filter that makes all chunks again to see whether there are any."""
+    made = chunking.build(spark.createDataFrame([("a.md", "x"), ("b.md", " "), ("c.md", None)], "source string, text string"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("locate(") == 1
+    assert [(r["source"], r["total_chunks"]) for r in made.collect()] == [("a.md", 1)]
+
+
+def test_trimmed_cuts_what_the_class_of_white_space_holds(spark):
+    every = spark.range(1, 0x10000).filter("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    x = F.concat("c", F.lit("a b"), "c", F.lit("\u3000"))
+    assert every.filter(chunking.trimmed(x) != F.regexp_replace(x, rf"\A{chunking.WHITE}+|{chunking.WHITE}+\z", "")).count() == 0
+
+
 def test_order_statistics_equal_sorting(spark):
     """Skewed, tied, tiny and huge values, null groups, null values, single rows."""
     rng = random.Random(6)
