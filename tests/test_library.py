@@ -431,6 +431,15 @@ def test_bounded_search_equals_the_full_sum(spark, monkeypatch, tmp_path):
     assert sum(b < a for a, b in read.values()) > 0
 
 
+def test_blocks_of_tokens_are_those_of_postings_and_shuffle_once(spark):
+    r = random.Random(8)
+    c = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 30)}" for _ in range(r.randint(0, 40)))) for i in range(300)], "key long, content string")
+    made = impact.blocks_of_tokens(c.select("key", lexical.tokens(F.col("content")).alias("tokens")), ["key"], 300, 4)
+    rows = lambda d: sorted((*x[:6], sorted(x["hits"])) for x in d.collect())
+    assert rows(made) == rows(impact.blocks(lexical.postings_and_lengths(c, ["key"]), ["key"], 300, 4))
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 def test_files_written_and_read(spark, tmp_path):
     rows = spark.createDataFrame([("a b.md", "x\ny"), ("项 %.txt", "é"), ("c%20d.md", "z"), ("empty.md", None)], "name string, text string")
     assert files.write_files(rows, f"file://{tmp_path}/made") == 4
