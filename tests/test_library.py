@@ -125,6 +125,25 @@ def test_tokens_by_a_quick_pattern_are_those_of_the_plain_one(spark):
     assert long == ["aя" * 60_000]
 
 
+def test_every_character_gives_the_tokens_of_the_plain_pattern(spark):
+    """Alone, between and after letters; also with protected terms that begin with a small letter, which then come before other words."""
+    import re
+
+    every = spark.range(1, 0x20000).filter("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    rows = every.select(F.concat(F.lit("ab"), "c", F.lit("cd "), "c", F.lit(" Xy"), "c", F.lit("9 x"), "c", "c", F.lit("grepC++ grep")).alias("text"))
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    for protected in (lexical.PROTECTED, ["grepC++", "C++", "大模型"], []):
+        plain = "|".join([*(re.escape(t).replace("\\ ", " ") for t in sorted(protected, key=lambda t: (-len(t), t))), r"\p{IsHan}", r"[\p{L}\p{N}&&[^\p{IsHan}]]+"])
+        assert rows.filter(found(plain) != found(lexical.token_pattern(protected))).count() == 0
+
+
+def test_tokens_are_trimmed_only_where_they_may_need_it(spark):
+    one_row = spark.createDataFrame([(" C++ + a",)], "text string")
+    plan = lambda **how: one_row.select(lexical.tokens(F.col("text"), **how))._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim(" not in plan() and "trim(" in plan(protected=["+ "]) and "trim(" in plan(segmenter=lambda t: F.split(t, ","))
+    assert one_row.select(lexical.tokens(F.col("text"), protected=["+", " C"]).alias("t")).first()["t"] == ["C"]
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_blockwise_bm25_equals_the_sum_over_postings(spark, monkeypatch, kind):
     """Blocks of a few rows, terms and cells; texts that are equal, empty and null; questions with repeated and unknown words, or none."""
