@@ -175,6 +175,33 @@ def test_term_statistics_shuffle_no_postings(spark, tmp_path, monkeypatch):
     assert got == {"red": 1, "blue": 2, "green": 1} and "postings" not in made
 
 
+def test_blocks_hold_statistics_and_vectors_of_their_tokens(spark, monkeypatch):
+    """Small blocks of texts that are equal, empty and null, and of one long text: what both channels read equals what is made of the tokens row by row."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["cat", "Dog", "fish", "大模型", "C++", f"w{r.randint(0, 99)}"]) for _ in range(r.randint(0, 25))) for _ in range(80)] + ["", None, "a b " * 300, "cat", "cat"]
+    tokens = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3).select("key", lexical.tokens(F.col("text")).alias("tokens"))
+    plain = vectors.with_hashed(tokens, F.col("tokens"), 16).select("key", "vector").collect()
+    for module, name, value in ((sparse, "CHUNKS", 7), (sparse, "TOKENS", 40), (vectors, "SLICE", 30)):
+        monkeypatch.setattr(module, name, value)
+    made = sparse.blocks(tokens, "key", 16)
+    assert made.count() > 12
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(dense.unpacked(made, "key")) == sorted(map(tuple, plain)) == rows(vectors.with_hashed(tokens, F.col("tokens"), 16).select("key", "vector"))
+    assert rows(sparse.document_counts(made)) == rows(tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").count())
+    assert rows(sparse.corpus_stats(made)) == rows(tokens.agg(F.count("*"), F.avg(F.size("tokens"))))
+    assert rows(sparse.corpus_stats(sparse.blocks(tokens.limit(0), "key"))) == [(0, None)]
+
+
+def test_both_channels_read_one_table_and_no_tokens_are_written(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(tables.Workspace, "once", lambda self, name, make, once=tables.Workspace.once: (made.append(name), once(self, name, make))[1])
+    docs = spark.createDataFrame([(1, "red red blue"), (2, "blue green"), (3, None), (4, "green tea")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "red tea")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {(r["query_id"], r["key"]) for r in queries.queries()["display_score"](spark, str(tmp_path)).collect()} >= {(7, 1), (7, 4)}
+    assert "inverted" in made and not {"tokens", "postings", "vectors"} & set(made)
+
+
 def test_dense_search_against_numpy(spark):
     rng = np.random.default_rng(0)
     v = rng.integers(-3, 4, (60, 8)).astype(float)
