@@ -194,7 +194,7 @@ def test_blocks_hold_statistics_and_vectors_of_their_tokens(spark, monkeypatch):
 
 def test_both_channels_read_one_table_and_no_tokens_are_written(spark, tmp_path, monkeypatch):
     made = []
-    monkeypatch.setattr(tables.Workspace, "once", lambda self, name, make, once=tables.Workspace.once: (made.append(name), once(self, name, make))[1])
+    monkeypatch.setattr(tables.Workspace, "once", lambda self, name, make, once=tables.Workspace.once, **how: (made.append(name), once(self, name, make, **how))[1])
     docs = spark.createDataFrame([(1, "red red blue"), (2, "blue green"), (3, None), (4, "green tea")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(7, "red tea")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -202,6 +202,17 @@ def test_both_channels_read_one_table_and_no_tokens_are_written(spark, tmp_path,
     assert "inverted" in made and not {"tokens", "postings", "vectors"} & set(made)
 
 
+def test_row_groups_of_large_rows_are_small(spark, tmp_path, monkeypatch):
+    """Else a reader takes a whole file of blocks into memory at once."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{tmp_path}")
+    big = spark.range(40).coalesce(1).select("id", F.expr("array_join(transform(sequence(1, 20000), i -> md5(string(i * 41 + id))), '')").alias("x"))
+    assert tables.Workspace(spark, "w").write(big, "t", **tables.LARGE_ROWS).count() == 40
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in tmp_path.glob("*/t/*.parquet")]
+    assert len(groups) == 1 and groups[0] >= 2
+
+
 def test_dense_search_against_numpy(spark):
     rng = np.random.default_rng(0)
     v = rng.integers(-3, 4, (60, 8)).astype(float)
