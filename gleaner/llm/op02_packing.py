@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import tokens
 from gleaner.llm.common import Scratch, documents, text_bytes, without_clashes
+from gleaner.llm.common import pieces as slices
 
 SEQUENCE = 2048
 END_ID = 1
@@ -116,10 +117,10 @@ def cut(docs: DataFrame, vocabulary: str, sequence: int, end_id: int, id_col: st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = tokens.encoder(vocabulary)
         end = end_id.to_bytes(code.width, "little")
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+        for piece in (x for batch in batches for x in slices(batch, 1)):
+            data, offsets = text_bytes(piece.column(1))
             data, rows = data.tobytes(), []
-            for i, key in enumerate(batch.column(0).to_pylist()):
+            for i, key in enumerate(piece.column(0).to_pylist()):
                 ids = np.frombuffer(code.encode(data[offsets[i] : offsets[i + 1]]) + end, code.dtype).astype("<u4")
                 rows += [(key, at, min(sequence, len(ids) - at), zlib.crc32(ids[at : at + sequence].tobytes()), len(ids)) for at in range(0, len(ids), sequence)]
             if rows:

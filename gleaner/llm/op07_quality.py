@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scratch, binary_rows, documents, pieces, text_bytes, without_clashes
+from gleaner.llm.common import Scratch, binary_rows, documents, forget, pieces, text_bytes, without_clashes
 from gleaner.llm.kernels import IS_SPACE, words
 
 VOCABULARY, WIDTH, SHAPES, REACH = 1 << 16, 32, 64, 2
@@ -33,6 +33,8 @@ TRAIN_ROWS = 20_000
 HASHES = 1 << 30
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 32, 60, 0.01, 1e-4, 7
 THRESHOLD = 0.3
+#: Bytes of text a worker takes at a time: arrays of eight bytes for each of them stay in its process.
+PIECE = 1 << 19
 FEATURES = WIDTH + SHAPES + 4
 
 
@@ -45,12 +47,17 @@ def sketch(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray,
     """Bucket and shape of every word, the number of each row's first word, and each row's bytes."""
     data, offsets = text_bytes(batch.column(column))
     hashes, start, end, first = words(data, offsets, lower=True, quick=True)
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90), dtype=np.int64)])
-    digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57), dtype=np.int64)])
-    mark = np.concatenate([[0], np.cumsum((data < 128) & ~IS_SPACE[data] & ~(((data | 32) >= 97) & ((data | 32) <= 122)) & ~((data >= 48) & (data <= 57)), dtype=np.int64)])
-    few = lambda sums: np.minimum(sums[end] - sums[start], 2)
+
+    def few(kind: np.ndarray) -> np.ndarray:
+        """Bytes of a kind in each word, at most two."""
+        sums = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(kind, out=sums[1:])
+        return np.minimum(sums[end] - sums[start], 2)
+
+    upper, digit = few((data >= 65) & (data <= 90)), few((data >= 48) & (data <= 57))
+    mark = few((data < 128) & ~IS_SPACE[data] & ~(((data | 32) >= 97) & ((data | 32) <= 122)) & ~((data >= 48) & (data <= 57)))
     long_ = np.digitize(end - start, (3, 12)) % 2
-    shape = ((few(upper) * 3 + few(digit)) * 3 + few(mark)) * 2 + long_
+    shape = ((upper * 3 + digit) * 3 + mark) * 2 + long_
     return (hashes >> np.uint64(48)).astype(np.int64) % VOCABULARY, shape, first, np.diff(offsets)
 
 
@@ -58,19 +65,21 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The context matrix over all texts, WIDTH x VOCABULARY, rows centred and columns of length 1. Each task sends one partial sum."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         index, total, any_ = index_vectors(), np.zeros((WIDTH, VOCABULARY)), False
         for batch in batches:
-            for piece in pieces(batch, 0):
+            for piece in pieces(batch, 0, PIECE):
                 bucket, _, first, _ = sketch(piece, 0)
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 any_ = any_ or len(bucket) > 0
-                near = [(step, np.flatnonzero(row[step:] == row[:-step])) for step in range(1, REACH + 1)]
+                # 1 where the word so many steps on is in the same text; sums of 2 * REACH entries fit a byte.
+                near = [(step, (row[step:] == row[:-step]).astype(np.int8)) for step in range(1, REACH + 1)]
                 for k in range(WIDTH):
-                    own = index[k][bucket].astype(np.float64)
-                    seen = np.zeros(len(bucket))
-                    for step, left in near:
-                        seen[left] += own[left + step]
-                        seen[left + step] += own[left]
+                    own = index[k][bucket]
+                    seen = np.zeros(len(bucket), np.int8)
+                    for step, both in near:
+                        seen[:-step] += own[step:] * both
+                        seen[step:] += own[:-step] * both
                     total[k] += np.bincount(bucket, weights=seen, minlength=VOCABULARY)
         for k in range(WIDTH) if any_ else ():
             yield pa.RecordBatch.from_pydict({"dim": pa.array([k], pa.int32()), "sums": pa.array([total[k].astype(np.float32).tobytes()], pa.binary())})
@@ -99,9 +108,10 @@ def pooled(docs: DataFrame, context: np.ndarray, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(context)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         vectors = shared.value
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, PIECE):
                 bucket, shape, first, size = sketch(piece, 1)
                 n = np.diff(first)
                 full = np.flatnonzero(n)

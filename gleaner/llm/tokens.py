@@ -13,13 +13,15 @@ import re
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from gleaner.llm.common import worker_cache
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words of a generation that a worker remembers. When it is full, the one before is forgotten; words met again move to the new one.
 MEMO_WORDS = 400_000
 #: Lower-case letters that are one code point in NFC whatever stands beside them.
 LETTERS = re.compile("[a-zß-öø-ÿœ]+")
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = worker_cache()
 
 
 def default_path() -> str:
