@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from gleaner.llm.common import Scratch, documents, without_clashes
 
@@ -119,8 +120,8 @@ def rake(cells: DataFrame, scratch: Scratch, targets: Targets | None, flatten: f
     return out
 
 
-def marked(docs: DataFrame, scratch: Scratch, text: Column, source: Column, lang: Column, topic_col: str | None) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with __source, __lang, __topic and __tokens, and the same without other columns, written down where topics are learnt."""
+def marked(docs: DataFrame, scratch: Scratch, text: Column, source: Column, lang: Column, topic_col: str | None, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (__row) with __source, __lang, __topic and __tokens, and the same without other columns. Where topics are learnt, __row keeps the fields ``carried``, written beside the hits, so that texts are split twice only."""
     tokens = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     named = docs.withColumns({"__source": F.coalesce(source, F.lit("")), "__lang": F.coalesce(lang, F.lit("")), "__tokens": tokens})
     cell = [f"__{d}" for d in DIMENSIONS] + ["__tokens"]
@@ -129,10 +130,11 @@ def marked(docs: DataFrame, scratch: Scratch, text: Column, source: Column, lang
         return named, named.select(*cell)
     named = named.withColumns({"__words": words_of(text), "__blank": F.length(F.coalesce(text, F.lit(""))) == 0})
     words = topic_words(named.select("__lang", "__words"), scratch)
-    narrow = named.select("__source", "__lang", "__tokens", "__blank", "__words")
-    hits = scratch.write(with_hits(narrow, listed(words)).drop("__list"), "hits")
+    row = [F.struct(*[F.col(f"__row.`{c}`").alias(c) for c in carried]).alias("__row")] if carried else []
+    hits = scratch.write(with_hits(named.select(*row, "__source", "__lang", "__tokens", "__blank", "__words"), listed(words)).drop("__list"), "hits")
     learnt = listed(scratch.write(themes(hits, words), "topics"), "theme", "weight")
-    return with_topic(with_hits(named, learnt)), with_topic(hits.join(learnt, "__lang", "left")).select(*cell)
+    rows = with_topic(hits.join(learnt, "__lang", "left"))
+    return rows, rows.select(*cell)
 
 
 def raked(narrow: DataFrame, scratch: Scratch, targets: Targets | None, flatten: float, fraction: float, rounds: int) -> DataFrame:
@@ -140,18 +142,22 @@ def raked(narrow: DataFrame, scratch: Scratch, targets: Targets | None, flatten:
     return rake(scratch.write(cells, "cells"), scratch, targets, flatten, fraction, rounds)
 
 
-def mix(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTEN, fraction: float = FRACTION, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
-    """``docs`` with all its columns and, beside them, mix_tokens, mix_probability and mix_kept."""
+def mix(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTEN, fraction: float = FRACTION, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` with its columns (or ``columns`` of them) and, beside them, mix_tokens, mix_probability and mix_kept."""
     scratch = Scratch(docs.sparkSession, "mix")
     own = lambda c: F.col(f"__row.`{c}`")
-    rows, narrow = marked(docs.select(F.struct("*").alias("__row")), scratch, own(text_col), own(source_col), own(lang_col), f"__row.`{topic_col}`" if topic_col else None)
+    beside = [c for c in (docs.columns if columns is None else columns) if c not in ("mix_tokens", "mix_probability", "mix_kept")]
+    # Parquet has no columns without a type; their values are all null.
+    untyped = {x.name for x in docs.schema if isinstance(x.dataType, NullType)}
+    back = lambda c: F.lit(None) if c in untyped else own(c)
+    carried = tuple(c for c in dict.fromkeys([*beside, id_col]) if c not in untyped)
+    rows, narrow = marked(docs.select(F.struct("*").alias("__row")), scratch, own(text_col), own(source_col), own(lang_col), f"__row.`{topic_col}`" if topic_col else None, carried)
     cells = raked(narrow, scratch, targets, flatten, fraction, rounds).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.least(F.lit(1.0), "factor").alias("__p"))
     cells = scratch.write(cells, "probabilities")
-    scratch.keep("probabilities", "topics")
+    scratch.keep("probabilities", "topics", "hits")
     joined = rows.join(cells, [f"__{d}" for d in DIMENSIONS], "left").withColumn("__p", F.when(F.col("__tokens") == 0, 1.0).otherwise(F.coalesce("__p", F.lit(0.0))))
-    kept = uniform(own(id_col)) < F.col("__p")
-    beside = [c for c in docs.columns if c not in ("mix_tokens", "mix_probability", "mix_kept")]
-    return joined.select(*[own(c).alias(c) for c in beside], F.col("__tokens").alias("mix_tokens"), F.col("__p").alias("mix_probability"), kept.alias("mix_kept"))
+    kept = uniform(back(id_col)) < F.col("__p")
+    return joined.select(*[back(c).alias(c) for c in beside], F.col("__tokens").alias("mix_tokens"), F.col("__p").alias("mix_probability"), kept.alias("mix_kept"))
 
 
 def marginals(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTEN, fraction: float = FRACTION, rounds: int = ROUNDS, topic_col: str | None = None) -> DataFrame:
@@ -179,7 +185,7 @@ def topic_relation(docs: DataFrame) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(without_clashes(documents(spark, sf_dir), "doc_id", "text", "source", "lang"))
+    out = mix(without_clashes(documents(spark, sf_dir), "doc_id", "text", "source", "lang"), columns=["doc_id"])
     return out.select("doc_id", F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 

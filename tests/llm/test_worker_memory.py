@@ -1,4 +1,4 @@
-"""What stays in worker processes."""
+"""What stays in worker processes, and how often texts are read."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from gleaner.llm import op07_quality as quality
 from gleaner.llm import tokens
+from gleaner.llm.op05_mixing import mix
 
 
 class Handed:
@@ -37,3 +38,17 @@ def test_quality_takes_little_text_at_a_time_and_drops_other_caches(spark):
     tracemalloc.stop()
     assert rows == 600 and not tokens._encoders
     assert peak < 60e6, peak
+
+
+def test_mixing_splits_no_text_a_third_time(spark):
+    """The result is read from what was written beside the hits; columns without a type come back as nulls."""
+    docs = spark.sql("SELECT id AS doc_id, concat('alpha beta ', id % 3, ' gamma') AS text, 'web' AS source, 'en' AS lang, NULL AS nothing, id AS `a.b` FROM range(40)")
+    out = mix(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "regexp_count" not in plan and "regexp_extract_all" not in plan
+    rows = out.collect()
+    assert out.columns == [*docs.columns, "mix_tokens", "mix_probability", "mix_kept"]
+    assert sorted((r["doc_id"], r["text"], r["nothing"], r["a.b"], r["mix_tokens"]) for r in rows) == [(i, f"alpha beta {i % 3} gamma", None, i, 4) for i in range(40)]
+    few = mix(docs, columns=["a.b"])
+    assert few.columns == ["a.b", "mix_tokens", "mix_probability", "mix_kept"]
+    assert {(r["a.b"], r["mix_probability"], r["mix_kept"]) for r in few.collect()} == {(r["a.b"], r["mix_probability"], r["mix_kept"]) for r in rows}
