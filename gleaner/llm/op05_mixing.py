@@ -120,8 +120,8 @@ def rake(cells: DataFrame, scratch: Scratch, targets: Targets | None, flatten: f
     return out
 
 
-def marked(docs: DataFrame, scratch: Scratch, text: Column, source: Column, lang: Column, topic_col: str | None, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (__row) with __source, __lang, __topic and __tokens, and the same without other columns. Where topics are learnt, __row keeps the fields ``carried``, written beside the hits, so that texts are split twice only."""
+def marked(docs: DataFrame, scratch: Scratch, text: Column, source: Column, lang: Column, topic_col: str | None, carried: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with __source, __lang, __topic and __tokens, and the same without other columns. Where topics are learnt, ``carried`` (all columns, if None) are written beside the hits, so that texts are split twice only."""
     tokens = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     named = docs.withColumns({"__source": F.coalesce(source, F.lit("")), "__lang": F.coalesce(lang, F.lit("")), "__tokens": tokens})
     cell = [f"__{d}" for d in DIMENSIONS] + ["__tokens"]
@@ -130,8 +130,8 @@ def marked(docs: DataFrame, scratch: Scratch, text: Column, source: Column, lang
         return named, named.select(*cell)
     named = named.withColumns({"__words": words_of(text), "__blank": F.length(F.coalesce(text, F.lit(""))) == 0})
     words = topic_words(named.select("__lang", "__words"), scratch)
-    row = [F.struct(*[F.col(f"__row.`{c}`").alias(c) for c in carried]).alias("__row")] if carried else []
-    hits = scratch.write(with_hits(named.select(*row, "__source", "__lang", "__tokens", "__blank", "__words"), listed(words)).drop("__list"), "hits")
+    carried = [F.col(f"`{c}`") for c in docs.columns] if carried is None else carried
+    hits = scratch.write(with_hits(named.select(*carried, "__source", "__lang", "__tokens", "__blank", "__words"), listed(words)).drop("__list"), "hits")
     learnt = listed(scratch.write(themes(hits, words), "topics"), "theme", "weight")
     rows = with_topic(hits.join(learnt, "__lang", "left"))
     return rows, rows.select(*cell)
@@ -150,7 +150,8 @@ def mix(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTE
     # Parquet has no columns without a type; their values are all null.
     untyped = {x.name for x in docs.schema if isinstance(x.dataType, NullType)}
     back = lambda c: F.lit(None) if c in untyped else own(c)
-    carried = tuple(c for c in dict.fromkeys([*beside, id_col]) if c not in untyped)
+    fields = [own(c).alias(c) for c in dict.fromkeys([*beside, id_col]) if c not in untyped]
+    carried = [F.struct(*fields).alias("__row")] if fields else []
     rows, narrow = marked(docs.select(F.struct("*").alias("__row")), scratch, own(text_col), own(source_col), own(lang_col), f"__row.`{topic_col}`" if topic_col else None, carried)
     cells = raked(narrow, scratch, targets, flatten, fraction, rounds).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.least(F.lit(1.0), "factor").alias("__p"))
     cells = scratch.write(cells, "probabilities")
@@ -163,7 +164,7 @@ def mix(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTE
 def marginals(docs: DataFrame, targets: Targets | None = None, flatten: float = FLATTEN, fraction: float = FRACTION, rounds: int = ROUNDS, topic_col: str | None = None) -> DataFrame:
     """(dimension, category, has, goal, expected, met): tokens of each category, those asked for and those expected, and whether they agree within 1 %."""
     scratch = Scratch(docs.sparkSession, "marginals")
-    narrow = marked(docs.select(F.struct("*").alias("__row")), scratch, F.col("__row.text"), F.col("__row.source"), F.col("__row.lang"), f"__row.`{topic_col}`" if topic_col else None)[1]
+    narrow = marked(docs.select(F.struct("*").alias("__row")), scratch, F.col("__row.text"), F.col("__row.source"), F.col("__row.lang"), f"__row.`{topic_col}`" if topic_col else None, [])[1]
     cells = raked(narrow, scratch, targets, flatten, fraction, rounds)
     expected = F.sum(F.col("tokens") * F.least(F.lit(1.0), "factor"))
     out = None
@@ -175,7 +176,7 @@ def marginals(docs: DataFrame, targets: Targets | None = None, flatten: float =
 
 def topic_relation(docs: DataFrame) -> DataFrame:
     """(texts, mutual_bits, lang_bits): one row with the mutual information of topic and language, and the entropy of language, by documents."""
-    narrow = marked(docs.select(F.struct("*").alias("__row")), Scratch(docs.sparkSession, "relation"), F.col("__row.text"), F.col("__row.source"), F.col("__row.lang"), None)[1]
+    narrow = marked(docs.select(F.struct("*").alias("__row")), Scratch(docs.sparkSession, "relation"), F.col("__row.text"), F.col("__row.source"), F.col("__row.lang"), None, [])[1]
     both = narrow.groupBy("__lang", "__topic").agg(F.count("*").alias("n"))
     sums = both.groupBy("__lang").agg(F.sum("n").alias("of_lang")), both.groupBy("__topic").agg(F.sum("n").alias("of_topic"))
     out = both.join(sums[0], "__lang").join(sums[1], "__topic").crossJoin(both.agg(F.sum("n").alias("texts")))
