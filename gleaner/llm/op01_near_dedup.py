@@ -8,7 +8,8 @@ similarity s, so they meet in a tree with probability f = 1 - (1 - s f)**2 or mo
 Nodes of up to NODE classes (and NODE_BYTES of sets) are small: their pairs are compared exhaustively within a task. A larger node is first cut into blocks of
 that size, each with the node's pivots, and every block is compared like a small node; this links what is near to the pivots. Links inside a component change nothing
 any more, so a large node is done once its classes are in one component, as those of near copies of one text are. If few of its classes are outside
-its largest component - LEAF / 2 blocks at most - they are compared with all, that many blocks at a time, so that rows are sent on in proportion to the node; else it branches. After MAX_DEPTH branchings pairs of blocks are compared
+its largest component - LEAF / 2 blocks at most - they are compared with all, that many blocks at a time, so that rows are sent on in proportion to the node. So are the
+cheapest of the other nodes, as long as a level's pairs are no more than 2 * NODE for each class of the input: a level less saves a pass over all texts. The rest branch. After MAX_DEPTH branchings pairs of blocks are compared
 at any size, a bounded group at a time. The first tree goes first: nodes of the others whose classes it has brought together are done before anything is sent to them.
 
 A comparison has two steps. Within a node, set sizes and agreeing tokens find candidates (a pair at the threshold falls below the cut once in 300,000); what candidates
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Scratch, binary_rows, documents, pieces, text_bytes, whole_groups, without_clashes
 from gleaner.llm.components import components
-from gleaner.llm.kernels import distinct_by_row, mix, prefix_sums, window_hash, words
+from gleaner.llm.kernels import distinct_in_rows, mix, prefix_sums, window_hash, words
 
 WORDS, OVER, UNDER = 3, 85, 100
 SKETCH, TREES, BRANCH, NODE, LEAF, PIVOTS, MAX_DEPTH = 128, 4, 2, 512, 16, 4, 12
@@ -46,19 +47,19 @@ SET = ["set_1", "set_2", "n_shingles"]
 NODE_ROWS, GROUP_ROWS = 4096, 256
 #: Pairs whose tokens are compared at once.
 PAIRS = 16384
+#: Bytes of text whose shingles are made at once: what they need then stays near the processor.
+TEXT = 1 << 18
 
 
 def shingles(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, in order, and where each row's begin (one entry more than rows)."""
     data, offsets = text_bytes(batch.column(column))
     hashes, _, _, first = words(data, offsets, lower=True)
-    sums, n = prefix_sums(hashes), np.diff(first)
-    row = np.repeat(np.arange(len(n)), n)
-    start = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :]) if len(row) >= size else np.empty(0, np.int64)
-    short = np.flatnonzero((n > 0) & (n < size))
-    values = np.concatenate([window_hash(sums, start, start + size), window_hash(sums, first[short], first[short + 1])])
-    values, rows = distinct_by_row(values, np.concatenate([row[start], short]))
-    return values, np.searchsorted(rows, np.arange(len(n) + 1))
+    n = np.diff(first)
+    many = np.where(n > 0, np.maximum(n - size, 0) + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(many)])
+    start = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], many)
+    return distinct_in_rows(window_hash(prefix_sums(hashes), start, np.minimum(start + size, np.repeat(first[1:], many))), begin)
 
 
 def set_columns(values: np.ndarray, first: np.ndarray) -> list[pa.Array]:
@@ -78,7 +79,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 1):
+            for piece in pieces(batch, 1, TEXT):
                 values, first = shingles(piece, 1, size)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
@@ -132,6 +133,7 @@ class Join:
         self.sets: DataFrame | None = None
         self.parts: DataFrame | None = None
         self.n = 0
+        self.budget = 2 * NODE * classes.count()
 
     def with_part(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the component of each id, as part."""
@@ -180,7 +182,7 @@ class Join:
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece in pieces(batch, 1):
+                for piece in pieces(batch, 1, TEXT):
                     values, first = shingles(piece, 1, size)
                     yield pa.RecordBatch.from_arrays([*set_columns(values, first), binary_rows(values, first)], names=[*SET, "set"])
 
@@ -226,7 +228,7 @@ class Join:
                     b.append(pairs[1, keep])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
 
-        rows = self.with_part(groups).join(self.classes.select("id", "n_shingles"), "id").join(sets, "id")
+        rows = self.with_part(groups).join(sets, "id").withColumn("n_shingles", F.expr("octet_length(set) div 8"))
         dealt = rows.select("group", "part", "n_shingles", "set").repartition("group").sortWithinPartitions("group", "n_shingles", "part")
         return dealt.mapInArrow(compare, "a long, b long").distinct()
 
@@ -234,7 +236,8 @@ class Join:
         """Finds and confirms the links within the blocks of ``rows`` (node, block, id), and joins the components that they connect."""
         self.n += 1
         name = f"compare-{self.n}"
-        groups = self.scratch.write(self.groups(rows), f"{name}-groups")
+        # Written first, so that Spark knows how small they are and need not shuffle all classes to meet a few.
+        groups = self.scratch.write(self.groups(self.scratch.write(rows, f"{name}-rows")), f"{name}-groups")
         links = self.scratch.write(self.links(groups, self.full_sets(groups, name)), f"{name}-links")
         if not links.isEmpty():
             joined = components(links, self.scratch, f"{name}-stars")
@@ -243,7 +246,16 @@ class Join:
                 old = self.parts.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
                 joined = old.union(joined.join(self.parts.select("id"), "id", "left_anti"))
             self.parts = self.scratch.write(joined, f"{name}-parts")
-        self.scratch.drop(f"{name}-groups", f"{name}-links")
+        self.scratch.drop(f"{name}-rows", f"{name}-groups", f"{name}-links")
+
+    def affordable(self, opened: DataFrame) -> int:
+        """The power of two below which all nodes of ``opened`` together take no more pairs than the budget. The driver sees one row for each power."""
+        left = self.budget
+        for row in opened.groupBy("cost").agg(F.sum(F.col("size") * F.col("others")).alias("pairs")).orderBy("cost").collect():
+            left -= row["pairs"]
+            if left < 0:
+                return row["cost"]
+        return 64
 
     def level(self, members: DataFrame, last: bool) -> DataFrame | None:
         """Compares the nodes of ``members`` (node, id, n_shingles). Returns (node) of those that must branch."""
@@ -262,7 +274,8 @@ class Join:
         held = self.with_part(members.join(large.select("node", "blocks"), "node").select("node", "id", "blocks"))
         main = held.groupBy("node", "blocks", "part").agg(F.count("*").alias("n")).groupBy("node", "blocks").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
         opened = main.filter("parts > 1").select("node", "blocks", F.col("main.part").alias("main"), "size", (F.col("size") - F.col("main.n")).alias("others"))
-        opened = self.scratch.write(opened.withColumn("ends", F.lit(last) | (F.col("others") * 2 <= LEAF * NODE)), f"{name}-open")
+        opened = self.scratch.write(opened.withColumn("cost", F.floor(F.log2(F.col("size") * F.col("others")))), f"{name}-open")
+        opened = opened.withColumn("ends", F.lit(last) | (F.col("others") * 2 <= LEAF * NODE) | (F.col("cost") < self.affordable(opened)))
         across = F.col("blocks") * 2 / LEAF
         ends = opened.filter("ends").select("node", "main", F.ceil(across).alias("across"), F.ceil(across * F.col("others") / F.col("size")).alias("down"))
         if not ends.isEmpty():
@@ -286,6 +299,7 @@ class Join:
                 return self.parts
             depth += 1
             above = left[0] if len(left) == 1 else left[0].union(left[1])
+            above = self.scratch.write(above, f"above-{depth}")
             members = children(above.join(self.classes.select("id", "n_shingles", "keys", "tokens"), "id"), depth)
             members = self.scratch.write(members, f"members-{depth}")
             opened = [(members, self.level(members, depth >= MAX_DEPTH))]

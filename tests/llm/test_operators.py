@@ -123,6 +123,21 @@ def test_near_branches(spark, monkeypatch):
     assert depths == [0, 1]
 
 
+def test_near_ends_within_the_budget(spark, monkeypatch):
+    """A node of few classes that are all apart is compared whole rather than branched, and classes meet a few members without a shuffle of their own."""
+    for limit, value in (("LEAF", 2), ("NODE", 8)):
+        monkeypatch.setattr(near, limit, value)
+    depths, children, plans, groups = [], near.children, [], near.Join.groups
+    monkeypatch.setattr(near, "children", lambda rows, depth: (depths.append(depth), children(rows, depth))[1])
+    monkeypatch.setattr(near.Join, "groups", lambda self, rows: (out := groups(self, rows), plans.append(out._jdf.queryExecution().optimizedPlan().toString()))[0])
+    crowd = prose(150)
+    texts = [crowd + " " + prose(60) for _ in range(12)] + [prose(40) for _ in range(40)]
+    texts.append(texts[3] + " end")
+    got = rows_of(near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {r["doc_id"] for r in got if not r["kept"]} == {len(texts) - 1} and depths == [0]
+    assert len(plans) > 2 and all("Generate" not in p for p in plans)
+
+
 def test_near_with_two_texts_under_one_id(spark):
     """Links of one text don't move the other, and the pipeline's stage loses neither."""
     base, other = prose(200), prose(120)
