@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,53 @@ def test_blockwise_bm25_equals_the_sum_over_postings(spark, monkeypatch, kind):
     assert rows(sparse.search(q, made, terms, stats, "key", n=4)) == want and len(want) > 100
 
 
+def test_blocks_send_on_only_what_may_be_among_the_best(spark, monkeypatch):
+    """A task sends few rows for many blocks, and the hits are those of the full sum."""
+    monkeypatch.setattr(sparse, "CHUNKS", 8)
+    sent = []
+    monkeypatch.setattr(sparse, "ranked", lambda scored, *how, ranked=sparse.ranked: (sent.append(scored.count()), ranked(scored, *how))[1])
+    r = random.Random(5)
+    say = lambda n: " ".join(f"w{min(int(r.expovariate(0.08)), 80)}" for _ in range(n))
+    c = spark.createDataFrame([(i, say(r.randint(1, 25))) for i in range(320)], "key long, content string")
+    q = spark.createDataFrame([(i, say(r.randint(3, 9))) for i in range(40)], "query_id long, text string")
+    posts = lexical.postings_and_lengths(c, ["key"])
+    made = c.select("key", lexical.tokens(F.col("content")).alias("tokens")).repartition(2)
+    stats = made.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    terms = lexical.term_stats(posts, stats)
+    rows = lambda hits: sorted((x["query_id"], x["rank"], x["key"], round(x["score"], 6)) for x in hits.collect())
+    assert rows(sparse.search(q, made, terms, stats, "key", n=2)) == rows(lexical.search(q, posts, None, terms, stats, ["key"], n=2))
+    assert 80 <= sent[0] < 40 * 40  # 40 blocks that send 2 rows each for most of the 40 questions would be 3,120
+
+
+@pytest.mark.parametrize("rare", [0, 1, 4, 1 << 40])
+def test_terms_that_wait_are_added_where_they_matter(monkeypatch, rare):
+    """Blocks of any width, ties, slices of a few postings; terms that wait are added for single chunks, or for all where too many may be among the best."""
+    rng = np.random.default_rng(rare % 97)
+    for _ in range(40):
+        for name, choices in {"CELLS": [9, 50, 1000], "POSTINGS": [4, 50, 1000], "COMMON": [1, 3, 100], "WAITS": [0.1, 0.5, 0.9, 2.0]}.items():
+            monkeypatch.setattr(sparse, name, rng.choice(choices).item())
+        monkeypatch.setattr(sparse, "RARE", rare)
+        n_terms, n_queries, n_chunks, n = (int(rng.integers(a, b)) for a, b in ((2, 40), (1, 30), (1, 150), (1, 6)))
+        often = 1 / np.arange(1, n_terms + 1)
+        rise = np.where(rng.random((n_chunks, n_terms)) < often * 2, np.round(rng.random((n_chunks, n_terms)) * 2 + 0.1, 1), 0)
+        weight = np.where(rng.random((n_queries, n_terms)) < often * 1.5, rng.choice([0.25, 0.5, 2.5, 3.3], (n_queries, n_terms)), 0)
+        keys, scores, rows = rng.permutation(n_chunks), weight @ rise.T, []
+        for at in range(0, n_queries, 7):
+            q, t = np.nonzero(weight[at : at + 7])
+            rows.append((pa.array([f"q{i}" for i in range(at, min(at + 7, n_queries))]), pa.array([f"t{x}" for x in t], pa.string()), weight[at : at + 7][q, t], q))
+        held, got, at = sparse.Held(rows, n, 0.05), {}, 0
+        while at < n_chunks:
+            own = rise[at : at + int(rng.integers(1, 60))]
+            term, doc = np.nonzero(own.T)
+            some, df = np.unique(term, return_counts=True)
+            out = held.meet(pa.array(keys[at : at + len(own)]), pa.array([f"t{x}" for x in some], pa.string()), np.concatenate([[0], np.cumsum(df)]), doc.astype(np.int32), own.T[term, doc])
+            for q, k, s in zip(*(x.to_pylist() for x in out), strict=True):
+                got.setdefault(q, []).append((-round(s, 6), k))
+            at += len(own)
+        for i in range(n_queries):
+            assert sorted(got.get(f"q{i}", []))[:n] == sorted((-round(s, 6), k) for s, k in zip(scores[i].tolist(), keys.tolist(), strict=True) if round(s, 6) > 0.05)[:n]
+
+
 def test_term_statistics_shuffle_no_postings(spark, tmp_path, monkeypatch):
     """Only statistics are written and shuffled for ``bm25_stats``: no table of postings is made."""
     made = []
